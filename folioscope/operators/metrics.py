@@ -30,11 +30,7 @@ def metric_timeline(
     date_to: str | None = None,
     limit: int = fixed.TIMELINE_LIMIT,
 ) -> DataFrame:
-    """Dated points of one entity and metric, oldest first, undated last.
-
-    The facts are cut to the limit before they meet their documents whenever every
-    fact has one, which the caller guarantees by keeping facts under a foreign key.
-    """
+    """Dated points of one entity and metric, oldest first, undated last."""
     points = with_effective_date(facts)
     if entity:
         points = points.where(contains_any(F.col("entity"), entity_spellings(entity)))
@@ -64,7 +60,9 @@ def dominant_unit_series(points: DataFrame, keys: list[str]) -> DataFrame:
         F.min("eff_date").alias("first_date"), F.max("eff_date").alias("last_date"),
     )
     best = Window.partitionBy(*keys).orderBy(F.desc("points"), "first_point")
-    main = counts.withColumn("place", F.row_number().over(best)).where(F.col("place") == 1)
+    main = counts.withColumn("place", F.row_number().over(best)).where(
+        (F.col("place") == 1) & (F.col("points") >= 2)
+    )
     series = usable.join(main.drop("place", "first_point"), [*keys, "unit"])
 
     def day(name: str):

@@ -42,10 +42,11 @@ def nearest(vectors: DataFrame, query: Column, limit: int = fixed.ROUTE_TOPK) ->
 def _block_scan(vectors: DataFrame, block: pd.DataFrame, limit: int) -> DataFrame:
     ids = block["query_id"].to_numpy()
     matrix = np.vstack(block["embedding"].to_numpy()).astype("float64")
-    shared = vectors.sparkSession.sparkContext.broadcast((ids, matrix))
+    squares = (matrix**2).sum(axis=1)
+    shared = vectors.sparkSession.sparkContext.broadcast((ids, matrix, squares))
 
     def local_top(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        query_ids, queries = shared.value
+        query_ids, queries, query_squares = shared.value
         best = pd.DataFrame({"query": [], "chunk_id": [], "distance": []})
         for batch in batches:
             if batch.empty:
@@ -53,8 +54,10 @@ def _block_scan(vectors: DataFrame, block: pd.DataFrame, limit: int) -> DataFram
             rows = np.vstack(batch["embedding"].to_numpy()).astype("float64")
             chunk_ids = batch["chunk_id"].to_numpy()
             parts = [best]
-            for number, query in enumerate(queries):
-                distance = np.round(np.sqrt(((rows - query) ** 2).sum(axis=1)), 6)
+            squared = (rows**2).sum(axis=1)[:, None] + query_squares[None, :] - 2.0 * rows @ queries.T
+            distances = np.round(np.sqrt(np.maximum(squared, 0.0)), 6)
+            for number in range(len(queries)):
+                distance = distances[:, number]
                 # Keep every row that ties with the last place, so ids can settle it.
                 if len(distance) > limit:
                     edge = np.partition(distance, limit - 1)[limit - 1]
