@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import fixed
 from ..functions.like import substring_join
@@ -137,29 +137,25 @@ def ordered_nodes(nodes: DataFrame) -> DataFrame:
     return nodes.orderBy("theme", F.col("parent_id").isNotNull(), "parent_id", "seq", "node_id")
 
 
-FINGERPRINT_PREFIX = 2
+def id_fingerprint(doc_id: str = "doc_id") -> Column:
+    """Order-free fingerprint of a set of distinct ids, 16 hex digits.
 
+    Two xor folds over each id's digest combine in any order and on any task, so a theme
+    that covers a third of the collection never has its ids gathered in one place. Only
+    equality of fingerprints carries meaning.
+    """
+    digest = F.sha2(F.col(doc_id).cast("string"), 256)
 
-def evidence_signature(evidence: DataFrame) -> DataFrame:
-    """Per theme: number of evidence documents and a fingerprint of their sorted ids.
+    def fold(start: int) -> Column:
+        return F.bit_xor(F.conv(F.substring(digest, start, 15), 16, 10).cast("bigint")).cast("string")
 
-    Ids are hashed in key ranges of the id's leading characters first and the range
-    digests after that, so no task holds all ids of a widely covered theme.
-    """
-    ids = evidence.select("theme", F.col("doc_id").cast("string").alias("doc_id")).distinct()
-    digest = F.sha2(F.col("doc_id"), 256)
-    ranged = ids.withColumn("bucket", F.substring(digest, 1, FINGERPRINT_PREFIX + 1))
-    per_range = ranged.groupBy("theme", "bucket").agg(
-        F.count("*").alias("docs"),
-        F.sha2(F.array_join(F.array_sort(F.collect_list("doc_id")), "|"), 256).alias("range_hash"),
-    )
-    return per_range.groupBy("theme").agg(
-        F.sum("docs").alias("docs"),
-        F.substring(
-            F.sha2(F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "bucket", "range_hash"))), "|"), 256),
-            1, 16,
-        ).alias("evidence_hash"),
-    )
+    return F.substring(F.sha2(F.concat_ws("|", F.count("*").cast("string"), fold(1), fold(16)), 256), 1, 16)
+
+
+def evidence_signature(evidence: DataFrame) -> DataFrame:
+    """Per theme: number of evidence documents and the fingerprint of their ids."""
+    ids = evidence.select("theme", "doc_id").distinct()
+    return ids.groupBy("theme").agg(F.count("*").alias("docs"), id_fingerprint().alias("evidence_hash"))
 
 
 def structure_hash(nodes: DataFrame) -> DataFrame:
