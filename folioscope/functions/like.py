@@ -66,4 +66,4 @@ def substring_join(texts: DataFrame, text: str, patterns: DataFrame, pattern: st
     # Every other character is itself; a backslash must not escape the one after it.
     escaped = F.regexp_replace("_pattern", r"\\", r"\\\\")
     met = keyed_texts.join(keyed_patterns, "_key").withColumn("_escaped", F.concat(F.lit("%"), escaped, F.lit("%")))
-    return met.where(F.col("_text").like(F.col("_escaped"))).drop("_key", "_text", "_pattern", "_escaped")
+    return met.where(F.like("_text", F.col("_escaped"))).drop("_key", "_text", "_pattern", "_escaped")

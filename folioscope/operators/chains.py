@@ -84,7 +84,7 @@ def segment_keywords(nodes: DataFrame) -> DataFrame:
 
 
 def segment_documents(
-    nodes: DataFrame, chunks: DataFrame, documents: DataFrame, doc_themes: DataFrame
+    nodes: DataFrame, index: DataFrame, documents: DataFrame, doc_themes: DataFrame
 ) -> DataFrame:
     """Distinct (node_id, theme, doc_id): full text, title and theme evidence of all segments.
 
@@ -94,7 +94,7 @@ def segment_documents(
     keywords = segment_keywords(nodes)
     distinct_words = keywords.select("keyword").distinct()
     phrases = keyword_phrases(distinct_words)
-    by_text = phrase_hits(chunks, phrases).join(phrases.select("keyword", "phrase"), "phrase").select("keyword", "doc_id")
+    by_text = phrase_hits(index, phrases).join(phrases.select("keyword", "phrase"), "phrase").select("keyword", "doc_id")
     titles = documents.select("doc_id", "title")
     by_title = substring_join(titles, "title", distinct_words, "keyword").select("keyword", "doc_id")
     names = substring_join(

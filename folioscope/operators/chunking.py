@@ -102,24 +102,24 @@ def _paragraphs(body: Column) -> Column:
     return F.flatten(pairs)
 
 
-def _window_chunks(heading: Column, text: Column, begins: Column) -> Column:
+def _piece(text: Column, begins: Column) -> Column:
+    return F.struct(text.alias("text"), begins.cast("int").alias("begins"))
+
+
+def _window_pieces(text: Column, begins: Column) -> Column:
     """Windows of an over-long paragraph; offsets advance by piece length."""
     size = int(fixed.TARGET_TOKENS * fixed.CHARS_PER_TOKEN)
     step = size - int(fixed.OVERLAP_TOKENS * fixed.CHARS_PER_TOKEN)
 
     def piece(part: Column, index: Column) -> Column:
         before = F.least(F.lit(size), F.length(text) - (index - 1) * step)
-        moved = F.when(index == 0, 0).otherwise((index - 1) * size + before)
-        return _chunk(heading, part, begins + moved)
+        return _piece(part, begins + F.when(index == 0, 0).otherwise((index - 1) * size + before))
 
     return F.transform(windows(text), piece)
 
 
-def pack_section(section: Column) -> Column:
-    """Chunks of one section: paragraphs packed to the target, over-long ones windowed."""
-    heading, body, begins = section["heading_path"], section["body"], section["char_start"]
-    chunks_type = f"array<{CHUNK_TYPE}>"
-    empty = F.array().cast(chunks_type)
+def _packed_paragraphs(body: Column, begins: Column) -> Column:
+    """Pieces of a section: paragraphs packed to the target, over-long ones windowed."""
 
     def state_of(done, buffer, tokens, buffer_start, offset) -> Column:
         return F.struct(
@@ -128,10 +128,9 @@ def pack_section(section: Column) -> Column:
         )
 
     def flushed(state: Column) -> Column:
-        full = F.array(_chunk(heading, state["buffer"], state["buffer_start"]))
-        return F.when(
-            state["buffer"].isNotNull() & has_text(state["buffer"]), F.concat(state["done"], full)
-        ).otherwise(state["done"])
+        full = state["buffer"].isNotNull() & has_text(state["buffer"])
+        piece = F.array(_piece(state["buffer"], state["buffer_start"]))
+        return F.when(full, F.concat(state["done"], piece)).otherwise(state["done"])
 
     def step(state: Column, part: Column) -> Column:
         tokens = estimated_tokens(F.length(part))
@@ -141,7 +140,7 @@ def pack_section(section: Column) -> Column:
             F.when(
                 tokens > fixed.MAX_TOKENS,
                 state_of(
-                    F.concat(flushed(state), _window_chunks(heading, part, state["offset"])),
+                    F.concat(flushed(state), _window_pieces(part, state["offset"])),
                     F.lit(None).cast("string"), F.lit(0), after, after,
                 ),
             )
@@ -156,13 +155,20 @@ def pack_section(section: Column) -> Column:
             )
         )
 
+    empty = F.array().cast("array<struct<text:string,begins:int>>")
     start = state_of(empty, F.lit(None).cast("string"), F.lit(0), begins, begins)
-    packed = F.aggregate(_paragraphs(body), start, step, flushed)
-    # Cleaned text has no blank lines: the whole section is one paragraph.
-    single = F.when(
-        estimated_tokens(F.length(body)) > fixed.MAX_TOKENS, _window_chunks(heading, body, begins)
-    ).otherwise(F.array(_chunk(heading, body, begins)))
-    return F.when(body.rlike(_PARAGRAPH_GAP), packed).otherwise(single)
+    return F.aggregate(_paragraphs(body), start, step, flushed)
+
+
+def pack_section(section: Column) -> Column:
+    """Chunks of one section. Cleaned text has no blank lines: its sections are one paragraph."""
+    body, begins = section["body"], section["char_start"]
+    pieces = (
+        F.when(body.rlike(_PARAGRAPH_GAP), _packed_paragraphs(body, begins))
+        .when(estimated_tokens(F.length(body)) > fixed.MAX_TOKENS, _window_pieces(body, begins))
+        .otherwise(F.array(_piece(body, begins)))
+    )
+    return F.transform(pieces, lambda piece: _chunk(section["heading_path"], piece["text"], piece["begins"]))
 
 
 def _joined(first: Column, second: Column, heading: Column) -> Column:

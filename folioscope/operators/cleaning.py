@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import fixed
-from ..functions.text import LINE_ENDS, contains_one_of, has_text, lines_with_ends, only_newlines
+from ..functions.text import LINE_ENDS, all_matches, contains_one_of, has_text, lines_with_ends, only_newlines
 
 _GAP = r"[\h\x1f]"
 _DAILY = r"(?U)^\s*#\s+(?:\*\*)?每日报告(?:\*\*)?\s*$"
@@ -94,12 +94,20 @@ def clean_change_count(text: Column) -> Column:
 
 
 def _respelt(line: Column) -> Column:
-    """Whole-word repairs that keep only the first letter's case."""
-    for wrong, right in fixed.LIGATURE_FIXES.items():
-        first, rest = wrong[0], wrong[1:]
-        line = F.regexp_replace(line, rf"(?U)\b{first}(?i:{rest})\b", right)
-        line = F.regexp_replace(line, rf"(?U)\b{first.upper()}(?i:{rest})\b", right[0].upper() + right[1:])
-    return line
+    """Whole-word repairs that keep only the first letter's case.
+
+    Every listed repair doubles the word's only f, so one rule covers the table.
+    """
+    rest = F.split(line, _MISSPELT, -1)
+    words = F.transform(
+        all_matches(line, _MISSPELT),
+        lambda word: F.concat(
+            F.substring(word, 1, 1), F.substring(F.replace(F.lower(word), F.lit("f"), F.lit("ff")), 2, 99)
+        ),
+    )
+    return F.array_join(
+        F.flatten(F.zip_with(rest, words, lambda text, word: F.array(text, F.coalesce(word, F.lit(""))))), ""
+    )
 
 
 def _repaired(line: Column) -> Column:

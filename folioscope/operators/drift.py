@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..functions import fixed
 from ..functions.like import substring_join
 from ..functions.segments import canonical_name, name_atoms
+from ..session import checkpointed
 from .themes import percentage
 
 
@@ -127,7 +128,9 @@ def detect_drift(
     cutoff = recency_cutoff(documents, today, recent_days)
     recent = statistics.where(F.col("last_seen") >= cutoff)
     lifted = theme_lift(recent, documents, doc_themes, matches).where(F.col("lift") >= min_lift)
-    keyed = lifted.withColumn("cand_key", canonical_name(F.col("theme")))
+    # A few rows per tree from here on; written out so that the name checks below,
+    # which read them several times, do not repeat the joins above.
+    keyed = checkpointed(lifted.withColumn("cand_key", canonical_name(F.col("theme"))))
     kept = without_peers(without_stop_tags(keyed, chain_themes), chain_themes)
     segments = nodes.where(F.col("node_type") == "segment").select(F.col("theme").alias("chain"), "name")
     return uncovered(kept, segments).select(

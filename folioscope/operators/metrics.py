@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import fixed
 from ..functions.amounts import canonical_amount, canonical_unit, entity_spellings
@@ -45,27 +45,35 @@ def metric_timeline(
     return with_normalized_amount(first)
 
 
-def dominant_unit_series(points: DataFrame, keys: list[str]) -> DataFrame:
-    """Points per key in the key's most frequent unit, scaled to 0..1 on both axes.
-
-    Ties go to the unit whose earliest point comes first.
-    """
+def charted(points: DataFrame) -> DataFrame:
+    """Points with a date and a finite value, as (y, unit): normalised where that is possible."""
     chosen = points.withColumn("y", F.coalesce("norm_num", "value_num")).withColumn(
         "unit", F.when(F.col("norm_num").isNotNull(), F.col("norm_unit")).otherwise(F.coalesce("unit", F.lit("")))
     )
-    usable = chosen.where(F.col("eff_date").isNotNull() & F.col("y").isNotNull() & ~F.isnan("y"))
+    return chosen.where(F.col("eff_date").isNotNull() & F.col("y").isNotNull() & ~F.isnan("y"))
+
+
+def dominant_units(usable: DataFrame, keys: list[str]) -> DataFrame:
+    """Most frequent unit per key with its extents; series of one point are not drawn.
+
+    Ties go to the unit whose earliest point comes first.
+    """
     counts = usable.groupBy(*keys, "unit").agg(
         F.count("*").alias("points"), F.min(F.struct("eff_date", "doc_id", "fact_id")).alias("first_point"),
         F.min("y").alias("y_min"), F.max("y").alias("y_max"),
         F.min("eff_date").alias("first_date"), F.max("eff_date").alias("last_date"),
     )
     best = Window.partitionBy(*keys).orderBy(F.desc("points"), "first_point")
-    main = counts.withColumn("place", F.row_number().over(best)).where(
-        (F.col("place") == 1) & (F.col("points") >= 2)
-    )
-    series = usable.join(main.drop("place", "first_point"), [*keys, "unit"])
+    first = counts.withColumn("place", F.row_number().over(best)).where(F.col("place") == 1)
+    return first.where(F.col("points") >= 2).drop("place", "first_point")
+
+
+def dominant_unit_series(points: DataFrame, keys: list[str]) -> DataFrame:
+    """Points per key in the key's most frequent unit, scaled to 0..1 on both axes."""
+    usable = charted(points)
+    series = usable.join(dominant_units(usable, keys), [*keys, "unit"])
 
-    def day(name: str):
+    def day(name: str) -> Column:
         text = F.col(name)
         return F.unix_date(F.when(F.length(text) == 7, F.concat(text, F.lit("-01"))).otherwise(text).cast("date"))
 

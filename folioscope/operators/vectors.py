@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from functools import reduce
 
 import numpy as np
@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import fixed
+from .search import blocks_of, keep_best
 
 # Query vectors held by one scan: 1,024 vectors of 4,096 dimensions are 32 MB.
 QUERY_BLOCK = 1024
@@ -31,9 +32,10 @@ def unpack_floats(blob: Column) -> Column:
     return unpack(blob)
 
 
-def nearest(vectors: DataFrame, query: Column, limit: int = fixed.ROUTE_TOPK) -> DataFrame:
+def nearest(vectors: DataFrame, query: Sequence[float], limit: int = fixed.ROUTE_TOPK) -> DataFrame:
     """One query vector: each task keeps its own top rows, then one merge."""
-    scored = vectors.select("chunk_id", F.round(l2_distance(F.col("embedding"), query), 6).alias("distance"))
+    target = F.array(*[F.lit(float(value)) for value in query])
+    scored = vectors.select("chunk_id", F.round(l2_distance(F.col("embedding"), target), 6).alias("distance"))
     top = scored.orderBy("distance", "chunk_id").limit(limit)
     rank = F.row_number().over(Window.orderBy("distance", "chunk_id")) - 1
     return top.withColumn("rank", rank.cast("int"))
@@ -47,36 +49,26 @@ def _block_scan(vectors: DataFrame, block: pd.DataFrame, limit: int) -> DataFram
 
     def local_top(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         query_ids, queries, query_squares = shared.value
-        best = pd.DataFrame({"query": [], "chunk_id": [], "distance": []})
+        best = None
         for batch in batches:
             if batch.empty:
                 continue
             rows = np.vstack(batch["embedding"].to_numpy()).astype("float64")
-            chunk_ids = batch["chunk_id"].to_numpy()
-            parts = [best]
             squared = (rows**2).sum(axis=1)[:, None] + query_squares[None, :] - 2.0 * rows @ queries.T
             distances = np.round(np.sqrt(np.maximum(squared, 0.0)), 6)
-            for number in range(len(queries)):
-                distance = distances[:, number]
-                # Keep every row that ties with the last place, so ids can settle it.
-                if len(distance) > limit:
-                    edge = np.partition(distance, limit - 1)[limit - 1]
-                    keep = distance <= edge
-                else:
-                    keep = np.ones(len(distance), dtype=bool)
-                parts.append(
-                    pd.DataFrame({"query": number, "chunk_id": chunk_ids[keep], "distance": distance[keep]})
-                )
-            joined = pd.concat([part for part in parts if len(part)], ignore_index=True)
-            joined = joined.sort_values(["query", "distance", "chunk_id"])
-            best = joined.groupby("query", sort=False).head(limit)
-        if len(best):
+            # Rows that tie with the last place stay, so that ids can settle it.
+            last = min(limit, len(distances)) - 1
+            edge = np.partition(distances, last, axis=0)[last]
+            hit_row, hit_query = np.nonzero(distances <= edge[None, :])
+            found = pd.DataFrame(
+                {"query": hit_query, "chunk_id": batch["chunk_id"].to_numpy()[hit_row],
+                 "value": distances[hit_row, hit_query]}
+            )
+            best = keep_best(found if best is None else pd.concat([best, found]), limit, descending=False)
+        if best is not None:
             yield pd.DataFrame(
-                {
-                    "query_id": query_ids[best["query"].astype(int).to_numpy()],
-                    "chunk_id": best["chunk_id"].to_numpy(),
-                    "distance": best["distance"].astype(float).to_numpy(),
-                }
+                {"query_id": [query_ids[code] for code in best["query"]], "chunk_id": best["chunk_id"].to_numpy(),
+                 "distance": best["value"].to_numpy()}
             )
 
     return vectors.select("chunk_id", "embedding").mapInPandas(local_top, _TOP_SCHEMA)
@@ -90,12 +82,9 @@ def dense_search(vectors: DataFrame, queries: DataFrame, limit: int = fixed.ROUT
     sets beyond one block are split by hash into blocks of bounded size, one scan each.
     """
     slim = queries.select(F.col("query_id").cast("string").alias("query_id"), "embedding")
-    count = slim.count()
-    pieces = max(1, -(-count // (QUERY_BLOCK // 2))) if count > QUERY_BLOCK else 1
     typed = vectors.select(F.col("chunk_id").cast("string").alias("chunk_id"), "embedding")
     scans = []
-    for piece in range(pieces):
-        part = slim if pieces == 1 else slim.where(F.pmod(F.xxhash64("query_id"), F.lit(pieces)) == piece)
+    for part in blocks_of(slim, "query_id", slim.count(), QUERY_BLOCK):
         block = part.toPandas()
         if len(block):
             scans.append(_block_scan(typed, block, limit))

@@ -76,7 +76,8 @@ def fact_rows(answers: DataFrame) -> DataFrame:
 
 def theme_rows(answers: DataFrame) -> DataFrame:
     parsed = answers.withColumn("parsed", parse_loose_json(F.col("answer"), ANSWER_SCHEMA))
-    themes = parsed.select("doc_id", strip(F.explode("parsed.themes")).alias("theme"))
+    themes = parsed.select("doc_id", F.explode("parsed.themes").alias("theme"))
+    themes = themes.withColumn("theme", strip(F.col("theme")))
     return themes.where(F.col("theme") != "").distinct()
 
 

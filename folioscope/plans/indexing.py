@@ -45,11 +45,11 @@ def index_chunks(texts: DataFrame, current: DataFrame | None = None, new_only: b
     return fresh if current is None else replace_documents(current, fresh, todo)
 
 
-def index_postings(chunks: DataFrame, partitions: int | None = None) -> DataFrame:
+def index_postings(index: DataFrame, partitions: int | None = None) -> DataFrame:
     """Postings laid out for term lookups: ranged and sorted by term, so a reader skips
     files by their min/max terms. A frequent term spans several ranges because the chunk
     id is part of the range key."""
-    postings = build_postings(chunks)
+    postings = build_postings(index)
     ranged = (
         postings.repartitionByRange(partitions, "term", "chunk_id")
         if partitions

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -20,6 +22,18 @@ def _versions(spark: SparkSession, root: str) -> list[int]:
     return sorted(found)
 
 
+def file_fingerprint(spark: SparkSession, path: str) -> str:
+    """Changes whenever a file at or below the path is added, replaced or resized."""
+    location = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = location.getFileSystem(spark._jsc.hadoopConfiguration())
+    states = [path]
+    entries = files.listFiles(location, True)
+    while entries.hasNext():
+        entry = entries.next()
+        states.append(f"{entry.getPath()} {entry.getLen()} {entry.getModificationTime()}")
+    return hashlib.sha256("\n".join(sorted(states)).encode()).hexdigest()[:16]
+
+
 def read_snapshot(spark: SparkSession, root: str) -> DataFrame | None:
     versions = _versions(spark, root)
     return spark.read.parquet(f"{root}/version={versions[-1]}") if versions else None

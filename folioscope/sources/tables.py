@@ -8,6 +8,10 @@ from ..functions import fixed
 from ..functions.text import index_tokens
 from ..operators.chunking import chunk_documents
 from ..operators.cleaning import normalize_documents
+from ..operators.layout import spread
+from ..operators.search import with_tokens
+from ..session import shared_dir
+from .sinks import file_fingerprint, read_snapshot, write_snapshot
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -31,7 +35,18 @@ def text_documents(spark: SparkSession, folder: str) -> DataFrame:
 
 def text_chunks(spark: SparkSession, folder: str) -> DataFrame:
     """Cleaned documents cut into chunks."""
-    return chunk_documents(normalize_documents(text_documents(spark, folder).select("doc_id", "text")))
+    documents = spread(text_documents(spark, folder).select("doc_id", "text"), "doc_id")
+    return chunk_documents(normalize_documents(documents))
+
+
+def text_index(spark: SparkSession, folder: str) -> DataFrame:
+    """Chunks with their tokens, as a table built once per state of the documents file."""
+    source = f"{folder}/documents.parquet"
+    root = f"{shared_dir(spark)}/text-index-{file_fingerprint(spark, source)}"
+    stored = read_snapshot(spark, root)
+    if stored is None:
+        stored = write_snapshot(with_tokens(text_chunks(spark, folder)), root)
+    return stored
 
 
 def text_themes(spark: SparkSession, folder: str) -> DataFrame:
@@ -255,4 +270,5 @@ def markdown_documents(spark: SparkSession, folder: str) -> DataFrame:
         .when(index % 9 == 7, F.concat(F.lit(fixed.PROMO_PHRASES[3]), F.lit("\n![](images/code.jpg)\n\n"), line))
         .otherwise(line),
     )
-    return text_documents(spark, folder).select("doc_id", F.array_join(lines, "\n").alias("text"))
+    documents = spread(text_documents(spark, folder).select("doc_id", "text"), "doc_id")
+    return documents.select("doc_id", F.array_join(lines, "\n").alias("text"))
