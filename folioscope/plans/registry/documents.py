@@ -13,7 +13,7 @@ from ...operators.filters import Filters
 from ...plans.catalog import describe_files
 from ...sources import tables as t
 from . import REGISTRY
-from .views import CHUNKS, DOCS, RAW_TOKEN, TOKEN, markdown, quoted
+from .views import CHUNKS, DOCS, RAW_TOKEN, TOKEN, markdown, quoted, repaired
 
 TODAY = dt.date(2000, 1, 1)
 
@@ -103,7 +103,7 @@ CLEANED = f"""{markdown()}, split AS (
   FROM split
 ), fixed_lines AS (
   SELECT *, CASE WHEN regexp_matches(line, '^\\s*(Exhibit|Figure|Table)\\s*[0-9]') OR regexp_matches(line, '^\\s*!\\[') THEN line
-    ELSE regexp_replace(regexp_replace(regexp_replace(regexp_replace(line, '^n\\s+', '- '), '\\befect\\b', 'effect', 'g'), '\\bdiferent\\b', 'different', 'g'), '\\bofers\\b', 'offers', 'g') END AS repaired
+    ELSE {repaired("regexp_replace(line, '^n[ ]+', '- ')")} END AS repaired
   FROM judged WHERE NOT promo AND NOT badge AND trim(line) <> ''
 )"""
 
@@ -128,7 +128,7 @@ def markdown_clean(spark, sf):
   SELECT doc_id, string_agg(repaired, chr(10) ORDER BY line_no) AS body, max(line_no) AS last_kept,
          sum(CASE WHEN repaired <> line THEN 1 ELSE 0 END) AS changed FROM fixed_lines GROUP BY doc_id
 ), totals AS (SELECT doc_id, max(line_no) AS n FROM judged GROUP BY doc_id),
-words AS (SELECT doc_id, sum(CASE WHEN repaired <> line THEN len(regexp_extract_all(line, '\\b(efect|diferent|ofers)\\b')) ELSE 0 END) AS words FROM fixed_lines GROUP BY doc_id)
+words AS (SELECT doc_id, sum(CASE WHEN repaired <> line THEN length(repaired) - length(regexp_replace(line, '^n[ ]+', '- ')) ELSE 0 END) AS words FROM fixed_lines GROUP BY doc_id)
 SELECT doc_id, sha256(body || CASE WHEN last_kept < n THEN chr(10) ELSE '' END) AS text_hash, CAST(words + changed AS BIGINT) AS changes
 FROM texts JOIN totals USING (doc_id) JOIN words USING (doc_id)""",
 )

@@ -11,6 +11,21 @@ def quoted(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
+def repaired(text: str) -> str:
+    """Listed misspellings with their f doubled; applied twice, since neighbours share a separator."""
+    endings: dict[str, list[str]] = {}
+    for wrong in fixed.LIGATURE_FIXES:
+        head, tail = wrong.split("f")
+        endings.setdefault(head, []).append(tail)
+    for head, tails in endings.items():
+        first = f"[{head[0]}{head[0].upper()}]{head[1:]}"
+        tails = "|".join(sorted(tails, key=len, reverse=True))
+        pattern = f"(^|[^\\p{{L}}\\p{{N}}_])({first})f({tails})($|[^\\p{{L}}\\p{{N}}_])"
+        for _ in range(2):
+            text = f"regexp_replace({text}, '{pattern}', '\\1\\2ff\\3\\4', 'g')"
+    return text
+
+
 REPORTS = """
 reports AS (
   SELECT o_orderkey AS doc_id, 'order ' || o_orderkey AS title, n_name AS institution,
@@ -82,13 +97,14 @@ docs AS (
 )"""
 
 # Blank lines go, long documents become overlapping windows, a short last window joins the one before.
-CHUNKS = """
-kept AS (
+CHUNKS = f"""
+cleaned AS (
   SELECT CAST(doc_id AS VARCHAR) AS doc_id,
          array_to_string(list_filter(string_split(text, chr(10)), lambda l: trim(l) <> ''), chr(10))
            || CASE WHEN ends_with(text, chr(10)) THEN chr(10) ELSE '' END AS body
   FROM documents
 ),
+kept AS (SELECT doc_id, {repaired('body')} AS body FROM cleaned),
 pieces AS (
   SELECT doc_id, body, 0 AS piece, body AS text, 1 AS n FROM kept
   WHERE trim(body) <> '' AND greatest(1, CAST(floor(length(body) / 1.6::DOUBLE) AS INTEGER)) <= 1400
