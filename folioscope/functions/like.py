@@ -6,7 +6,7 @@ import re
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .text import ascii_lower
+from .text import ascii_lower, let
 
 
 def _regex(pattern: str) -> str:
@@ -31,28 +31,39 @@ def contains_any(text: Column, needles: list[str]) -> Column:
     return found
 
 
+# Lengths of the literal pieces that texts and patterns meet on, longest first.
+KEY_LENGTHS = (5, 2, 1)
+
+
 def _match_key(pattern: Column) -> Column:
-    """First literal pair of a pattern, else its first literal character, else ''."""
-    pair = F.regexp_extract(pattern, "[^%_]{2}", 0)
-    return F.when(pair != "", pair).otherwise(F.regexp_extract(pattern, "[^%_]", 0))
+    """First literal piece of a pattern in the longest listed length it has, else ''."""
+    key = F.lit("")
+    for length in reversed(KEY_LENGTHS):
+        piece = F.regexp_extract(pattern, f"[^%_]{{{length}}}", 0)
+        key = F.when(piece != "", piece).otherwise(key)
+    return key
 
 
 def _text_keys(text: Column) -> Column:
     """Every key a pattern contained in the text can have."""
-    size = F.length(text)
-    singles = F.transform(
-        F.sequence(F.lit(1), F.greatest(size, F.lit(1))), lambda i: F.substring(text, i, F.lit(1))
-    )
-    pairs = F.transform(
-        F.sequence(F.lit(1), F.greatest(size - 1, F.lit(1))), lambda i: F.substring(text, i, F.lit(2))
-    )
-    return F.array_distinct(F.concat(F.array(F.lit("")), singles, pairs))
+
+    def pieces(chars: Column) -> Column:
+        parts = [F.array(F.lit(""))]
+        for length in KEY_LENGTHS:
+            joined = chars
+            for shift in range(1, length):
+                tail = F.slice(chars, F.lit(shift + 1), F.size(chars))
+                joined = F.zip_with(joined, tail, lambda left, right: F.concat(left, right))
+            parts.append(F.array_compact(joined))
+        return F.array_distinct(F.concat(*parts))
+
+    return let(F.split(text, ""), pieces)
 
 
 def substring_join(texts: DataFrame, text: str, patterns: DataFrame, pattern: str) -> DataFrame:
     """Rows of both sides where text LIKE '%pattern%'.
 
-    Both sides meet on a two-character key, so the join is an equi-join that Spark can
+    Both sides meet on a short literal key, so the join is an equi-join that Spark can
     broadcast or split by size; the LIKE itself only checks the rows that met.
     """
     keyed_patterns = patterns.withColumn("_pattern", ascii_lower(F.col(pattern)))
@@ -66,4 +77,8 @@ def substring_join(texts: DataFrame, text: str, patterns: DataFrame, pattern: st
     # Every other character is itself; a backslash must not escape the one after it.
     escaped = F.regexp_replace("_pattern", r"\\", r"\\\\")
     met = keyed_texts.join(keyed_patterns, "_key").withColumn("_escaped", F.concat(F.lit("%"), escaped, F.lit("%")))
-    return met.where(F.like("_text", F.col("_escaped"))).drop("_key", "_text", "_pattern", "_escaped")
+    # Patterns without wildcards, nearly all of them, need a plain search only.
+    matches = F.when(F.col("_pattern").rlike("[%_]"), F.like("_text", F.col("_escaped"))).otherwise(
+        F.col("_text").contains(F.col("_pattern"))
+    )
+    return met.where(matches).drop("_key", "_text", "_pattern", "_escaped")

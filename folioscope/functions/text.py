@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from functools import reduce
 
 from pyspark.sql import Column, functions as F
@@ -42,6 +42,15 @@ def rstrip(text: Column) -> Column:
     return F.regexp_replace(text, r"(?U)\s+$", "")
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Evaluates `value` once and hands it to `body`.
+
+    Spark shares no subexpressions around higher-order functions, so a value named twice
+    there would be computed twice, and nested uses multiply.
+    """
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def contains_one_of(text: Column, needles: Iterable[str]) -> Column:
     """Plain byte search, far cheaper than a regex; used to skip work most texts do not need."""
     return reduce(lambda found, needle: found | text.contains(needle), needles, F.lit(False))
@@ -52,9 +61,12 @@ def only_newlines(text: Column) -> Column:
 
 
 def lines_with_ends(text: Column) -> Column:
-    simple = F.filter(F.split(text, r"(?<=\n)", -1), lambda line: line != "")
-    general = all_matches(text, f"[^{LINE_ENDS}]*+(?:\\r\\n|[{LINE_ENDS}])|[^{LINE_ENDS}]++")
-    return F.when(only_newlines(text), simple).otherwise(general)
+    def split(whole: Column) -> Column:
+        simple = F.filter(F.split(whole, r"(?<=\n)", -1), lambda line: line != "")
+        general = all_matches(whole, f"[^{LINE_ENDS}]*+(?:\\r\\n|[{LINE_ENDS}])|[^{LINE_ENDS}]++")
+        return F.when(only_newlines(whole), simple).otherwise(general)
+
+    return let(text, split)
 
 
 def raw_tokens(text: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import fixed
 from ..functions.text import (
-    LINE_ENDS, all_matches, estimated_tokens, has_text, lines_with_ends, rstrip, strip, windows,
+    LINE_ENDS, all_matches, estimated_tokens, has_text, let, lines_with_ends, rstrip, strip, windows,
 )
 
 _GAP = r"[\h\x1f]"
@@ -25,18 +25,6 @@ CHUNK_TYPE = (
 def split_sections(text: Column) -> Column:
     """ARRAY of STRUCT(heading_path, body, char_start); heading lines stay out of the body."""
     headings = all_matches(text, _HEADING)
-    bodies = F.split(text, _HEADING, -1)
-    first = F.element_at(bodies, 1)
-    pairs = F.zip_with(
-        headings,
-        F.slice(bodies, F.lit(2), F.size(bodies)),
-        lambda heading, body: F.struct(heading.alias("heading"), body.alias("body")),
-    )
-    start = F.struct(
-        F.array().cast("array<struct<level:int,title:string>>").alias("stack"),
-        F.length(first).alias("position"),
-        F.array(F.struct(F.lit("").alias("heading_path"), first.alias("body"), F.lit(0).alias("char_start"))).alias("sections"),
-    )
 
     def step(state: Column, pair: Column) -> Column:
         marks = F.regexp_extract(pair["heading"], "^#+", 0)
@@ -57,10 +45,26 @@ def split_sections(text: Column) -> Column:
             F.concat(state["sections"], F.array(section)).alias("sections"),
         )
 
-    folded = F.aggregate(pairs, start, step, lambda state: state["sections"])
+    def fold(bodies: Column) -> Column:
+        first = F.element_at(bodies, 1)
+        pairs = F.zip_with(
+            headings,
+            F.slice(bodies, F.lit(2), F.size(bodies)),
+            lambda heading, body: F.struct(heading.alias("heading"), body.alias("body")),
+        )
+        start = F.struct(
+            F.array().cast("array<struct<level:int,title:string>>").alias("stack"),
+            F.length(first).alias("position"),
+            F.array(
+                F.struct(F.lit("").alias("heading_path"), first.alias("body"), F.lit(0).alias("char_start"))
+            ).alias("sections"),
+        )
+        return F.aggregate(pairs, start, step, lambda state: state["sections"])
+
+    folded = let(F.split(text, _HEADING, -1), fold)
     whole = F.array(F.struct(F.lit("").alias("heading_path"), text.alias("body"), F.lit(0).alias("char_start")))
     return F.filter(
-        F.when(text.contains("#"), folded).otherwise(whole), lambda section: has_text(section["body"])
+        F.when(text.rlike(_HEADING), folded).otherwise(whole), lambda section: has_text(section["body"])
     )
 
 
@@ -172,15 +176,17 @@ def pack_section(section: Column) -> Column:
 
 
 def _joined(first: Column, second: Column, heading: Column) -> Column:
-    text = F.concat(rstrip(first["text"]), F.lit("\n"), second["text"])
-    return F.struct(
-        heading.alias("heading_path"),
-        text.alias("text"),
-        first["char_start"].alias("char_start"),
-        second["char_end"].alias("char_end"),
-        F.concat(first["image_refs"], second["image_refs"]).alias("image_refs"),
-        estimated_tokens(F.length(text)).alias("token_est"),
-    )
+    def combined(text: Column) -> Column:
+        return F.struct(
+            heading.alias("heading_path"),
+            text.alias("text"),
+            first["char_start"].alias("char_start"),
+            second["char_end"].alias("char_end"),
+            F.concat(first["image_refs"], second["image_refs"]).alias("image_refs"),
+            estimated_tokens(F.length(text)).alias("token_est"),
+        )
+
+    return let(F.concat(rstrip(first["text"]), F.lit("\n"), second["text"]), combined)
 
 
 def merge_tiny(chunks: Column) -> Column:

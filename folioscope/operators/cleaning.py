@@ -7,12 +7,15 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import fixed
-from ..functions.text import LINE_ENDS, all_matches, contains_one_of, has_text, lines_with_ends, only_newlines
+from ..functions.text import (
+    LINE_ENDS, all_matches, contains_one_of, has_text, let, lines_with_ends, only_newlines,
+)
 
 _GAP = r"[\h\x1f]"
 _DAILY = r"(?U)^\s*#\s+(?:\*\*)?每日报告(?:\*\*)?\s*$"
 _START = rf"##{_GAP}+(?:\*\*)?(?i:START{_GAP}*YOUR{_GAP}*FINANCE)(?:\*\*)?"
 _START_TO_END = rf"(?s)(?<![^{LINE_ENDS}]){_GAP}*+{_START}{_GAP}*(?:[{LINE_ENDS}].*)?$"
+_START_HINT = rf"##{_GAP}+(?:\*\*)?(?i:START)"
 _IMAGE_LINE = r"(?iU)^\s*!?\[[^\]]*\]\(images/[^)]+\)\s*$"
 _CAPTION_LINE = r"(?iU)^\s*(Exhibit|Figure|Table|图|表)\s*\d"
 _BULLET = r"(?U)^n\s+(?=\S)"
@@ -32,11 +35,17 @@ def _with_end(content: Column, line: Column) -> Column:
 
 
 def _without_promo(line: Column) -> Column:
-    content = _content(line)
-    stripped = reduce(
-        lambda text, phrase: F.replace(text, F.lit(phrase), F.lit("")), fixed.PROMO_PHRASES, content
+    def judged(content: Column) -> Column:
+        stripped = reduce(
+            lambda text, phrase: F.replace(text, F.lit(phrase), F.lit("")), fixed.PROMO_PHRASES, content
+        )
+        kept = let(stripped, lambda text: F.when(text.rlike(_PROMO_LINE), "").otherwise(text))
+        return F.when(content.rlike(_DAILY), "").otherwise(kept)
+
+    return let(
+        _content(line),
+        lambda content: F.when(contains_one_of(content, _PROMO_HINTS + ["扫一扫"]), judged(content)).otherwise(content),
     )
-    return F.when(content.rlike(_DAILY) | stripped.rlike(_PROMO_LINE), "").otherwise(stripped)
 
 
 def _line_roles(lines: Column) -> Column:
@@ -57,23 +66,22 @@ def _line_roles(lines: Column) -> Column:
 
 
 def _before_start_block(text: Column) -> Column:
-    return F.when(text.contains("##"), F.regexp_replace(text, _START_TO_END, "")).otherwise(text)
+    return F.when(text.rlike(_START_HINT), F.regexp_replace(text, _START_TO_END, "")).otherwise(text)
 
 
 def clean_markdown(text: Column) -> Column:
     """Text without promotional blocks and blank lines; ends at the start-block heading."""
-    body = _before_start_block(text)
-    lines = lines_with_ends(body)
+    def kept_line(line: Column, role: Column) -> Column:
+        content = let(
+            _without_promo(line), lambda text: F.when(has_text(text), _with_end(text, line)).otherwise("")
+        )
+        return F.when(role == "x", "").otherwise(content)
+
+    lines = lines_with_ends(_before_start_block(text))
     plain = F.transform(F.filter(lines, has_text), lambda line: _with_end(_content(line), line))
-    cleaned = F.zip_with(
-        lines,
-        _line_roles(lines),
-        lambda line, role: F.when(role == "x", "").otherwise(
-            F.when(has_text(_without_promo(line)), _with_end(_without_promo(line), line)).otherwise("")
-        ),
-    )
+    cleaned = let(lines, lambda all_lines: F.zip_with(all_lines, _line_roles(all_lines), kept_line))
     promoted = contains_one_of(text, _PROMO_HINTS)
-    untouched = ~promoted & ~text.contains("##") & only_newlines(text) & (
+    untouched = ~promoted & ~text.rlike(_START_HINT) & only_newlines(text) & (
         ~F.concat(F.lit("\n"), text).rlike(_INDENTED_OR_BLANK)
     )
     return F.when(untouched, text).otherwise(F.array_join(F.when(promoted, cleaned).otherwise(plain), ""))
@@ -81,16 +89,20 @@ def clean_markdown(text: Column) -> Column:
 
 def clean_change_count(text: Column) -> Column:
     """Lines whose content changed, every non-empty line after the start block included."""
-    body = _before_start_block(text)
-    lines = lines_with_ends(body)
-    changed = F.zip_with(
-        lines,
-        _line_roles(lines),
-        lambda line, role: ((role == "x") | (_without_promo(line) != _content(line))).cast("int"),
-    )
-    tail = lines_with_ends(F.substring(text, F.length(body) + 1, F.length(text)))
-    dropped = F.size(F.filter(tail, lambda line: _content(line) != ""))
-    return F.aggregate(changed, F.lit(0), lambda total, one: total + one) + dropped
+    def count(body: Column) -> Column:
+        changed = let(
+            lines_with_ends(body),
+            lambda lines: F.zip_with(
+                lines,
+                _line_roles(lines),
+                lambda line, role: ((role == "x") | (_without_promo(line) != _content(line))).cast("int"),
+            ),
+        )
+        tail = lines_with_ends(F.substring(text, F.length(body) + 1, F.length(text)))
+        dropped = F.size(F.filter(tail, lambda line: _content(line) != ""))
+        return F.aggregate(changed, F.lit(0), lambda total, one: total + one) + dropped
+
+    return let(_before_start_block(text), count)
 
 
 def _respelt(line: Column) -> Column:
@@ -112,8 +124,10 @@ def _respelt(line: Column) -> Column:
 
 def _repaired(line: Column) -> Column:
     kept = line.rlike(_IMAGE_LINE) | line.rlike(_CAPTION_LINE)
-    bulleted = F.regexp_replace(line, _BULLET, "- ")
-    respelt = F.when(bulleted.rlike(_MISSPELT), _respelt(bulleted)).otherwise(bulleted)
+    respelt = let(
+        F.regexp_replace(line, _BULLET, "- "),
+        lambda bulleted: F.when(bulleted.rlike(_MISSPELT), _respelt(bulleted)).otherwise(bulleted),
+    )
     return F.when(kept, line).otherwise(respelt)
 
 
