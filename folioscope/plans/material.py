@@ -33,6 +33,7 @@ def timeline_material(points: DataFrame, keys: list[str], budget: int = fixed.CO
         _named("指标：", F.col("metric")),
         F.when(value.isNotNull(), F.concat(F.lit("值："), value, F.coalesce("unit", F.lit("")))),
         _named("方向：", F.col("direction")),
+        _named("原文：", F.col("quote") if "quote" in points.columns else F.lit(None).cast("string")),
     )
     sized = numbered.withColumn("line", line).withColumn("line_chars", F.length("line"))
     return within_budget(sized, keys, "place", "line_chars", budget)
