@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from . import fixed
+from .text import let
 
 
 def _unit_case(unit: Column, value_of) -> Column:
@@ -62,7 +63,8 @@ def value_status(value_text: Column, value: Column) -> Column:
         near = (ratio > 0.01) & (ratio < 100)
         return near | F.exists(bases, lambda base: (ratio / base).between(0.95, 1.05))
 
-    suspicious = value.isNotNull() & (value != 0) & (F.size(numbers) > 0) & ~F.exists(numbers, agrees)
+    unexplained = let(numbers, lambda found: (F.size(found) > 0) & ~F.exists(found, agrees))
+    suspicious = value.isNotNull() & (value != 0) & unexplained
     return F.when(fillable, "fillable").when(suspicious, "scale_mismatch")
 
 

@@ -8,6 +8,7 @@ from ..functions import fixed
 from ..functions.like import substring_join
 from ..functions.segments import canonical_name
 from ..functions.text import is_foreign, slug, strip
+from .layout import spread
 from .search import keyword_phrases, phrase_hits
 from .themes import percentage
 
@@ -95,7 +96,7 @@ def segment_documents(
     distinct_words = keywords.select("keyword").distinct()
     phrases = keyword_phrases(distinct_words)
     by_text = phrase_hits(index, phrases).join(phrases.select("keyword", "phrase"), "phrase").select("keyword", "doc_id")
-    titles = documents.select("doc_id", "title")
+    titles = spread(documents.select("doc_id", "title"))
     by_title = substring_join(titles, "title", distinct_words, "keyword").select("keyword", "doc_id")
     names = substring_join(
         doc_themes.select(F.col("theme").alias("tag")).distinct(), "tag", distinct_words, "keyword"

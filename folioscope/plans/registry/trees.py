@@ -180,7 +180,7 @@ PAIRS = f"""pairs AS (
 
 
 def _co_occurring(spark, sf):
-    nodes, tags = _brand_nodes(spark, sf), t.order_themes(spark, sf)
+    nodes, tags = _brand_nodes(spark, sf), t.tag_table(spark, sf)
     matches = drift.matching_themes(nodes.select("theme").distinct(), tags)
     return tags, matches, drift.co_occurrence(matches, tags)
 
@@ -223,7 +223,7 @@ DRIFT = f"""{SEGMENT_NODES}, {PAIRS}, kept AS (
 
 def _drifting(spark, sf):
     return drift.detect_drift(
-        t.order_reports(spark, sf), t.order_themes(spark, sf), _brand_nodes(spark, sf), TODAY,
+        t.order_reports(spark, sf), t.tag_table(spark, sf), _brand_nodes(spark, sf), TODAY,
         min_lift=MIN_LIFT, recent_days=RECENT_DAYS,
     )
 
@@ -246,7 +246,7 @@ SELECT theme, CAST(place AS BIGINT) AS place, doc_id, title, institution, report
   FROM tags JOIN reports USING (doc_id) WHERE theme IN (SELECT theme FROM kept)) WHERE place <= 5""",
 )
 def drift_samples(spark, sf):
-    samples = drift.sample_documents(_drifting(spark, sf), t.order_themes(spark, sf), t.order_reports(spark, sf))
+    samples = drift.sample_documents(_drifting(spark, sf), t.tag_table(spark, sf), t.order_reports(spark, sf))
     return samples.withColumn("place", F.col("place").cast("bigint"))
 
 

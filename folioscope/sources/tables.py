@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions import fixed
@@ -41,12 +43,17 @@ def text_chunks(spark: SparkSession, folder: str) -> DataFrame:
 
 def text_index(spark: SparkSession, folder: str) -> DataFrame:
     """Chunks with their tokens, as a table built once per state of the documents file."""
-    source = f"{folder}/documents.parquet"
-    root = f"{shared_dir(spark)}/text-index-{file_fingerprint(spark, source)}"
+    return derived(spark, folder, "text-index", ["documents"], lambda: with_tokens(text_chunks(spark, folder)))
+
+
+def derived(
+    spark: SparkSession, folder: str, name: str, inputs: list[str], build: Callable[[], DataFrame]
+) -> DataFrame:
+    """A table the engine keeps, written once per state of the files it comes from."""
+    states = "-".join(file_fingerprint(spark, f"{folder}/{table_name}.parquet") for table_name in inputs)
+    root = f"{shared_dir(spark)}/{name}-{states}"
     stored = read_snapshot(spark, root)
-    if stored is None:
-        stored = write_snapshot(with_tokens(text_chunks(spark, folder)), root)
-    return stored
+    return write_snapshot(build(), root) if stored is None else stored
 
 
 def text_themes(spark: SparkSession, folder: str) -> DataFrame:
@@ -101,13 +108,24 @@ def order_reports(spark: SparkSession, folder: str) -> DataFrame:
 def order_themes(spark: SparkSession, folder: str) -> DataFrame:
     """Tags of the order reports: brands and names of the parts they hold."""
     lines = table(spark, folder, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.col("l_partkey").alias("p_partkey"))
+    lines = spread(lines)
     parts = table(spark, folder, "part").select("p_partkey", F.explode(F.array("p_brand", "p_name")).alias("theme"))
     return lines.join(parts, "p_partkey").select("doc_id", "theme").distinct()
 
 
+def tag_table(spark: SparkSession, folder: str) -> DataFrame:
+    """The same tags as a kept table, for queries that read them several times."""
+    return derived(spark, folder, "order-tags", ["lineitem", "part"], lambda: order_themes(spark, folder))
+
+
 def line_facts(spark: SparkSession, folder: str, entity: str = "p_name") -> DataFrame:
     """Three facts per order line: price, quantity and discount."""
-    lines = table(spark, folder, "lineitem")
+    lines = spread(
+        table(spark, folder, "lineitem").select(
+            "l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice", "l_discount",
+            "l_returnflag", "l_linestatus", "l_shipdate",
+        )
+    )
     parts = table(spark, folder, "part").select(F.col("p_partkey").alias("l_partkey"), "p_name", "p_brand")
     orders = table(spark, folder, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_orderdate")
     joined = lines.join(parts, "l_partkey").join(orders, "l_orderkey")
