@@ -18,7 +18,7 @@ RECENT_DAYS = 60
 
 
 def _brand_nodes(spark, sf):
-    return chains.chain_rows(t.brand_trees(spark, sf))
+    return t.derived(spark, sf, "brand-trees", ["part"], lambda: chains.chain_rows(t.brand_trees(spark, sf)))
 
 
 SEGMENT_NODES = f"""{TREES}, segment_nodes AS (
