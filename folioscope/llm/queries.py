@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality_rules
-from .common import slim, table
+from folioscope.session import shared_dir
+
+from . import mixing, quality_rules, sharding
+from .common import slim, table, whole_text
 
 QUERIES = {}
 SQL = {}
@@ -29,3 +33,52 @@ def op7(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("doc_id", *[f"quality.{name}" for name in (
         "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")],
         F.round("quality.score", 6).alias("score"))
+
+
+@query("op2_sharding")
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    docs = slim(table(spark, folder, "documents"), "doc_id", "text")
+    slot_map = sharding.balanced_map(docs, f"{shared_dir(spark)}/shard-map-{uuid.uuid4().hex}")
+    rows = sharding.sharded(docs, slot_map).select(
+        "doc_id", "virtual_slot", "shard", sharding.row_bytes(whole_text()).alias("size"),
+        sharding.text_crc(whole_text()).alias("text_crc32"))
+    return sharding.places(rows).select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
+        F.lit(None).cast("int").alias("grown_shard"), "virtual_slot")
+
+
+@query("op8_mixing", r"""
+WITH sized AS (
+    SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
+per_source AS (
+    SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS rank
+    FROM sized GROUP BY source),
+weighed AS (SELECT *, [5, 2, 1][((rank - 1) % 3 + 1)::INT] AS weight, 3 * source_size AS cap FROM per_source),
+levels AS (
+    SELECT *, row_number() OVER by_cap AS place, (sum(source_size) OVER ())::DOUBLE AS everything,
+        (sum(weight) OVER ())::DOUBLE AS all_weight,
+        coalesce(sum(cap) OVER (ORDER BY cap::DOUBLE / weight, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE AS cap_before,
+        coalesce(sum(weight) OVER (ORDER BY cap::DOUBLE / weight, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE AS weight_before
+    FROM weighed WINDOW by_cap AS (ORDER BY cap::DOUBLE / weight, rank)),
+levelled AS (SELECT *, (everything - cap_before) / (all_weight - weight_before) AS level FROM levels),
+first_under AS (SELECT place, level FROM levelled WHERE level * weight <= cap ORDER BY place LIMIT 1),
+targets AS (
+    SELECT source, source_size,
+        CASE WHEN place < coalesce((SELECT place FROM first_under), 1000000000) THEN cap::DOUBLE
+             ELSE (SELECT level FROM first_under) * weight END AS target
+    FROM levelled),
+placed AS (
+    SELECT s.*, t.source_size, t.target,
+        CASE WHEN t.source_size = 0 THEN 0 ELSE t.target / t.source_size END AS rate,
+        (row_number() OVER (PARTITION BY s.source ORDER BY s.size, coalesce(s.doc_id, 0) % 16, md5(s.doc_id::VARCHAR), s.doc_id) - 1)::DOUBLE AS place,
+        ('0x' || substr(md5('mix-1:' || coalesce(s.source, '') || CASE WHEN s.source IS NULL THEN '?' ELSE '.' END), 1, 8))::BIGINT
+            / 4294967296.0::DOUBLE AS shift
+    FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source),
+parted AS (SELECT *, rate - floor(rate) AS part FROM placed)
+SELECT doc_id, size, source_size, target,
+    (size * (floor(rate) + floor((place + 1) * part + shift) - floor(place * part + shift)))::BIGINT AS taken, source
+FROM parted""")
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    rows = mixing.sized(slim(table(spark, folder, "documents"), "doc_id", "source", "text"))
+    return mixing.copies(rows).select(
+        "doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "source")
