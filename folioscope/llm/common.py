@@ -5,13 +5,13 @@ A word is a maximal run of characters other than space and U+0009 to U+000D. A n
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DataType
 
-WORD_PATTERN = "[^ \\t-\\r]+"
+from folioscope.session import shared_dir
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -27,13 +27,6 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(text, "[ \\t-\\r]+"), "")
 
 
-def each_position(items: Column, width: int, body: Callable[[Column], Column], result: DataType) -> Column:
-    """`body` of every 1-based position at which `width` items begin; empty where there are fewer items."""
-    last = F.size(items) - F.lit(width - 1)
-    return F.when(last >= 1, F.transform(F.sequence(F.lit(1), last), body)).otherwise(
-        F.array().cast(ArrayType(result)))
-
-
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """Evaluates `value` once for `body`, since lambdas evaluate outer expressions again for each element."""
     return F.element_at(F.transform(F.array(value), body), 1)
@@ -42,3 +35,11 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 def slim(frame: DataFrame, *names: str) -> DataFrame:
     """Only the named columns, so that no extra column can clash with a working column."""
     return frame.select(*[F.col(f"`{name}`") for name in names])
+
+
+def kept(frame: DataFrame) -> DataFrame:
+    """`frame` written once to the folder that all executors share, and read from there."""
+    spark = frame.sparkSession
+    path = f"{shared_dir(spark)}/llm-{uuid.uuid4().hex}"
+    frame.write.parquet(path)
+    return spark.read.schema(frame.schema).parquet(path)
