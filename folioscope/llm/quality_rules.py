@@ -57,7 +57,8 @@ def repeated_words(pairs: Column) -> Column:
 def _counts(raw: DataFrame, trusted: DataFrame, buckets: int) -> DataFrame:
     """One row for each bucket with its raw and its trusted count, over all documents."""
     ids = trusted.select(F.col("doc_id").alias("trusted_id")).where("trusted_id IS NOT NULL").distinct()
-    marked = slim(raw, "doc_id", "text").join(ids, F.col("doc_id") == F.col("trusted_id"), "left")
+    # Merged at every size: the labels grow with the corpus.
+    marked = slim(raw, "doc_id", "text").join(ids.hint("merge"), F.col("doc_id") == F.col("trusted_id"), "left")
     grams = marked.select(
         F.explode(let(word_hashes(words_of(whole_text())), lambda words: F.concat(words, joined(words, 1)))).alias("hash"),
         F.col("trusted_id").isNotNull().cast("long").alias("trusted"))
