@@ -284,7 +284,7 @@ def joined(docs: DataFrame) -> DataFrame:
 def one_of_each(docs: DataFrame) -> DataFrame:
     """`docs` with one row of each component, that of the smallest doc_id; rows without doc_id stay."""
     columns = [F.col(f"`{name}`") for name in docs.columns]
-    others = joined(docs).where("component_id <> doc_id").select("doc_id").distinct()
+    others = joined(docs).where("component_id <> doc_id").select("doc_id").distinct().hint("merge")
     left = docs.join(others, "doc_id", "left_anti").select(*columns)
     repeated = kept(docs.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"))
     if repeated.isEmpty():

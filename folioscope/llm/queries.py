@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from folioscope.session import shared_dir
 
-from . import mixing, ngram_join, quality_rules, sharding
+from . import decontamination, mixing, ngram_join, quality_rules, sharding
 from .common import slim, table, whole_text
 
 QUERIES = {}
@@ -47,6 +47,11 @@ def op2(spark: SparkSession, folder: str) -> DataFrame:
         F.lit(None).cast("int").alias("grown_shard"), "virtual_slot")
 
 
+@query("op5_decontamination")
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    return decontamination.leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 @query("op6_ngram_join", r"""
 WITH RECURSIVE worded AS (
     SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
