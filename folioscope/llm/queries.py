@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from folioscope.session import shared_dir
 
-from . import decontamination, mixing, ngram_join, quality_rules, sharding
+from . import decontamination, mixing, ngram_join, quality_rules, secret_scan, sharding
 from .common import slim, table, whole_text
 
 QUERIES = {}
@@ -106,3 +106,43 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
     rows = mixing.sized(slim(table(spark, folder, "documents"), "doc_id", "source", "text"))
     return mixing.copies(rows).select(
         "doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "source")
+
+
+def _spans_sql(rules) -> str:
+    parts = []
+    for order, rule in enumerate(rules):
+        pattern = rule.pattern.replace("'", "''")
+        parts.append(f"""SELECT doc_id, '{rule.kind}' AS name, {order} AS kind, {rule.least} AS least,
+            regexp_extract_all(text, '{pattern}', 0) AS found, regexp_extract_all(text, '{pattern}', {rule.group}) AS asked,
+            regexp_split_to_array(text, '{pattern}') AS gaps FROM texts""")
+    return " UNION ALL ".join(parts)
+
+
+@query("op9_secret_scan", f"""
+WITH texts AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+matched AS ({_spans_sql(secret_scan.RULES)}),
+steps AS (
+    SELECT doc_id, name, kind, least, unnest(found) AS match, unnest(asked) AS part, unnest(gaps[1:len(found)]) AS gap,
+        unnest(range(len(found))) AS i FROM matched WHERE len(found) > 0),
+placed AS (
+    SELECT *, sum(length(gap) + length(match)) OVER (PARTITION BY doc_id, kind ORDER BY i) AS stop FROM steps),
+spans AS (
+    SELECT doc_id, kind, stop - length(match) AS start, name || ':' || (stop - length(match))::BIGINT || ':' || stop::BIGINT AS span
+    FROM placed WHERE length(part) >= least),
+told AS (
+    SELECT doc_id, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex,
+        coalesce(string_agg(span, ',' ORDER BY start, kind) FILTER (kind < 3), '') AS base, string_agg(span, ',' ORDER BY start, kind) AS spans
+    FROM spans GROUP BY doc_id)
+SELECT doc_id, coalesce(n_assign, 0)::BIGINT AS n_assign, coalesce(n_access, 0)::BIGINT AS n_access, coalesce(n_hex, 0)::BIGINT AS n_hex,
+    sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM texts LEFT JOIN told USING (doc_id)""")
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    rows = secret_scan.scanned(slim(table(spark, folder, "documents"), "doc_id", "text"))
+    base = F.filter("secrets", lambda span: span["kind"] < len(secret_scan.BASE))
+
+    def count(kind: int):
+        return F.size(F.filter("secrets", lambda span: span["kind"] == kind)).cast("long")
+
+    return rows.select(
+        "doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"),
+        F.sha2(secret_scan.described(base), 256).alias("base_sha256"), secret_scan.described(F.col("secrets")).alias("spans"))
