@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from folioscope.session import shared_dir
 
-from . import decontamination, mixing, ngram_join, quality_rules, secret_scan, sharding
+from . import decontamination, mixing, ngram_join, quality_rules, secret_scan, sharding, url_filters
 from .common import slim, table, whole_text
 
 QUERIES = {}
@@ -35,6 +35,49 @@ def op7(spark: SparkSession, folder: str) -> DataFrame:
         F.round("quality.score", 6).alias("score"))
 
 
+# The host rules, and the globs that decide where none of them fits.
+HOST_RULES = [
+    ("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block")]
+GLOBS = [
+    url_filters.Glob("*.adult-*", "block"), url_filters.Glob("*.adult-*/**", "block"),
+    url_filters.Glob("*.spam-*", "block"), url_filters.Glob("*.spam-*/**", "block"),
+    url_filters.Glob("**/login?**", "block"), url_filters.Glob("**utm_source=feed**", "block"),
+    url_filters.Glob("*.example.org/**.html", "allow"), url_filters.Glob("**.exe", "block")]
+
+_LIKE = {"*.adult-*": r"^[^/]*\.adult-[^/]*$", "*.adult-*/**": r"^[^/]*\.adult-[^/]*/", "*.spam-*": r"^[^/]*\.spam-[^/]*$",
+         "*.spam-*/**": r"^[^/]*\.spam-[^/]*/", "**/login?**": r"/login.", "**utm_source=feed**": "utm_source=feed",
+         "*.example.org/**.html": r"^[^/]*\.example\.org/.*\.html$", "**.exe": r"\.exe$"}
+
+
+def _glob_choice_sql(column: str) -> str:
+    ranked = sorted(GLOBS, key=lambda glob: (-len(glob.pattern), glob.verdict != "block"))
+    return "CASE " + " ".join(
+        f"WHEN regexp_matches(canonical, '{_LIKE[glob.pattern]}', 's') THEN '{getattr(glob, column)}'" for glob in ranked) + " END"
+
+
+@query("op1_url_filters", rf"""
+WITH parted AS (
+    SELECT page_id, translate(regexp_extract(coalesce(url, ''), '^(?s:.*?)://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+        regexp_extract(coalesce(url, ''), '^(?s:.*?)://[^/?#]*([^?#]*)', 1) AS path,
+        regexp_extract(coalesce(url, ''), '^(?s:.*?)://[^/?#]*[^?#]*(\?[^#]*)', 1) AS query, contains(coalesce(url, ''), '://') AS whole FROM pages),
+ruled AS (
+    SELECT *, CASE
+        WHEN (host = 'www.example.com' OR host LIKE '%.www.example.com') AND path LIKE '/en/%' THEN 'www.example.com/en/'
+        WHEN (host = 'example.com' OR host LIKE '%.example.com') AND path LIKE '/en/%' THEN 'example.com/en/'
+        WHEN (host = 'net' OR host LIKE '%.net') AND path LIKE '/es/%' THEN 'net/es/'
+        WHEN (host = 'net' OR host LIKE '%.net') AND path LIKE '/fr/%' THEN 'net/fr/'
+        WHEN (host = 'com' OR host LIKE '%.com') AND path LIKE '/%' THEN 'com/' END AS rule,
+        CASE WHEN whole THEN '.' || host || path || query ELSE '' END AS canonical FROM parted)
+SELECT page_id, host, path, rule,
+    CASE WHEN rule IN ('com/', 'www.example.com/en/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block'
+        ELSE coalesce({_glob_choice_sql("verdict")}, 'allow') END AS verdict,
+    CASE WHEN rule IS NULL THEN {_glob_choice_sql("pattern")} END AS pattern
+FROM ruled""")
+def op1(spark: SparkSession, folder: str) -> DataFrame:
+    pages = slim(table(spark, folder, "pages"), "page_id", "url")
+    return url_filters.filtered(pages, HOST_RULES, GLOBS).select("page_id", "host", "path", "rule", "verdict", "pattern")
+
+
 @query("op2_sharding")
 def op2(spark: SparkSession, folder: str) -> DataFrame:
     docs = slim(table(spark, folder, "documents"), "doc_id", "text")
