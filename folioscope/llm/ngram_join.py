@@ -27,12 +27,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import kept, slim
+from .common import batches_of, kept, slim
 from .components import components
 from .shingles import mix, set_key, shingle_sets
 
@@ -41,6 +40,7 @@ HOT_LIST = 4096
 LEAF = 128
 SPOKES = 64
 PER_GROUP = 8
+BATCH_ROWS = 1000
 MIN_GROUPS = 16
 MAX_GROUPS = 4096
 
@@ -63,7 +63,17 @@ def count_vector(shingles: np.ndarray) -> np.ndarray:
     groups = MIN_GROUPS
     while groups < MAX_GROUPS and groups * PER_GROUP < len(shingles):
         groups *= 2
-    return np.bincount((mix(shingles, 3) & np.uint64(groups - 1)).astype(np.int64), minlength=groups).astype(np.int32)
+    return np.bincount((mix(shingles, 3) & np.uint64(groups - 1)).astype(np.int64), minlength=groups)
+
+
+def packed(vector: np.ndarray) -> bytes:
+    """The vector in the narrowest type that holds it, after a byte with that type's size."""
+    kind = next(kind for kind in (np.uint8, np.uint16, np.uint32) if vector.max() <= np.iinfo(kind).max)
+    return bytes([np.dtype(kind).itemsize]) + vector.astype(kind).tobytes()
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, f"u{data[0]}", offset=1).astype(np.int64)
 
 
 def folded(vector: np.ndarray, groups: int) -> np.ndarray:
@@ -77,7 +87,7 @@ def bound(left: np.ndarray, right: np.ndarray) -> int:
 
 def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        sets = [(len(s), *set_key(s), count_vector(s).tobytes() if len(s) else None) for s in shingle_sets(batch.column(1))]
+        sets = [(len(s), *set_key(s), packed(count_vector(s)) if len(s) else None) for s in shingle_sets(batch.column(1))]
         sizes, first, second, vectors = zip(*sets, strict=True) if sets else ((), (), (), ())
         yield pa.RecordBatch.from_arrays(
             [batch.column(0), pa.array(sizes, pa.int64()), pa.array(first, pa.int64()), pa.array(second, pa.int64()),
@@ -138,12 +148,11 @@ def _list_rows(tokens: list, owners: list, salts: list) -> pa.RecordBatch:
         names=["token", "doc_id", "salt"])
 
 
-def _within_bound(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for frame in frames:
-        good = [
-            7 * bound(np.frombuffer(left, np.int32), np.frombuffer(right, np.int32)) >= 3 * (n + m)
-            for left, right, n, m in zip(frame["vector_a"], frame["vector_b"], frame["n_a"], frame["n_b"], strict=True)]
-        yield frame.loc[good, ["a", "b"]]
+def _within_bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows = zip(*[batch.column(name).to_pylist() for name in ("vector_a", "vector_b", "n_a", "n_b")], strict=True)
+        good = [7 * bound(unpacked(left), unpacked(right)) >= 3 * (n + m) for left, right, n, m in rows]
+        yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
 
 def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,7 +196,7 @@ def bounded(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     left = nodes.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("vector").alias("vector_a"))
     right = nodes.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("vector").alias("vector_b"))
     met = pairs.join(right, "b").join(left, "a").where("4 * least(n_a, n_b) >= 3 * greatest(n_a, n_b)")
-    return met.select("a", "b", "n_a", "n_b", "vector_a", "vector_b").mapInPandas(_within_bound, "a long, b long")
+    return met.select("a", "b", "n_a", "n_b", "vector_a", "vector_b").mapInArrow(_within_bound, "a long, b long")
 
 
 def _lists(docs: DataFrame) -> DataFrame:
@@ -208,74 +217,95 @@ def _star_pairs(lists: DataFrame) -> DataFrame:
     return lists.select(F.col("hub").alias("a"), F.col("doc_id").alias("b")).union(joined).where("a <> b").distinct()
 
 
-def _leaf_pairs(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+class _Leaf:
+    """Points of one leaf as arrays, with vectors folded to the coarsest of them."""
+
+    def __init__(self, points: pa.StructScalar) -> None:
+        self.nodes, self.parts, self.sizes = (points[name].values.to_numpy() for name in ("node", "component", "n"))
+        vectors = [unpacked(data) for data in points["vector"].as_py()]
+        self.groups = min(map(len, vectors))
+        self.points = np.stack([folded(vector, self.groups) for vector in vectors])
+
+    def at(self, groups: int) -> np.ndarray:
+        return self.points.reshape(len(self.points), -1, groups).sum(axis=1)
+
+
+def _leaf_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Points of two leaves that lie in different components and pass the bound; boxes are tried first."""
-    for frame in frames:
+    for batch in batches:
         found = set()
-        for left, right, same in zip(frame["points_a"], frame["points_b"], frame["same"], strict=True):
-            groups = min(min(len(p["vector"]) for p in points) // 4 for points in (left, right))
-            boxes = [np.stack([folded(np.frombuffer(p["vector"], np.int32), groups) for p in points]) for points in (left, right)]
-            sizes = [np.array([p["n"] for p in points]) for points in (left, right)]
-            parts = [np.array([p["component"] for p in points]) for points in (left, right)]
-            least = 3 * (sizes[0].min() + sizes[1].min())
-            if 7 * np.minimum(boxes[0].max(axis=0), boxes[1].max(axis=0)).sum() < least:
+        for row in range(batch.num_rows):
+            left, right = _Leaf(batch.column("points_a")[row]), _Leaf(batch.column("points_b")[row])
+            groups, same = min(left.groups, right.groups), batch.column("same")[row].as_py()
+            a, b = left.at(groups), right.at(groups)
+            if 7 * np.minimum(a.max(axis=0), b.max(axis=0)).sum() < 3 * (left.sizes.min() + right.sizes.min()):
                 continue
-            for i, point in enumerate(boxes[0]):
-                overlap = np.minimum(boxes[1], point).sum(axis=1)
-                n, m = sizes[0][i], sizes[1]
-                good = (7 * overlap >= 3 * (n + m)) & (4 * np.minimum(n, m) >= 3 * np.maximum(n, m)) & (parts[1] != parts[0][i])
+            for i, point in enumerate(a):
+                n, m = left.sizes[i], right.sizes
+                good = (right.parts != left.parts[i]) & (4 * np.minimum(n, m) >= 3 * np.maximum(n, m))
                 if same:
                     good[:i + 1] = False
-                found.update((min(left[i]["node"], right[j]["node"]), max(left[i]["node"], right[j]["node"])) for j in np.flatnonzero(good))
-            if len(found) > 100_000:
-                yield pd.DataFrame(found, columns=["a", "b"])
-                found = set()
-        yield pd.DataFrame(sorted(found), columns=["a", "b"], dtype="int64")
+                near = np.flatnonzero(good)
+                near = near[7 * np.minimum(b[near], point).sum(axis=1) >= 3 * (n + m[near])]
+                found.update((min(left.nodes[i], right.nodes[j]), max(left.nodes[i], right.nodes[j])) for j in near)
+        pairs = np.array(sorted(found), dtype=np.int64).reshape(-1, 2)
+        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
 
 def tree_pairs(lists: DataFrame, nodes: DataFrame, members: DataFrame) -> DataFrame:
     """Pairs across components that share a list and pass the trees' bounds; `members` has doc_id, node and component."""
-    placed = lists.select("token", "doc_id").join(members, "doc_id").select("token", "node", "component").distinct()
-    mixed = placed.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
-    points = placed.join(mixed.select("token"), "token", "left_semi").join(nodes, "node")
+    # Dealt by shingle once; all that follows up to the leaves keeps to that.
+    placed = lists.select("token", "doc_id").join(members, "doc_id").select("token", "node", "component").repartition("token").distinct()
+    whole = Window.partitionBy("token")
+    mixed = placed.select(
+        "*", F.min("component").over(whole).alias("low"), F.max("component").over(whole).alias("high")).where("low <> high")
+    points = mixed.select("token", "node", "component").join(nodes, "node")
     leaf = F.floor((F.row_number().over(Window.partitionBy("token").orderBy("n", "node")) - 1) / F.lit(LEAF)).alias("leaf")
     leaves = points.select("token", "node", "component", "n", "vector", leaf).groupBy("token", "leaf").agg(
-        F.collect_list(F.struct("node", "component", "n", "vector")).alias("points"),
+        F.struct(*[F.collect_list(name).alias(name) for name in ("node", "component", "n", "vector")]).alias("points"),
         F.min("n").alias("low"), F.max("n").alias("high"))
     left, right = leaves.alias("l"), leaves.alias("r")
     met = left.join(right, F.expr("l.token = r.token AND l.leaf <= r.leaf AND 4 * l.high >= 3 * r.low"))
     return met.select(
         F.col("l.points").alias("points_a"), F.col("r.points").alias("points_b"), (F.col("l.leaf") == F.col("r.leaf")).alias("same")
-    ).mapInPandas(_leaf_pairs, "a long, b long").distinct()
+    ).mapInArrow(_leaf_pairs, "a long, b long").distinct()
 
 
 def joined(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles and component_id of every row of `docs` (doc_id, text)."""
     docs = slim(docs, "doc_id", "text")
+    with batches_of(docs.sparkSession, BATCH_ROWS):
+        return _joined(docs)
+
+
+def _joined(docs: DataFrame) -> DataFrame:
     profile = kept(docs.mapInArrow(_profile, "doc_id long, n long, key1 long, key2 long, vector binary"))
-    named = docs.where("doc_id IS NOT NULL")
     full = profile.where("n > 0 AND doc_id IS NOT NULL")
     keys = ["n", "key1", "key2"]
     classes = full.groupBy(*keys).agg(F.min("doc_id").alias("node"), F.min("vector").alias("vector"))
-    nodes = kept(classes.select("node", "n", "vector"))
-    owners = kept(full.select("doc_id", *keys).join(classes.select("node", *keys), keys).select("doc_id", "node").distinct())
+    nodes = kept(classes.select("node", "n", "vector", "key1", "key2"))
+    owners = kept(full.select("doc_id", *keys).join(nodes.select("node", *keys), keys).select("doc_id", "node").distinct())
     copies = owners.where("doc_id <> node").select(F.col("node").alias("a"), F.col("doc_id").alias("b"))
-    lists = _lists(named)
+    lists = _lists(docs.where("doc_id IS NOT NULL"))
 
     def by_node(pairs: DataFrame) -> DataFrame:
         first = pairs.join(owners.select(F.col("doc_id").alias("a"), F.col("node").alias("node_a")), "a")
         both = first.join(owners.select(F.col("doc_id").alias("b"), F.col("node").alias("node_b")), "b")
         return both.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).where("a <> b").distinct()
 
-    tried = kept(bounded(by_node(_star_pairs(lists)), nodes))
-    stars = kept(verified(tried, named))
+    starred = kept(by_node(_star_pairs(lists)))
+    # Every later comparison is of documents that share a list with another node: their texts are set apart once.
+    ids = starred.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    texts = kept(docs.join(ids.hint("merge"), "doc_id", "left_semi"))
+    tried = kept(bounded(starred, nodes))
+    stars = kept(verified(tried, texts))
     labels = components(stars.union(copies))
     members = owners.join(labels, F.col("doc_id") == labels.node, "left").select(
         "doc_id", owners.node, F.coalesce("component", "doc_id").alias("component"))
     known = tried.select("a", "b").union(tried.select("b", "a"))
     rest = kept(tree_pairs(lists, nodes, members).join(known, ["a", "b"], "left_anti"))
     if not rest.isEmpty():
-        labels = components(stars.union(copies).union(verified(rest, named)))
+        labels = components(stars.union(copies).union(kept(verified(rest, texts))))
     final = labels.select(F.col("node").alias("doc_id"), "component")
     return profile.select("doc_id", "n").join(final, "doc_id", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))

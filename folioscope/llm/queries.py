@@ -99,14 +99,14 @@ def op5(spark: SparkSession, folder: str) -> DataFrame:
 WITH RECURSIVE worded AS (
     SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
         '[^\x20\x09-\x0D]+') AS words FROM documents),
-shingled AS (
+shingled AS MATERIALIZED (
     SELECT doc_id, list_distinct(CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 5 THEN [hash(array_to_string(words, ' '))]
         ELSE [hash(array_to_string(words[i:i + 4], ' ')) FOR i IN range(1, len(words) - 3)] END) AS shingles FROM worded),
-sizes AS (SELECT doc_id, len(shingles)::BIGINT AS n FROM shingled),
-rows AS (SELECT doc_id, unnest(shingles) AS shingle FROM shingled),
-shared AS (
+sizes AS MATERIALIZED (SELECT doc_id, len(shingles)::BIGINT AS n FROM shingled),
+rows AS MATERIALIZED (SELECT doc_id, unnest(shingles) AS shingle FROM shingled),
+shared AS MATERIALIZED (
     SELECT l.doc_id AS a, r.doc_id AS b, count(*) AS o FROM rows l JOIN rows r ON l.shingle = r.shingle AND l.doc_id <> r.doc_id GROUP BY ALL),
-links AS (
+links AS MATERIALIZED (
     SELECT a, b FROM shared JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * o >= 75 * (x.n + y.n - o)),
 reach AS (SELECT doc_id AS a, doc_id AS b FROM sizes UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a)
 SELECT doc_id, n AS n_shingles, component_id FROM sizes JOIN (SELECT a, min(b) AS component_id FROM reach GROUP BY a) ON a = doc_id""")
