@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from folioscope.session import shared_dir
 
-from . import decontamination, mixing, ngram_join, quality_rules, secret_scan, sharding, url_filters
+from . import decontamination, html_extraction, mixing, ngram_join, quality_rules, secret_scan, sharding, url_filters
 from .common import slim, table, whole_text
 
 QUERIES = {}
@@ -90,6 +90,12 @@ def op2(spark: SparkSession, folder: str) -> DataFrame:
         F.lit(None).cast("int").alias("grown_shard"), "virtual_slot")
 
 
+@query("op3_html_extraction")
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    pages = html_extraction.extracted(slim(table(spark, folder, "pages"), "page_id", "url", "html"))
+    return pages.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 @query("op5_decontamination")
 def op5(spark: SparkSession, folder: str) -> DataFrame:
     return decontamination.leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
