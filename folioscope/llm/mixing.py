@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import whole_text, words_of
+from .common import kept, whole_text, words_of
 
 WEIGHTS = (5, 2, 1)
 MAX_REPEATS = 3
@@ -87,7 +87,9 @@ def _starts(rows: DataFrame) -> DataFrame:
 def copies(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, seed: str = SEED) -> DataFrame:
     """`rows` (doc_id, source, size, and a struct `row` if any) with source_size, target and the number of `copies`."""
     salted = rows.withColumn("salt", F.pmod(F.coalesce("doc_id", F.lit(0)), F.lit(SALTS)).cast("int"))
-    counted = rows.select("doc_id", "source", "size").withColumn("salt", F.pmod(F.coalesce("doc_id", F.lit(0)), F.lit(SALTS)).cast("int"))
+    counted = kept(salted.select("doc_id", "source", "size", "salt"))  # sizes are read several times, texts once
+    if set(rows.columns) == {"doc_id", "source", "size"}:
+        salted = counted
     in_group = Window.partitionBy("source", "size", "salt").orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id")
     placed = salted.withColumn("in_group", F.row_number().over(in_group) - 1)
     known = placed.alias("p").join(
