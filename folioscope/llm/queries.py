@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from folioscope.session import shared_dir
 
-from . import decontamination, html_extraction, mixing, ngram_join, quality_rules, secret_scan, sharding, url_filters
+from . import decontamination, html_extraction, mixing, ngram_join, quality_rules, secret_scan, sharding, toxicity, url_filters
 from .common import slim, table, whole_text
 
 QUERIES = {}
@@ -96,6 +96,15 @@ def op3(spark: SparkSession, folder: str) -> DataFrame:
     return pages.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
+@query("op4_toxicity")
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    docs = slim(table(spark, folder, "documents"), "doc_id", "text")
+    rows = toxicity.scored(docs, toxicity.train(docs, table(spark, folder, "labels")))
+    return rows.select(
+        "doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score",
+        (F.col("score") >= toxicity.CUT).cast("int").alias("predicted"))
+
+
 @query("op5_decontamination")
 def op5(spark: SparkSession, folder: str) -> DataFrame:
     return decontamination.leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
