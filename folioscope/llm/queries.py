@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from folioscope.session import shared_dir
 
-from . import decontamination, html_extraction, mixing, ngram_join, quality_rules, secret_scan, sharding, toxicity, url_filters
+from . import decontamination, html_extraction, line_dedup, mixing, ngram_join, quality_rules, secret_scan, sharding, toxicity, url_filters
 from .common import slim, table, whole_text
 
 QUERIES = {}
@@ -204,3 +204,8 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select(
         "doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"),
         F.sha2(secret_scan.described(base), 256).alias("base_sha256"), secret_scan.described(F.col("secrets")).alias("spans"))
+
+
+@query("op10_line_dedup")
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    return line_dedup.deduped(slim(table(spark, folder, "documents"), "doc_id", "text"))
