@@ -2,7 +2,8 @@
 
 Words and word pairs (the last word pairs with the end) of every document fall into `BUCKETS` hash buckets. Two multinomials over the buckets are counted
 over all rows: the raw corpus, and its rows with a trusted label. A document's score is the mean over its n-grams of
-log(trusted share / raw share), so its length cancels out. It is kept at `threshold` or more, always by the same cut.
+log(trusted share / raw share), so its length cancels out. `SMOOTHING` is added to the trusted count and to the count
+expected from the raw share, which draws the ratio of rare buckets towards 1. It is kept at `threshold` or more, always by the same cut.
 
 Defined results: a null or empty text has no words, counts of 0, score 0 and fails the base rules. Without any trusted
 row both multinomials agree and every score is 0, which passes. Repeated rows are counted and judged each. A repeated or
@@ -18,7 +19,7 @@ from .common import let, slim, whole_text, words_of
 
 BUCKETS = 1 << 16
 THRESHOLD = -0.2
-SMOOTHING = 1.0
+SMOOTHING = 10.0
 WINDOW = 8
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
@@ -75,12 +76,12 @@ def bucket_weights(raw: DataFrame, trusted: DataFrame, buckets: int = BUCKETS) -
         F.sum("raw").alias("raw_total"), F.sum("trusted").alias("trusted_total"),
         F.array_sort(F.collect_list(F.struct("bucket", "raw", "trusted"))).alias("cells"))
 
-    def share(count: Column, total: Column) -> Column:
-        return (count + F.lit(SMOOTHING)) / (total + F.lit(SMOOTHING * buckets))
+    def ratio(cell: Column) -> Column:
+        expected = cell["raw"] * (F.col("trusted_total") / F.col("raw_total"))
+        return F.log((cell["trusted"] + F.lit(SMOOTHING)) / (expected + F.lit(SMOOTHING)))
 
-    ratio = F.transform("cells", lambda cell: F.when(F.col("trusted_total") == 0, F.lit(0.0)).otherwise(
-        F.log(share(cell["trusted"], F.col("trusted_total")) / share(cell["raw"], F.col("raw_total")))))
-    return gathered.select(ratio.alias("weights"))
+    weights = F.transform("cells", lambda cell: F.when(F.col("trusted_total") == 0, F.lit(0.0)).otherwise(ratio(cell)))
+    return gathered.select(weights.alias("weights"))
 
 
 def judged(docs: DataFrame, trusted: DataFrame, threshold: float = THRESHOLD, buckets: int = BUCKETS) -> DataFrame:
