@@ -23,7 +23,6 @@ MIN_TOKENS = 50
 CHARS_PER_TOKEN = 1.6
 
 # --- Fixed values: catalogue ------------------------------------------------------
-LANG_SAMPLE_CHARS = 4000
 LANG_ZH_SHARE = 0.2
 MAX_INSTITUTION_CHARS = 12
 FUTURE_TOLERANCE_DAYS = 7
@@ -42,7 +41,6 @@ TOP_THEMES_LIMIT = 30
 SUBCATEGORY_LIMIT = 12
 INSTITUTION_FLOOR = 3
 UNKNOWN_BUCKET = "未知"
-KEYWORDS_PER_SEGMENT = 12
 SLUG_CHARS = 40
 DRIFT_MIN_DOCS = 8
 DRIFT_MIN_INSTITUTIONS = 3

@@ -12,7 +12,7 @@ from .text import ascii_lower, let
 def _regex(pattern: str) -> str:
     parts = re.split("([%_])", pattern)
     wild = {"%": ".*", "_": "."}
-    return "".join(wild.get(part) or (rf"\Q{part}\E" if part else "") for part in parts)
+    return "".join(wild.get(part) or re.sub(r"([^\w\s])", r"\\\1", part, flags=re.ASCII) for part in parts)
 
 
 def like(text: Column, pattern: str) -> Column:
@@ -35,11 +35,11 @@ def contains_any(text: Column, needles: list[str]) -> Column:
 KEY_LENGTHS = (5, 2, 1)
 
 
-def _match_key(pattern: Column) -> Column:
+def _match_key(pattern: Column, literal: bool) -> Column:
     """First literal piece of a pattern in the longest listed length it has, else ''."""
     key = F.lit("")
     for length in reversed(KEY_LENGTHS):
-        piece = F.regexp_extract(pattern, f"[^%_]{{{length}}}", 0)
+        piece = F.regexp_extract(pattern, f"(?s){'.' if literal else '[^%_]'}{{{length}}}", 0)
         key = F.when(piece != "", piece).otherwise(key)
     return key
 
@@ -60,15 +60,15 @@ def _text_keys(text: Column) -> Column:
     return let(F.split(text, ""), pieces)
 
 
-def substring_join(texts: DataFrame, text: str, patterns: DataFrame, pattern: str) -> DataFrame:
-    """Rows of both sides where text LIKE '%pattern%'.
+def substring_join(texts: DataFrame, text: str, patterns: DataFrame, pattern: str, literal: bool = False) -> DataFrame:
+    """Rows of both sides where text LIKE '%pattern%'; `literal` patterns hold no wildcards.
 
     Both sides meet on a short literal key, so the join is an equi-join that Spark can
     broadcast or split by size; the LIKE itself only checks the rows that met.
     """
     keyed_patterns = patterns.withColumn("_pattern", ascii_lower(F.col(pattern)))
     keyed_patterns = keyed_patterns.where(F.col("_pattern").isNotNull()).withColumn(
-        "_key", _match_key(F.col("_pattern"))
+        "_key", _match_key(F.col("_pattern"), literal)
     )
     keyed_texts = texts.withColumn("_text", ascii_lower(F.col(text)))
     keyed_texts = keyed_texts.where(F.col("_text").isNotNull()).withColumn(
@@ -78,7 +78,8 @@ def substring_join(texts: DataFrame, text: str, patterns: DataFrame, pattern: st
     escaped = F.regexp_replace("_pattern", r"\\", r"\\\\")
     met = keyed_texts.join(keyed_patterns, "_key").withColumn("_escaped", F.concat(F.lit("%"), escaped, F.lit("%")))
     # Patterns without wildcards, nearly all of them, need a plain search only.
-    matches = F.when(F.col("_pattern").rlike("[%_]"), F.like("_text", F.col("_escaped"))).otherwise(
-        F.col("_text").contains(F.col("_pattern"))
-    )
+    plain = F.col("_text").contains(F.col("_pattern"))
+    matches = plain if literal else F.when(
+        F.col("_pattern").rlike("[%_]"), F.like("_text", F.col("_escaped"))
+    ).otherwise(plain)
     return met.where(matches).drop("_key", "_text", "_pattern", "_escaped")

@@ -5,11 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from . import fixed
-from .text import all_matches, strip
+from .text import all_matches, let, strip
 
 STOCK_CODE = r"[（(](\d{6})[)）]"
 PAGE_COUNT = r"-(\d+)页"
-DATE_ANCHOR = r"-(\d{6})(?=-|$)"
 
 
 def base_name(path: Column) -> Column:
@@ -24,44 +23,56 @@ def url_decoded(text: Column) -> Column:
     """Decode %XX escapes only; a text with a stray percent sign stays as it is."""
     guarded = F.replace(text, F.lit("+"), F.lit("%2B"))
     protected = F.regexp_replace(guarded, "%(?![0-9A-Fa-f]{2})", "%25")
-    return F.coalesce(F.try_url_decode(protected), text)
+    return F.when(text.contains("%"), F.coalesce(F.try_url_decode(protected), text)).otherwise(text)
 
 
 def parsed_name(file_name: Column) -> Column:
     """STRUCT(institution, title, yymmdd, stock_code, page_count, reason)."""
-    name = url_decoded(stem(file_name))
-    work = F.regexp_replace(name, r"-\d+页$", "")
-    stamps = all_matches(work, DATE_ANCHOR, 1)
-    dated = F.size(stamps) > 0
-    stamp = F.try_element_at(stamps, F.lit(-1))
-    # Text around the last date anchor; the greedy first group makes it the last one.
-    split_last = rf"^(.*){DATE_ANCHOR}(.*)$"
-    before = F.regexp_extract(work, split_last, 1)
-    after = F.regexp_replace(F.regexp_extract(work, split_last, 3), "^-+|-+$", "")
-    trailing = dated & (after != "") & ~after.contains("页") & (F.length(after) <= fixed.MAX_INSTITUTION_CHARS)
-    head = F.when(dated, before).otherwise(name)
-    first = F.substring_index(head, "-", 1)
-    rest = F.when(head.contains("-"), F.substring(head, F.length(first) + 2, F.length(head))).otherwise("")
-    institution = strip(F.when(trailing, after).when(rest == "", "").otherwise(first))
-    title = F.when(trailing, before).when(rest == "", first).otherwise(rest)
-    title = F.regexp_replace(title, "^[ _-]+|[ _-]+$", "")
-    cjk = F.length(F.regexp_replace(institution, "[^一-鿿]", ""))
-    suspect = (institution != "") & (
-        (cjk > fixed.MAX_INSTITUTION_CHARS) | institution.rlike("[：（）:]")
-    )
-    reason = F.when(institution == "", fixed.REASON_INSTITUTION_MISSING).when(
-        suspect, fixed.REASON_INSTITUTION_SUSPECT
-    )
-    pages = F.regexp_extract(name, PAGE_COUNT, 1)
-    code = F.regexp_extract(name, STOCK_CODE, 1)
-    return F.struct(
-        F.when(institution == "", fixed.UNKNOWN_INSTITUTION).otherwise(institution).alias("institution"),
-        F.when(title == "", name).otherwise(title).alias("title"),
-        stamp.alias("yymmdd"),
-        F.when(code != "", code).alias("stock_code"),
-        pages.try_cast("int").alias("page_count"),
-        reason.alias("reason"),
-    )
+
+    def dated(name: Column) -> Column:
+        # The greedy first group makes it the last date anchor.
+        work = F.regexp_replace(name, r"-\d+页$", "")
+        return let(work, lambda text: _parts(name, text, all_matches(text, r"^.*-(?=\d{6}(?:-|$))", 0)))
+
+    return let(url_decoded(stem(file_name)), dated)
+
+
+def _parts(name: Column, work: Column, anchors: Column) -> Column:
+    """The parts of a decoded name; `anchors` holds the text up to the dash before its last date, if any."""
+
+    def cut(anchor: Column) -> Column:
+        behind = F.substring(work, F.length(anchor) + 1, F.length(work))
+        after = F.regexp_replace(F.substring(behind, F.lit(7), F.length(behind)), "^-+|-+$", "")
+        return F.struct(
+            F.substring(anchor, F.lit(1), F.length(anchor) - 1).alias("before"), F.substring(behind, 1, 6).alias("stamp"),
+            after.alias("after"))
+
+    def named(split: Column) -> Column:
+        trailing = split["stamp"].isNotNull() & (split["after"] != "") & ~split["after"].contains("页") & (
+            F.length(split["after"]) <= fixed.MAX_INSTITUTION_CHARS)
+        head = F.coalesce(split["before"], name)
+        first = F.substring_index(head, "-", 1)
+        rest = F.when(head.contains("-"), F.substring(head, F.length(first) + 2, F.length(head))).otherwise("")
+        institution = F.when(F.coalesce(trailing, F.lit(False)), split["after"]).when(rest == "", "").otherwise(first)
+        title = F.when(F.coalesce(trailing, F.lit(False)), split["before"]).when(rest == "", first).otherwise(rest)
+        return F.struct(
+            strip(institution).alias("institution"), F.regexp_replace(title, "^[ _-]+|[ _-]+$", "").alias("title"),
+            split["stamp"].alias("stamp"))
+
+    def finished(parts: Column) -> Column:
+        institution = parts["institution"]
+        cjk = F.length(F.regexp_replace(institution, "[^一-鿿]", ""))
+        suspect = (institution != "") & ((cjk > fixed.MAX_INSTITUTION_CHARS) | institution.rlike("[：（）:]"))
+        reason = F.when(institution == "", fixed.REASON_INSTITUTION_MISSING).when(suspect, fixed.REASON_INSTITUTION_SUSPECT)
+        code = F.regexp_extract(name, STOCK_CODE, 1)
+        return F.struct(
+            F.when(institution == "", fixed.UNKNOWN_INSTITUTION).otherwise(institution).alias("institution"),
+            F.when(parts["title"] == "", name).otherwise(parts["title"]).alias("title"),
+            parts["stamp"].alias("yymmdd"), F.when(code != "", code).alias("stock_code"),
+            F.regexp_extract(name, PAGE_COUNT, 1).try_cast("int").alias("page_count"), reason.alias("reason"))
+
+    anchor = F.try_element_at(anchors, F.lit(1))
+    return let(let(let(anchor, cut), named), finished)
 
 
 def category_from_path(path: Column) -> Column:

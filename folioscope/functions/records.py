@@ -58,14 +58,15 @@ def retry_delay(attempt: Column, base: Column, maximum: Column, server_delay: Co
     return F.least(maximum, F.greatest(base, wanted))
 
 
-def sub_query_lines(answer: Column, original: Column) -> Column:
-    """Original question plus one sub-query per answer line, distinct, capped."""
+def sub_query_lines(answer: Column, original: Column, limit: int | None = None) -> Column:
+    """Original question plus one sub-query per answer line, distinct; at most `limit` of them where it is given."""
     cleaned = F.transform(
         F.split(answer, "\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"),
         lambda line: F.regexp_replace(line, "^[ \\-·•\t\u3000]+|[ \\-·•\t\u3000]+$", ""),
     )
     wanted = F.filter(F.concat(F.array(original), cleaned), lambda line: line != "")
-    return F.slice(F.array_distinct(wanted), 1, fixed.SUBQUERY_CAP)
+    distinct = F.array_distinct(wanted)
+    return distinct if limit is None else F.slice(distinct, 1, limit)
 
 
 def markdown_images(text: Column) -> Column:

@@ -115,9 +115,9 @@ def windows(text: Column) -> Column:
 
 
 def detect_language(text: Column) -> Column:
-    head = F.substring(text, 1, fixed.LANG_SAMPLE_CHARS)
-    cjk = F.length(F.regexp_replace(head, "[^一-鿿]", ""))
-    letters = F.length(F.regexp_replace(head, "[^A-Za-z]", ""))
+    """By the share of CJK characters among the letters of the whole text."""
+    cjk = F.length(F.regexp_replace(text, "[^一-鿿]+", ""))
+    letters = F.length(F.regexp_replace(text, "[^A-Za-z]+", ""))
     return (
         F.when(cjk + letters == 0, "und")
         .when(cjk / (cjk + letters) >= fixed.LANG_ZH_SHARE, "zh")

@@ -76,11 +76,11 @@ def chain_diff(old: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def segment_keywords(nodes: DataFrame) -> DataFrame:
-    """(theme, node_id, keyword): the leading keywords of each segment."""
+    """(theme, node_id, keyword): all keywords of each segment."""
     segments = nodes.where(F.col("node_type") == "segment")
     filled = F.filter("keywords", lambda word: word.isNotNull() & (strip(word) != ""))
     return segments.select(
-        "theme", "node_id", F.explode(F.slice(filled, 1, fixed.KEYWORDS_PER_SEGMENT)).alias("keyword")
+        "theme", "node_id", F.explode(filled).alias("keyword")
     )
 
 

@@ -64,9 +64,9 @@ def theme_lift(
 
 
 def recency_cutoff(documents: DataFrame, today: dt.date, recent_days: int) -> Column:
-    """Newest report date, never later than today, minus the window."""
+    """Newest report date, never later than today, minus the window; NULL without any date."""
     newest = documents.agg(F.max("report_date").alias("d")).scalar()
-    return F.date_sub(F.least(newest, F.lit(today)), recent_days)
+    return F.when(newest.isNotNull(), F.date_sub(F.least(newest, F.lit(today)), recent_days))
 
 
 def uncovered(candidates: DataFrame, segments: DataFrame) -> DataFrame:
@@ -97,18 +97,12 @@ def without_peers(candidates: DataFrame, chain_themes: DataFrame, key: str = "ca
     """Drops candidates whose name contains, or is part of, the name of a tree."""
     names = chain_themes.select(canonical_name(F.col("theme")).alias("peer")).where(F.length("peer") >= 2).distinct()
     keys = candidates.select(key).distinct().where(F.length(key) >= 2)
-    plain_names = names.select(_literal(F.col("peer")).alias("peer_pattern"), "peer")
-    inside = substring_join(keys, key, plain_names, "peer_pattern").select(key)
-    around = substring_join(names, "peer", keys.select(_literal(F.col(key)).alias("key_pattern"), key), "key_pattern")
+    inside = substring_join(keys, key, names, "peer", literal=True).select(key)
+    around = substring_join(names, "peer", keys, key, literal=True)
     peers = inside.unionByName(around.select(key)).distinct()
     return candidates.join(peers, key, "left_anti")
 
 
-def _literal(name: Column) -> Column:
-    """Folded names hold no wildcards except a literal percent sign, which must stay literal."""
-    return F.replace(name, F.lit("%"), F.lit("％"))
-
-
 def detect_drift(
     documents: DataFrame,
     doc_themes: DataFrame,
@@ -126,7 +120,8 @@ def detect_drift(
         (F.col("docs") >= min_docs) & (F.col("insts") >= min_insts)
     )
     cutoff = recency_cutoff(documents, today, recent_days)
-    recent = statistics.where(F.col("last_seen") >= cutoff)
+    # Without a cut-off there is nothing to compare with, and all candidates stay.
+    recent = statistics.where(cutoff.isNull() | (F.col("last_seen") >= cutoff))
     lifted = theme_lift(recent, documents, doc_themes, matches).where(F.col("lift") >= min_lift)
     # A few rows per tree from here on; written out so that the name checks below,
     # which read them several times, do not repeat the joins above.

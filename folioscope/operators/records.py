@@ -82,13 +82,17 @@ def clean_history(turns: DataFrame) -> DataFrame:
 
 
 def match_results(records: DataFrame, items: DataFrame) -> DataFrame:
-    """Service results by document id, by file name where the id is missing."""
-    by_id = items.where(F.col("data_id").isNotNull()).select(
-        F.col("data_id").cast("string").alias("doc_id"), F.struct(*items.columns).alias("id_item")
-    )
-    by_name = items.select(
-        F.coalesce(F.nullif("file_name", F.lit("")), "name").alias("base_name"), F.struct(*items.columns).alias("name_item")
-    )
+    """Service results by document id, by file name where the id is missing.
+
+    Of several items under one id or name the last of the response stands: by `position` where items have one,
+    else by the item's own values, so that a record never multiplies.
+    """
+    item = F.struct(*items.columns)
+    order = F.struct("position", item) if "position" in items.columns else item
+    by_id = items.where(F.col("data_id").isNotNull()).groupBy(F.col("data_id").cast("string").alias("doc_id")).agg(
+        F.max_by(item, order).alias("id_item"))
+    name = F.coalesce(F.nullif("file_name", F.lit("")), "name")
+    by_name = items.where(name.isNotNull()).groupBy(name.alias("base_name")).agg(F.max_by(item, order).alias("name_item"))
     named = records.withColumn("base_name", F.regexp_extract("source", r"[^/\\]*$", 0))
     joined = named.join(by_id, "doc_id", "left").join(by_name, "base_name", "left")
     return joined.withColumn("item", F.coalesce("id_item", "name_item")).where(F.col("item").isNotNull()).drop(

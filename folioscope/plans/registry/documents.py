@@ -31,8 +31,8 @@ def doc_filter(spark, sf):
 @REGISTRY.add(
     "lang_detect",
     """WITH counted AS (
-  SELECT doc_id, length(regexp_replace(substr(text, 1, 4000), '[^一-鿿]', '', 'g')) AS cjk,
-         length(regexp_replace(substr(text, 1, 4000), '[^A-Za-z]', '', 'g')) AS latin FROM (
+  SELECT doc_id, length(regexp_replace(text, '[^一-鿿]', '', 'g')) AS cjk,
+         length(regexp_replace(text, '[^A-Za-z]', '', 'g')) AS latin FROM (
     SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN regexp_replace(text, 'e', '研报', 'g') WHEN doc_id % 7 = 1 THEN '12 34' ELSE text END AS text
     FROM documents))
 SELECT doc_id, CASE WHEN cjk + latin = 0 THEN 'und' WHEN cjk::DOUBLE / (cjk + latin) >= 0.2 THEN 'zh' ELSE 'en' END AS lang FROM counted""",

@@ -1,5 +1,7 @@
 """Logs, snapshots, caches, service answers and streams."""
 
+import datetime as dt
+
 from pyspark.sql import functions as F
 
 from ...functions.amounts import first_number
@@ -170,13 +172,12 @@ def history_clean(spark, sf):
 
 @REGISTRY.add(
     "extraction_todo",
-    f"""WITH {DOCS} SELECT doc_id, report_date FROM docs WHERE doc_id NOT IN (SELECT CAST(doc_id AS VARCHAR) FROM labels WHERE toxic + 1 = 1)
-ORDER BY report_date DESC NULLS LAST, doc_id LIMIT 100""",
+    f"""WITH {DOCS} SELECT doc_id, report_date FROM docs WHERE doc_id NOT IN (SELECT CAST(doc_id AS VARCHAR) FROM labels WHERE toxic + 1 = 1)""",
 )
 def extraction_todo(spark, sf):
     """Labels stand for the extraction log, their toxic mark for its schema version."""
     log = t.table(spark, sf, "labels").select(F.col("doc_id").cast("string").alias("doc_id"), (F.col("toxic") + 1).alias("schema_ver"))
-    return fact_plans.todo_documents(t.text_documents(spark, sf), log, 1, 100).select("doc_id", "report_date")
+    return fact_plans.todo_documents(t.text_documents(spark, sf), log, 1).select("doc_id", "report_date")
 
 
 def _answers(spark, sf):
@@ -358,11 +359,10 @@ def cache_lookup(spark, sf):
 
 @REGISTRY.add(
     "stream_weekly_heat",
-    """SELECT date_trunc('week', ts)::DATE AS week_start, event_type AS theme, count(*) AS docs FROM events
-WHERE date_trunc('week', ts) + INTERVAL 7 DAY <= (SELECT max(ts) - INTERVAL 1 DAY FROM events) GROUP BY ALL""",
+    """SELECT date_trunc('week', ts)::DATE AS week_start, event_type AS theme, count(*) AS docs FROM events GROUP BY ALL""",
 )
 def stream_weekly_heat(spark, sf):
-    """events read as a stream of tagged documents; weeks the watermark has closed."""
+    """events read as a stream of tagged documents: weeks the watermark has closed, and the open ones from the table."""
     source = t.table(spark, sf, "events")
     stream = spark.readStream.schema(source.schema).option("pathGlobFilter", "events.parquet").parquet(sf)
     tagged = stream.select(
@@ -371,4 +371,41 @@ def stream_weekly_heat(spark, sf):
     base = f"{shared_dir(spark)}/stream-{spark.range(1).select(F.uuid()).first()[0]}"
     heat = streams.weekly_heat(tagged, "1 day").select(F.to_date("window.start").alias("week_start"), "theme", "docs")
     streams.write_append(heat, f"{base}/out", f"{base}/checkpoint").awaitTermination()
-    return spark.read.schema(heat.schema).parquet(f"{base}/out")
+    closed = spark.read.schema(heat.schema).parquet(f"{base}/out")
+    rows = source.select(F.col("event_id").alias("doc_id"), F.col("event_type").alias("theme"), F.col("ts").cast("timestamp").alias("ts"))
+    return streams.with_open_weeks(closed, rows)
+
+
+@REGISTRY.add(
+    "quarantine_split",
+    """WITH dated AS (SELECT event_id, CASE WHEN event_id % 50 <> 0 THEN ts END AS ts FROM events)
+SELECT event_id, coalesce(CASE WHEN ts < TIMESTAMP '2024-02-01' + INTERVAL 8 DAY THEN 'trusted' END, 'quarantined') AS side FROM dated""",
+)
+def quarantine_split(spark, sf):
+    """events with every fiftieth date lost, on either side of a date that is in the future."""
+    dated = t.table(spark, sf, "events").select(
+        "event_id", F.when(F.col("event_id") % 50 != 0, F.col("ts")).cast("timestamp").alias("ts"))
+    trusted, held = streams.split_future(dated, dt.date(2024, 2, 1))
+    return trusted.select("event_id", F.lit("trusted").alias("side")).union(held.select("event_id", F.lit("quarantined").alias("side")))
+
+
+@REGISTRY.add(
+    "match_results",
+    """WITH items AS (SELECT user_id AS data_id, event_id AS position, event_type AS state, 'file' || user_id || '.pdf' AS name FROM events),
+by_id AS (SELECT data_id, arg_max(position, position) AS position, arg_max(state, position) AS state FROM items WHERE data_id % 2 = 0 GROUP BY ALL),
+by_name AS (SELECT name, arg_max(position, position) AS position, arg_max(state, position) AS state FROM items GROUP BY ALL),
+records AS (SELECT c_custkey AS id, 'in/file' || c_custkey || '.pdf' AS source FROM customer)
+SELECT id, coalesce(i.position, n.position) AS position, coalesce(i.state, n.state) AS state FROM records
+LEFT JOIN by_id i ON i.data_id = id LEFT JOIN by_name n ON 'in/' || n.name = source WHERE coalesce(i.position, n.position) IS NOT NULL""",
+)
+def match_results(spark, sf):
+    """Customers as log records, events as service results: even users by id, odd ones by file name, the last event stands."""
+    events = t.table(spark, sf, "events")
+    name = F.concat(F.lit("file"), F.col("user_id").cast("string"), F.lit(".pdf"))
+    items = events.select(
+        F.when(F.col("user_id") % 2 == 0, F.col("user_id")).alias("data_id"), F.lit("").alias("file_name"), name.alias("name"),
+        F.col("event_id").alias("position"), F.col("event_type").alias("state"))
+    key = F.col("c_custkey")
+    kept = t.table(spark, sf, "customer").select(
+        key.alias("id"), key.cast("string").alias("doc_id"), F.concat(F.lit("in/file"), key.cast("string"), F.lit(".pdf")).alias("source"))
+    return records.match_results(kept, items).select("id", "item.position", "item.state")

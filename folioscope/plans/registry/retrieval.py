@@ -47,21 +47,14 @@ def bm25_filtered(spark, sf):
     return search.lexical_search(index, t.text_queries(spark, sf), eligible=eligible)
 
 
-# The first analysis: sixteen queries at most.
-FIRST_ANALYSIS = LEXICAL.format(limit=40).replace(
-    "FROM scored)", "FROM scored WHERE query_id IN (SELECT CAST(item_id AS VARCHAR) FROM benchmark ORDER BY item_id LIMIT 16))"
-)
-
-
 @REGISTRY.add(
     "bm25_postings",
-    f"WITH {CHUNKS}, {POSTINGS}, {FIRST_ANALYSIS} SELECT query_id, chunk_id, score, CAST(rank AS INTEGER) AS rank FROM lexical",
+    f"WITH {CHUNKS}, {POSTINGS}, {LEXICAL.format(limit=40)} SELECT query_id, chunk_id, score, CAST(rank AS INTEGER) AS rank FROM lexical",
 )
 def bm25_postings(spark, sf):
-    """One analysis' sub-queries answered from postings alone."""
+    """All queries answered from postings alone."""
     index = t.text_index(spark, sf)
-    queries = t.text_queries(spark, sf).orderBy(F.col("query_id").cast("bigint")).limit(fixed.SUBQUERY_CAP)
-    scored = search.bm25_from_postings(search.build_postings(index), index, queries)
+    scored = search.bm25_from_postings(search.build_postings(index), index, t.text_queries(spark, sf))
     return search.top_ranked(scored, [F.desc("score")], fixed.ROUTE_TOPK)
 
 

@@ -80,7 +80,7 @@ UNITS = "units(unit, multiple, norm_unit) AS (VALUES " + ", ".join(
 TREES = """
 counted AS (SELECT p_brand, p_type, p_name, count(*) AS n FROM part GROUP BY ALL),
 placed AS (SELECT *, row_number() OVER (PARTITION BY p_brand, p_type ORDER BY n DESC, p_name) AS place FROM counted),
-picked AS (SELECT * FROM placed WHERE place <= 3),
+picked AS (SELECT * FROM placed),
 slugged AS (
   SELECT *, regexp_replace(p_brand, '[^A-Za-z0-9_]+', '-', 'g') AS theme_slug,
          dense_rank() OVER (PARTITION BY p_brand ORDER BY p_type) - 1 AS group_no,

@@ -169,17 +169,11 @@ def brand_facts(spark: SparkSession, folder: str) -> DataFrame:
     return line_facts(spark, folder, "p_brand").withColumn("entity", company.otherwise(F.col("entity")))
 
 
-SEGMENTS_PER_GROUP = 3
-
-
 def brand_trees(spark: SparkSession, folder: str) -> DataFrame:
-    """Trees (theme, groups): brand > part type > its most frequent part names.
-
-    A brand has at most as many groups as there are part types, three names in each.
-    """
+    """Trees (theme, groups): brand > part type > its part names, most frequent first."""
     counts = table(spark, folder, "part").groupBy("p_brand", "p_type", "p_name").agg(F.count("*").alias("n"))
     window = Window.partitionBy("p_brand", "p_type").orderBy(F.desc("n"), "p_name")
-    top = counts.withColumn("place", F.row_number().over(window)).where(F.col("place") <= SEGMENTS_PER_GROUP)
+    top = counts.withColumn("place", F.row_number().over(window))
     segment = F.struct(
         "place",
         F.struct(

@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions import fixed
-from ..operators.records import upsert
 from ..sources.manifest import MANIFEST_SCHEMA
 from ..sources.sinks import read_snapshot, write_snapshot
 
@@ -20,21 +19,20 @@ def read_manifest_stream(spark: SparkSession, folder: str) -> DataFrame:
 def maintain_latest(manifest: DataFrame, store: str, checkpoint: str) -> StreamingQuery:
     """Keeps the latest record per content hash in snapshots below `store`.
 
-    Records of one batch are ordered by their own times; a batch that is replayed after a
-    failure leads to the same snapshot, since an upsert of the same rows changes nothing.
+    Records are ordered by their own times, those of the snapshot included, so an older record
+    that comes later changes nothing, nor does a batch that is replayed after a failure.
     """
 
     def merge(batch: DataFrame, _: int) -> None:
         others = [name for name in batch.columns if name != "sha256"]
-        when = F.greatest("started_at", "uploaded_at", "finished_at")
-        latest = (
-            batch.where(F.col("sha256").isNotNull())
-            .groupBy("sha256")
-            .agg(F.max_by(F.struct(*others), when).alias("last"))
-            .select("sha256", "last.*")
-        )
+        rows = batch.where(F.col("sha256").isNotNull()).withColumn("newer", F.lit(1))
         current = read_snapshot(batch.sparkSession, store)
-        write_snapshot(latest if current is None else upsert(current, latest, ["sha256"]), store)
+        if current is not None:
+            rows = rows.unionByName(current.withColumn("newer", F.lit(0)))
+        # A record without times comes before all others; of equal times the later batch stands.
+        when = F.coalesce(F.greatest("started_at", "uploaded_at", "finished_at").cast("string"), F.lit(""))
+        latest = rows.groupBy("sha256").agg(F.max_by(F.struct(*others), F.struct(when, "newer")).alias("last"))
+        write_snapshot(latest.select("sha256", "last.*"), store)
 
     return (
         manifest.writeStream.foreachBatch(merge)
@@ -45,9 +43,9 @@ def maintain_latest(manifest: DataFrame, store: str, checkpoint: str) -> Streami
 
 
 def split_future(reports: DataFrame, today: dt.date) -> tuple[DataFrame, DataFrame]:
-    """(trusted, quarantined): dates beyond the tolerance would push a watermark past real data."""
+    """(trusted, quarantined): dates beyond the tolerance would push a watermark past real data, and so goes no date."""
     limit = F.lit(today + dt.timedelta(days=fixed.FUTURE_TOLERANCE_DAYS + 1)).cast("timestamp")
-    return reports.where(F.col("ts") < limit), reports.where(F.col("ts") >= limit)
+    return reports.where(F.col("ts") < limit), reports.where(F.col("ts").isNull() | (F.col("ts") >= limit))
 
 
 def weekly_heat(tagged: DataFrame, lateness: str = "7 days", by: str = "week") -> DataFrame:
@@ -56,8 +54,20 @@ def weekly_heat(tagged: DataFrame, lateness: str = "7 days", by: str = "week") -
     Weeks start on Monday; the epoch was a Thursday, hence the four-day shift.
     """
     marked = tagged.withWatermark("ts", lateness).dropDuplicatesWithinWatermark(["doc_id", "theme"])
-    window = F.window("ts", "7 days", startTime="4 days") if by == "week" else F.window("ts", "1 day")
-    return marked.groupBy(window, "theme").agg(F.count("*").alias("docs"))
+    if by == "month":
+        # Months differ in length; daily windows carry the watermark and are summed by month where they are read.
+        daily = marked.groupBy(F.window("ts", "1 day"), "theme").agg(F.count("*").alias("docs"))
+        return daily.withColumn("month", F.date_trunc("month", F.col("window.start")))
+    return marked.groupBy(F.window("ts", "7 days", startTime="4 days"), "theme").agg(F.count("*").alias("docs"))
+
+
+def with_open_weeks(closed: DataFrame, tagged: DataFrame) -> DataFrame:
+    """`closed` (week_start, theme, docs) with the weeks that the watermark has not closed, counted from the table itself."""
+    last = closed.agg(F.max("week_start").alias("week")).scalar()
+    week = F.to_date(F.date_trunc("week", F.col("ts")))
+    open_rows = tagged.withColumn("week_start", week).where(last.isNull() | (F.col("week_start") > last))
+    counted = open_rows.select("week_start", "theme", "doc_id").distinct().groupBy("week_start", "theme").agg(F.count("*").alias("docs"))
+    return closed.unionByName(counted.select(*closed.columns))
 
 
 def write_append(frame: DataFrame, target: str, checkpoint: str) -> StreamingQuery:

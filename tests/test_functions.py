@@ -110,4 +110,6 @@ def test_loose_json(spark):
 
 def test_sub_query_lines(spark):
     got = values(spark, records.sub_query_lines(F.col("v"), F.lit("q")), "- one\n·two\n\none\nq\n" + "\n".join(f"s{i}" for i in range(30)))[0]
-    assert got[:3] == ["q", "one", "two"] and len(got) == 16
+    assert got[:3] == ["q", "one", "two"] and len(got) == 33
+    few = values(spark, records.sub_query_lines(F.col("v"), F.lit("q"), 2), "one\ntwo\nthree")[0]
+    assert few == ["q", "one"]
