@@ -39,10 +39,11 @@ COUNT_CELLS = 1 << 17
 HOT_LIST = 4096
 LEAF = 128
 SPOKES = 64
-PER_GROUP = 8
+PER_GROUP = 2
 BATCH_ROWS = 1000
 MIN_GROUPS = 16
-MAX_GROUPS = 4096
+MAX_GROUPS = 16384
+ID_CELLS = 1 << 20
 
 
 def required(size: int) -> int:
@@ -182,11 +183,23 @@ def _overlap(left: np.ndarray, right: np.ndarray) -> bool:
 
 def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """Those of `pairs` (a, b) whose whole texts link. Documents with many partners are compared in parts of about `SPOKES`."""
+    cells = np.zeros(ID_CELLS, dtype=bool)
+    # At most `ID_CELLS` numbers; documents in other cells are in no pair and stay where they are.
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id"))
+    cells[ids.select(F.pmod(F.xxhash64("doc_id"), F.lit(ID_CELLS)).alias("cell")).distinct().toArrow()["cell"].to_numpy()] = True
+    wanted = docs.sparkSession.sparkContext.broadcast(cells)
+
+    def of_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(wanted.value[batch.column("cell").to_numpy()])).select(["doc_id", "text"])
+
+    cell = F.pmod(F.xxhash64("doc_id"), F.lit(ID_CELLS)).alias("cell")
+    near = docs.select("doc_id", "text", cell).mapInArrow(of_pairs, "doc_id long, text string")
     degree = pairs.groupBy("a").agg(F.ceil(F.count("*") / F.lit(SPOKES)).alias("parts"))
     dealt = pairs.join(degree, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("salt"))
     needs = dealt.select("a", "salt", F.lit(1).alias("role"), F.col("b").alias("id")).union(
         dealt.select("a", "salt").distinct().select("a", "salt", F.lit(0).alias("role"), F.col("a").alias("id")))
-    texts = needs.join(slim(docs, "doc_id", "text"), F.col("id") == F.col("doc_id")).select("a", "salt", "role", "id", "text")
+    texts = needs.join(near, F.col("id") == F.col("doc_id")).select("a", "salt", "role", "id", "text")
     return texts.repartition("a", "salt").sortWithinPartitions("a", "salt", "role").mapInArrow(
         _compared, "a long, b long").distinct()
 
@@ -254,12 +267,15 @@ def _leaf_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def tree_pairs(lists: DataFrame, nodes: DataFrame, members: DataFrame) -> DataFrame:
     """Pairs across components that share a list and pass the trees' bounds; `members` has doc_id, node and component."""
-    # Dealt by shingle once; all that follows up to the leaves keeps to that.
+    # Dealt by shingle once. Lists of one component need no look, nor lists of two nodes, whose one pair the stars tried.
+    # Equal lists, as the many shingles of a group of copies make, are one: named by two folds of their nodes.
     placed = lists.select("token", "doc_id").join(members, "doc_id").select("token", "node", "component").repartition("token").distinct()
     whole = Window.partitionBy("token")
     mixed = placed.select(
-        "*", F.min("component").over(whole).alias("low"), F.max("component").over(whole).alias("high")).where("low <> high")
-    points = mixed.select("token", "node", "component").join(nodes, "node")
+        "node", "component", F.min("component").over(whole).alias("low"), F.max("component").over(whole).alias("high"),
+        F.count("*").over(whole).alias("size"), F.bit_xor(F.xxhash64("node", F.lit(1))).over(whole).alias("one"),
+        F.bit_xor(F.xxhash64("node", F.lit(2))).over(whole).alias("two")).where("low <> high AND size > 2")
+    points = mixed.select(F.struct("size", "one", "two").alias("token"), "node", "component").distinct().join(nodes, "node")
     leaf = F.floor((F.row_number().over(Window.partitionBy("token").orderBy("n", "node")) - 1) / F.lit(LEAF)).alias("leaf")
     leaves = points.select("token", "node", "component", "n", "vector", leaf).groupBy("token", "leaf").agg(
         F.struct(*[F.collect_list(name).alias(name) for name in ("node", "component", "n", "vector")]).alias("points"),
@@ -286,7 +302,7 @@ def _joined(docs: DataFrame) -> DataFrame:
     nodes = kept(classes.select("node", "n", "vector", "key1", "key2"))
     owners = kept(full.select("doc_id", *keys).join(nodes.select("node", *keys), keys).select("doc_id", "node").distinct())
     copies = owners.where("doc_id <> node").select(F.col("node").alias("a"), F.col("doc_id").alias("b"))
-    lists = _lists(docs.where("doc_id IS NOT NULL"))
+    lists = _lists(docs.where("doc_id IS NOT NULL").select("doc_id", "text"))
 
     def by_node(pairs: DataFrame) -> DataFrame:
         first = pairs.join(owners.select(F.col("doc_id").alias("a"), F.col("node").alias("node_a")), "a")
@@ -294,9 +310,7 @@ def _joined(docs: DataFrame) -> DataFrame:
         return both.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).where("a <> b").distinct()
 
     starred = kept(by_node(_star_pairs(lists)))
-    # Every later comparison is of documents that share a list with another node: their texts are set apart once.
-    ids = starred.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = kept(docs.join(ids.hint("merge"), "doc_id", "left_semi"))
+    texts = docs.where("doc_id IS NOT NULL")
     tried = kept(bounded(starred, nodes))
     stars = kept(verified(tried, texts))
     labels = components(stars.union(copies))
