@@ -40,40 +40,45 @@ UNITS = (
     "percent degree degrees dollar dollars euro euros cent cents usd eur gbp").split()
 
 
-def template(text: Column) -> Column:
-    """Array of (word, slot): a literal with a null slot, or a placeholder with the value that it stands for."""
-    apart = F.when(text.rlike("[0-9]"), F.regexp_replace(
-        F.regexp_replace(text, "(?<=[0-9])(?=\\p{L})", " "), "(?<=[0-9])[.,:/](?=[0-9])", "_")).otherwise(text)
-    cleaned = F.filter(
-        F.transform(words_of(apart), lambda word: F.struct(
-            word.alias("raw"), F.regexp_replace(word, "[^\\p{L}\\p{N}_]+", "").alias("core"))),
-        lambda token: token["core"].rlike("[\\p{L}\\p{N}]"))
-
-    def number(core: Column) -> Column:
-        return core.rlike("^[0-9]") | F.lower(core).isin(NUMBER_WORDS)
-
-    def typed(tokens: Column) -> Column:
-        def one(token: Column, at: Column) -> Column:
-            before = F.get(tokens, at - 1)
-            core = F.lower(token["core"])
-            named = token["core"].rlike("^\\p{Lu}\\p{Ll}") & before.isNotNull() & ~before["raw"].rlike("[.!?:;|)\"'”]$")
-            kind = (
-                F.when(number(token["core"]), F.lit(NUMBER))
-                .when(core.isin(UNITS) & F.coalesce(number(before["core"]), F.lit(False)), F.lit(UNIT))
-                .when(named, F.lit(NAME)))
-            return F.struct(F.coalesce(kind, core).alias("word"), F.when(kind.isNotNull(), core).alias("slot"))
-
-        return F.transform(tokens, one)
-
-    return let(cleaned, typed)
+_NAME_MARK = "\u0001"
+_INSIDE_SENTENCE = "(?=\\p{Lu}\\p{Ll})(?<=[^\\s.!?:;|)\"'”\u0001]\\s{1,4})"
+
+
+def template_tokens(text: Column) -> Column:
+    """Words of a text, lower-cased, without punctuation; names inside sentences are marked, units stand apart from numbers.
+
+    Done on the whole text, so that no regex runs for each word.
+    """
+    plain = F.replace(text, F.lit(_NAME_MARK), F.lit(" "))
+    apart = F.when(plain.rlike("[0-9]"), F.regexp_replace(plain, "(?<=[0-9])(?=\\p{L})", " ")).otherwise(plain)
+    marked = F.regexp_replace(apart, _INSIDE_SENTENCE, _NAME_MARK)
+    return words_of(F.lower(F.regexp_replace(marked, f"[^\\p{{L}}\\p{{N}}\\s{_NAME_MARK}]+", "")))
+
+
+def _kind(tokens: Column, at: Column) -> Column:
+    """Placeholder of the word at a place (0-based), null for a literal."""
+
+    def number(token: Column) -> Column:
+        return ((token >= "0") & (token < ":")) | token.isin(NUMBER_WORDS)
+
+    token = F.get(tokens, at)
+    return (
+        F.when(F.startswith(token, F.lit(_NAME_MARK)), F.lit(NAME)).when(number(token), F.lit(NUMBER))
+        .when(token.isin(UNITS) & F.coalesce(number(F.get(tokens, at - 1)), F.lit(False)), F.lit(UNIT)))
+
+
+def _slots(start: Column, width: Column) -> Column:
+    """Values of the placeholders of a window of `tokens`, null for literals."""
+    tokens = F.col("tokens")
+    return F.transform(F.sequence(start, start + width - 1), lambda at: F.when(
+        _kind(tokens, at).isNotNull(), F.ltrim(F.get(tokens, at), F.lit(_NAME_MARK))))
 
 
 def _templates(frame: DataFrame, key: str) -> DataFrame:
-    """key, the hashes of a text's template words, and its slots."""
-    rows = frame.select(F.col(key), template(whole_text()).alias("tokens"))
-    return rows.select(
-        key, F.transform("tokens", lambda token: F.xxhash64(token["word"])).alias("words"),
-        F.transform("tokens", lambda token: token["slot"]).alias("slots"))
+    """key, a text's tokens, and the hashes of its template words."""
+    hashed = let(template_tokens(whole_text()), lambda tokens: F.struct(
+        tokens.alias("tokens"), F.transform(tokens, lambda token, at: F.xxhash64(F.coalesce(_kind(tokens, at), token))).alias("words")))
+    return frame.select(F.col(key), hashed.alias("template")).select(key, "template.tokens", "template.words")
 
 
 def _window_hash(width: int) -> Column:
@@ -84,12 +89,12 @@ def _window_hash(width: int) -> Column:
 def benchmark_windows(benchmark: DataFrame) -> DataFrame:
     """window, width, item_id, item_at, item_slots and item_windows of every window that may count."""
     items = _templates(slim(benchmark, "item_id", "text"), "item_id").where("size(words) > 0 AND item_id IS NOT NULL")
-    spread = items.select("item_id", "words", "slots", F.posexplode("words").alias("at", "word")).drop("word")
+    spread = items.select("item_id", "words", "tokens", F.posexplode("words").alias("at", "word")).drop("word")
     width = F.least(F.size("words"), F.lit(WINDOW))
     hashes = F.coalesce(*[F.when(F.col("width") == w, _window_hash(w)) for w in range(1, WINDOW + 1)])
     windows = spread.withColumn("width", width).where("at <= size(words) - width").select(
         hashes.alias("window"), "width", "item_id", F.col("at").alias("item_at"),
-        F.slice("slots", F.col("at") + 1, F.col("width")).alias("item_slots"),
+        _slots(F.col("at"), F.col("width")).alias("item_slots"),
         (F.size("words") - F.col("width") + 1).alias("item_windows"))
     literals = F.size(F.filter("item_slots", lambda slot: slot.isNull()))
     return windows.where(literals >= F.least(F.col("width"), F.lit(MIN_LITERALS))).distinct()
@@ -116,15 +121,15 @@ def _hits(docs: DataFrame, windows: DataFrame) -> DataFrame:
     named = slim(docs, "doc_id", "text").where("doc_id IS NOT NULL")
     keys = ["window", "width"]
     if sum(row["n"] for row in facts) <= BROADCAST_WINDOWS:
-        met = _document_windows(_templates(named, "doc_id"), widths, "slots").join(F.broadcast(windows), keys)
+        met = _document_windows(_templates(named, "doc_id"), widths, "tokens").join(F.broadcast(windows), keys)
     else:
         found = _document_windows(_templates(named, "doc_id"), widths).join(windows.select(*keys).distinct(), keys)
         few = named.join(found.select("doc_id").distinct().hint("merge"), "doc_id", "left_semi")
-        met = _document_windows(_templates(few, "doc_id"), widths, "slots").join(windows, keys)
+        met = _document_windows(_templates(few, "doc_id"), widths, "tokens").join(windows, keys)
     return met.select(
         "doc_id", "item_id", "item_at", "item_windows", (F.col("at") - F.col("item_at")).alias("shift"),
         F.filter(
-            F.zip_with("item_slots", F.slice("slots", F.col("at") + 1, F.col("width")), lambda item, own: F.struct(item.alias("item"), own.alias("own"))),
+            F.zip_with("item_slots", _slots(F.col("at"), F.col("width")), lambda item, own: F.struct(item.alias("item"), own.alias("own"))),
             lambda pair: pair["item"].isNotNull()).alias("pairs"))
 
 
