@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Callable, Iterable
 from functools import reduce
 
@@ -13,10 +14,13 @@ from . import fixed
 LINE_ENDS = "\\n-\\r\\x1c-\\x1e\\x85\\u2028-\\u2029"
 _RARE_LINE_ENDS = "\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029"
 CJK = "一-鿿㐀-䶿"
-RAW_TOKEN = f"[A-Za-z0-9_]+|[{CJK}]"
-INDEX_TOKEN = f"[A-Za-z0-9]+|[{CJK}]"
-# One group of equal neighbours in a sorted, blank-separated token string.
-_EQUAL_RUN = r"(?<!\S)(\S+)(?: \1(?!\S))*+"
+RAW_TOKEN = f"[\\p{{L}}\\p{{N}}_&&[^{CJK}]]+|[{CJK}]"
+INDEX_TOKEN = f"[\\p{{L}}\\p{{N}}&&[^{CJK}]]+|[{CJK}]"
+# Latin letters with marks and the letters they decompose to; loose marks go.
+_MARKED = [chr(c) for low, high in ((0xC0, 0x250), (0x1E00, 0x1F00)) for c in range(low, high)
+           if (plain := unicodedata.normalize("NFD", chr(c)))[0].isascii() and len(plain) > 1]
+_PLAIN = "".join(unicodedata.normalize("NFD", c)[0] for c in _MARKED)
+_LOOSE_MARKS = "".join(map(chr, range(0x300, 0x370)))
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
@@ -69,14 +73,20 @@ def lines_with_ends(text: Column) -> Column:
     return let(text, split)
 
 
+def folded(text: Column) -> Column:
+    """Lower case without accents."""
+    plain = F.translate(text, "".join(_MARKED) + _LOOSE_MARKS, _PLAIN)
+    return F.lower(F.when(text.rlike("[^\\x00-\\x7f]"), plain).otherwise(text))
+
+
 def raw_tokens(text: Column) -> Column:
-    """Word pieces before case folding: ASCII words and single CJK characters."""
+    """Word pieces before folding: runs of letters and digits, and single CJK characters."""
     return all_matches(text, RAW_TOKEN)
 
 
 def index_token_string(text: Column) -> Column:
     """Folded index tokens joined by one blank; empty string when there are none."""
-    return F.lower(F.array_join(all_matches(text, INDEX_TOKEN), " "))
+    return F.array_join(all_matches(folded(text), INDEX_TOKEN), " ")
 
 
 def index_tokens(text: Column) -> Column:
@@ -84,19 +94,6 @@ def index_tokens(text: Column) -> Column:
     return F.when(joined == "", F.array().cast("array<string>")).otherwise(F.split(joined, " "))
 
 
-def token_runs(token_string: Column) -> Column:
-    """Equal tokens grouped inside the row: one 'w w w' string per distinct token."""
-    return all_matches(F.array_join(F.sort_array(F.split(token_string, " ")), " "), _EQUAL_RUN)
-
-
-def run_term(run: Column) -> Column:
-    return F.substring_index(run, " ", 1)
-
-
-def run_count(run: Column) -> Column:
-    return ((F.length(run) + 1) / (F.length(run_term(run)) + 1)).cast("int")
-
-
 def query_tokens(text: Column) -> Column:
     """Query side: distinct raw tokens, first occurrence kept."""
     return F.array_distinct(raw_tokens(text))

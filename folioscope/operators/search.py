@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import fixed
-from ..functions.text import INDEX_TOKEN, all_matches, index_token_string, query_tokens
+from ..functions.text import INDEX_TOKEN, all_matches, folded, index_token_string, query_tokens
 
 # Query-term weights one scan holds: a million rows are a few tens of megabytes.
 WEIGHT_BLOCK = 1_000_000
@@ -41,7 +41,7 @@ def build_postings(index: DataFrame) -> DataFrame:
 def query_terms(queries: DataFrame, text: str = "text") -> DataFrame:
     """(query_id, term, weight): spellings that fold to the same term add up."""
     raw = queries.select("query_id", F.explode(query_tokens(F.col(text))).alias("token"))
-    terms = raw.select("query_id", F.explode(all_matches(F.lower("token"), INDEX_TOKEN)).alias("term"))
+    terms = raw.select("query_id", F.explode(all_matches(folded(F.col("token")), INDEX_TOKEN)).alias("term"))
     return terms.groupBy("query_id", "term").agg(F.count("*").alias("weight"))
 
 
@@ -277,7 +277,7 @@ def keyword_phrases(keywords: DataFrame, keyword: str = "keyword") -> DataFrame:
     """Adds the folded phrase of each keyword and its leading word pair; keywords without tokens go."""
     phrase = F.array_join(
         F.flatten(
-            F.transform(query_tokens(F.col(keyword)), lambda token: all_matches(F.lower(token), INDEX_TOKEN))
+            F.transform(query_tokens(F.col(keyword)), lambda token: all_matches(folded(token), INDEX_TOKEN))
         ),
         " ",
     )

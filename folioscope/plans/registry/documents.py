@@ -81,7 +81,7 @@ def chunk_documents(spark, sf):
     "tokenize_stats",
     f"""SELECT doc_id, len(toks) AS n_tokens, len(list_distinct(toks)) AS n_distinct, len(regexp_extract_all(text, '{RAW_TOKEN}')) AS n_raw,
        sha256(array_to_string(toks, ' ')) AS token_hash
-FROM (SELECT doc_id, text, list_transform(regexp_extract_all(text, '{TOKEN}'), lambda x: lower(x)) AS toks FROM documents)""",
+FROM (SELECT doc_id, text, list_transform(regexp_extract_all(strip_accents(text), '{TOKEN}'), lambda x: lower(x)) AS toks FROM documents)""",
 )
 def tokenize_stats(spark, sf):
     tokens = t.table(spark, sf, "documents").select("doc_id", "text", index_tokens(F.col("text")).alias("toks"))

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from ...functions import fixed
 from ...functions.records import sub_query_lines
+from ...functions.text import INDEX_TOKEN, all_matches, folded
 from ...operators import search, vectors
 from ...operators.filters import Filters
 from ...sources import tables as t
@@ -62,15 +63,15 @@ def bm25_postings(spark, sf):
     "phrase_hits",
     f"""WITH {CHUNKS}, phrases AS (
   SELECT DISTINCT toks[1] || ' ' || toks[2] AS phrase FROM (
-    SELECT list_transform(regexp_extract_all(text, '{TOKEN}'), lambda x: lower(x)) AS toks FROM benchmark) WHERE len(toks) > 1 AND toks[1] <> toks[2]
+    SELECT list_transform(regexp_extract_all(strip_accents(text), '{TOKEN}'), lambda x: lower(x)) AS toks FROM benchmark) WHERE len(toks) > 1 AND toks[1] <> toks[2]
 ), folded AS (
-  SELECT doc_id, ' ' || array_to_string(list_transform(regexp_extract_all(text, '{TOKEN}'), lambda x: lower(x)), ' ') || ' ' AS toks FROM chunks
+  SELECT doc_id, ' ' || array_to_string(list_transform(regexp_extract_all(strip_accents(text), '{TOKEN}'), lambda x: lower(x)), ' ') || ' ' AS toks FROM chunks
 )
 SELECT DISTINCT phrase, doc_id FROM phrases JOIN folded ON contains(toks, ' ' || phrase || ' ')""",
 )
 def phrase_hits(spark, sf):
-    words = t.text_queries(spark, sf).select(F.regexp_extract_all("text", F.lit("[A-Za-z0-9]+"), F.lit(0)).alias("w"))
-    keywords = words.where((F.size("w") > 1) & (F.lower(F.col("w")[0]) != F.lower(F.col("w")[1])))
+    words = t.text_queries(spark, sf).select(all_matches(F.col("text"), INDEX_TOKEN).alias("w"))
+    keywords = words.where((F.size("w") > 1) & (folded(F.get("w", F.lit(0))) != folded(F.get("w", F.lit(1)))))
     keywords = keywords.select(F.concat_ws(" ", F.col("w")[0], F.col("w")[1]).alias("keyword")).distinct()
     return search.phrase_hits(t.text_index(spark, sf), search.keyword_phrases(keywords))
 

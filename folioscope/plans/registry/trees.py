@@ -87,19 +87,19 @@ TEXT_TAGS = """text_tags AS (
   UNION SELECT CAST(doc_id AS VARCHAR), 'toxic ' || toxic FROM labels
 )"""
 
-# Keywords are the word pairs of each benchmark passage, the first twelve of them.
+# Keywords are the word pairs of each benchmark passage.
 KEYWORDS = f"""passages AS (
   SELECT item_id, 'tree ' || item_id % 5 AS theme, 'tree-' || item_id % 5 || '|' || item_id % 4 AS parent_id,
          'tree-' || item_id % 5 || '|' || item_id % 4 || '|' || item_id AS node_id,
-         list_transform(regexp_extract_all(text, '{TOKEN}'), lambda x: lower(x)) AS toks FROM benchmark
+         list_transform(regexp_extract_all(strip_accents(text), '{TOKEN}'), lambda x: lower(x)) AS toks FROM benchmark
 ), keywords AS (
-  SELECT theme, node_id, unnest(list_transform(range(1, least(len(toks), 12) + 1), lambda i:
+  SELECT theme, node_id, unnest(list_transform(range(1, len(toks) + 1), lambda i:
     CASE WHEN i < len(toks) THEN toks[i] || ' ' || toks[i + 1] ELSE toks[i] END)) AS keyword FROM passages
 ), phrases AS (
   SELECT DISTINCT keyword, CASE WHEN split_part(keyword, ' ', 1) = split_part(keyword, ' ', 2) THEN split_part(keyword, ' ', 1) ELSE keyword END AS phrase
   FROM keywords
 ), folded AS (
-  SELECT doc_id, ' ' || array_to_string(list_transform(regexp_extract_all(text, '{TOKEN}'), lambda x: lower(x)), ' ') || ' ' AS toks FROM chunks
+  SELECT doc_id, ' ' || array_to_string(list_transform(regexp_extract_all(strip_accents(text), '{TOKEN}'), lambda x: lower(x)), ' ') || ' ' AS toks FROM chunks
 ), by_text AS (
   SELECT DISTINCT keyword, doc_id FROM phrases JOIN folded ON contains(toks, ' ' || phrase || ' ')
 ), by_title AS (SELECT keyword, doc_id FROM (SELECT DISTINCT keyword FROM keywords) JOIN docs ON contains(lower(title), keyword)),

@@ -134,12 +134,12 @@ chunks AS (
   WHERE NOT (n > 1 AND piece = n - 1 AND token_est < 50 AND last_est + token_est <= 1400)
 )"""
 
-TOKEN = "[A-Za-z0-9]+|[一-鿿㐀-䶿]"
-RAW_TOKEN = "[A-Za-z0-9_]+|[一-鿿㐀-䶿]"
+TOKEN = "[一-鿿㐀-䶿]|[\\pL\\pN]+"
+RAW_TOKEN = "[一-鿿㐀-䶿]|[\\pL\\pN_]+"
 
 POSTINGS = f"""
 tokens AS (
-  SELECT chunk_id, doc_id, list_transform(regexp_extract_all(text, '{TOKEN}'), lambda t: lower(t)) AS toks FROM chunks
+  SELECT chunk_id, doc_id, list_transform(regexp_extract_all(strip_accents(text), '{TOKEN}'), lambda t: lower(t)) AS toks FROM chunks
 ),
 lengths AS (SELECT chunk_id, len(toks) AS dl FROM tokens),
 postings AS (
@@ -149,7 +149,7 @@ corpus AS (SELECT count(*) AS n, sum(dl)::DOUBLE / count(*) AS avgdl FROM length
 dfs AS (SELECT term, count(*) AS df FROM postings GROUP BY term),
 qterms AS (
   SELECT query_id, term, count(*) AS weight FROM (
-    SELECT query_id, unnest(regexp_extract_all(lower(token), '{TOKEN}')) AS term FROM (
+    SELECT query_id, unnest(regexp_extract_all(lower(strip_accents(token)), '{TOKEN}')) AS term FROM (
       SELECT CAST(item_id AS VARCHAR) AS query_id, unnest(list_distinct(regexp_extract_all(text, '{RAW_TOKEN}'))) AS token
       FROM benchmark)) GROUP BY ALL
 ),

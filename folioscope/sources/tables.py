@@ -46,12 +46,16 @@ def text_index(spark: SparkSession, folder: str) -> DataFrame:
     return derived(spark, folder, "text-index", ["documents"], lambda: with_tokens(text_chunks(spark, folder)))
 
 
+# Raised whenever cleaning, chunking, tokens or trees change, so that no kept table outlives its code.
+BUILD = 2
+
+
 def derived(
     spark: SparkSession, folder: str, name: str, inputs: list[str], build: Callable[[], DataFrame]
 ) -> DataFrame:
     """A table the engine keeps, written once per state of the files it comes from."""
     states = "-".join(file_fingerprint(spark, f"{folder}/{table_name}.parquet") for table_name in inputs)
-    root = f"{shared_dir(spark)}/{name}-{states}"
+    root = f"{shared_dir(spark)}/{name}-{BUILD}-{states}"
     stored = read_snapshot(spark, root)
     return write_snapshot(build(), root) if stored is None else stored
 
