@@ -22,7 +22,8 @@ _BULLET = r"(?U)^n\s+(?=\S)"
 _PROMO_LINE = "(?U)^\\s*(?:" + "|".join(fixed.PROMO_LINE_PATTERNS) + ")$"
 _PROMO_HINTS = ["每日报告", "起点财经", "每日微信群内分享"]
 _INDENTED_OR_BLANK = r"(?U)\n\s"
-_MISSPELT = r"(?iU)\b(?=[deos])(?:" + "|".join(fixed.LIGATURE_FIXES) + r")\b"
+_MISSPELT = (
+    rf"(?iU)\b(?=[{''.join(sorted({word[0] for word in fixed.LIGATURE_FIXES}))}])(?:" + "|".join(fixed.LIGATURE_FIXES) + r")\b")
 _ANY_BULLET = rf"(?U)n(?<=(?<![^{LINE_ENDS}])n)\s+\S"
 
 
@@ -106,15 +107,13 @@ def clean_change_count(text: Column) -> Column:
 
 
 def _respelt(line: Column) -> Column:
-    """Whole-word repairs that keep only the first letter's case.
-
-    Every listed repair doubles the word's only f, so one rule covers the table.
-    """
+    """Whole-word repairs that keep only the first letter's case."""
+    repairs = F.create_map(*[F.lit(part) for pair in fixed.LIGATURE_FIXES.items() for part in pair])
     rest = F.split(line, _MISSPELT, -1)
     words = F.transform(
         all_matches(line, _MISSPELT),
         lambda word: F.concat(
-            F.substring(word, 1, 1), F.substring(F.replace(F.lower(word), F.lit("f"), F.lit("ff")), 2, 99)
+            F.substring(word, 1, 1), F.substring(repairs[F.lower(word)], 2, 99)
         ),
     )
     return F.array_join(

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import zipfile
+import zlib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -81,26 +82,47 @@ def safe_member(name: str) -> str | None:
 
 
 def extract_archives(spark: SparkSession, path: str) -> DataFrame:
-    """(archive, member, is_image, content) of the Markdown and image members of all archives."""
+    """(archive, member, is_image, content, error) of the Markdown and image members of all archives.
+
+    An archive or member that cannot be read gives one row with the error and no content; the others go on.
+    """
     archives = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").load(path).select("path", "content")
 
     def members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        columns = ["archive", "member", "is_image", "content", "error"]
         for batch in batches:
             for archive_path, content in zip(batch["path"], batch["content"]):
-                with zipfile.ZipFile(io.BytesIO(content)) as archive:
-                    for info in archive.infolist():
-                        member = safe_member(info.filename)
-                        if member:
-                            yield pd.DataFrame(
-                                {
-                                    "archive": [archive_path],
-                                    "member": [member],
-                                    "is_image": ["images" in member.lower().split("/")],
-                                    "content": [archive.read(info)],
-                                }
-                            )
-
-    return archives.mapInPandas(members, "archive string, member string, is_image boolean, content binary")
+                rows, held = [], 0
+                for row in archive_members(archive_path, content):
+                    rows.append(row)
+                    held += len(row[3] or b"")
+                    if held > MEMBER_BYTES:
+                        yield pd.DataFrame(rows, columns=columns)
+                        rows, held = [], 0
+                yield pd.DataFrame(rows, columns=columns)
+
+    return archives.mapInPandas(members, "archive string, member string, is_image boolean, content binary, error string")
+
+
+# Unpacked bytes that one frame of members holds.
+MEMBER_BYTES = 16 << 20
+
+
+def archive_members(path: str, content: bytes) -> Iterator[tuple]:
+    try:
+        archive = zipfile.ZipFile(io.BytesIO(content))
+    except zipfile.BadZipFile as failure:
+        yield path, None, None, None, str(failure)
+        return
+    with archive:
+        for info in archive.infolist():
+            member = safe_member(info.filename)
+            if member:
+                is_image = "images" in member.lower().split("/")
+                try:
+                    yield path, member, is_image, archive.read(info), None
+                except (zipfile.BadZipFile, zlib.error, RuntimeError, NotImplementedError) as failure:
+                    yield path, member, is_image, None, f"{type(failure).__name__}: {failure}"
 
 
 def require_inputs(spark: SparkSession, *paths: str) -> None:

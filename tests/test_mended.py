@@ -75,3 +75,16 @@ def test_names_with_several_dates_and_stray_percent(spark):
     assert got[0]["yymmdd"] == "240202" and got[0]["institution"] == "中信" and got[0]["title"] == "题目-240101"
     assert got[1]["institution"] == "机构" and got[1]["title"] == "100%国产-电池" and got[2]["title"] == "仅标题"
     assert got[3]["institution"] == "未知" and got[3]["yymmdd"] is None
+
+
+def test_a_broken_archive_does_not_stop_the_others(spark, tmp_path):
+    import zipfile
+
+    from folioscope.sources import files
+
+    (tmp_path / "bad.zip").write_bytes(b"no archive")
+    with zipfile.ZipFile(tmp_path / "good.zip", "w") as archive:
+        archive.writestr("doc/full.md", "text")
+    rows = {row.archive.rpartition("/")[2]: row for row in files.extract_archives(spark, str(tmp_path)).collect()}
+    assert rows["good.zip"].content == b"text" and rows["good.zip"].error is None
+    assert rows["bad.zip"].content is None and rows["bad.zip"].error
