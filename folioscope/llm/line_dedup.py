@@ -109,7 +109,7 @@ def removals(docs: DataFrame) -> DataFrame:
     parts = docs.select("doc_id", "row_key", "text").mapInArrow(_chunk_rows(shared, True), _SLIM + ", data binary")
     known = kept(parts.join(repeated.select("one", "two", "first"), ["one", "two"]))
     is_first = F.col("first").eqNullSafe(place)
-    firsts = known.where(is_first).select("one", "two", F.col("data").alias("first_data")).dropDuplicates(["one", "two"])
+    firsts = known.where(is_first).select("one", "two", F.col("data").alias("first_data"))
     return known.where(~is_first).join(firsts, ["one", "two"]).where("data = first_data").select(
         "doc_id", "row_key", "start", "n").distinct()
 

@@ -11,8 +11,8 @@ all documents in a table of fixed size, so that text which many documents share
 2. Lists: rare shingles with the documents under them; hot lists are salted.
 3. Stars: every document of a list against the list's first. Survivors of the bound are verified on whole texts. A group
    of near copies so becomes one component without its pairs.
-4. Trees: only lists whose documents lie in several components remain. Their points, in order of set size, fill leaves of
-   `LEAF` points; leaf pairs of fitting sizes are bounded by boxes, then by points; survivors across components are verified.
+4. Trees: only lists whose documents lie in several components remain. Their points fill leaves of about `LEAF`
+   points of like set size; leaf pairs of fitting sizes are bounded by boxes, then by points; survivors across components are verified.
    Links inside a component cannot change it, so the components are those of all links.
 
 Verification moves a text to the document it is compared with, streams through sorted partitions and holds one set per
@@ -38,7 +38,7 @@ from .shingles import mix, set_key, shingle_sets
 COUNT_CELLS = 1 << 17
 HOT_LIST = 4096
 LEAF = 128
-SPOKES = 64
+PARTS = 64
 PER_GROUP = 2
 BATCH_ROWS = 1000
 MIN_GROUPS = 16
@@ -182,7 +182,7 @@ def _overlap(left: np.ndarray, right: np.ndarray) -> bool:
 
 
 def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """Those of `pairs` (a, b) whose whole texts link. Documents with many partners are compared in parts of about `SPOKES`."""
+    """Those of `pairs` (a, b) whose whole texts link. A document with many partners meets them in `PARTS` parts."""
     cells = np.zeros(ID_CELLS, dtype=bool)
     # At most `ID_CELLS` numbers; documents in other cells are in no pair and stay where they are.
     ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id"))
@@ -195,8 +195,7 @@ def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
 
     cell = F.pmod(F.xxhash64("doc_id"), F.lit(ID_CELLS)).alias("cell")
     near = docs.select("doc_id", "text", cell).mapInArrow(of_pairs, "doc_id long, text string")
-    degree = pairs.groupBy("a").agg(F.ceil(F.count("*") / F.lit(SPOKES)).alias("parts"))
-    dealt = pairs.join(degree, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("salt"))
+    dealt = pairs.select("a", "b", F.pmod(F.xxhash64("b"), F.lit(PARTS)).cast("int").alias("salt"))
     needs = dealt.select("a", "salt", F.lit(1).alias("role"), F.col("b").alias("id")).union(
         dealt.select("a", "salt").distinct().select("a", "salt", F.lit(0).alias("role"), F.col("a").alias("id")))
     texts = needs.join(near, F.col("id") == F.col("doc_id")).select("a", "salt", "role", "id", "text")
@@ -276,10 +275,12 @@ def tree_pairs(lists: DataFrame, nodes: DataFrame, members: DataFrame) -> DataFr
         F.count("*").over(whole).alias("size"), F.bit_xor(F.xxhash64("node", F.lit(1))).over(whole).alias("one"),
         F.bit_xor(F.xxhash64("node", F.lit(2))).over(whole).alias("two")).where("low <> high AND size > 2")
     points = mixed.select(F.struct("size", "one", "two").alias("token"), "node", "component").distinct().join(nodes, "node")
-    leaf = F.floor((F.row_number().over(Window.partitionBy("token").orderBy("n", "node")) - 1) / F.lit(LEAF)).alias("leaf")
-    leaves = points.select("token", "node", "component", "n", "vector", leaf).groupBy("token", "leaf").agg(
-        F.struct(*[F.collect_list(name).alias(name) for name in ("node", "component", "n", "vector")]).alias("points"),
-        F.min("n").alias("low"), F.max("n").alias("high"))
+    # Linked sizes lie in the same band or in neighbours; a band of a long list fills several leaves.
+    band = F.floor(F.ln("n") / F.ln(F.lit(4 / 3))).cast("int")
+    part = F.pmod(F.xxhash64("node"), F.ceil(F.col("token.size") / F.lit(LEAF))).cast("int")
+    leaves = points.select("token", "node", "component", "n", "vector", F.struct(band.alias("band"), part.alias("part")).alias("leaf")).groupBy(
+        "token", "leaf").agg(F.struct(*[F.collect_list(name).alias(name) for name in ("node", "component", "n", "vector")]).alias("points"),
+                             F.min("n").alias("low"), F.max("n").alias("high"))
     left, right = leaves.alias("l"), leaves.alias("r")
     met = left.join(right, F.expr("l.token = r.token AND l.leaf <= r.leaf AND 4 * l.high >= 3 * r.low"))
     return met.select(
