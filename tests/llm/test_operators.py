@@ -190,7 +190,7 @@ def test_join_matches_brute_force(spark, monkeypatch):
 
 def test_join_chains_and_hot_groups(spark, monkeypatch):
     monkeypatch.setattr(ngram_join, "HOT_LIST", 16)
-    monkeypatch.setattr(ngram_join, "SPOKES", 8)
+    monkeypatch.setattr(ngram_join, "PARTS", 8)
     words = prose(5, 200).split()
     chain = [" ".join(words[k:k + 80]) for k in range(0, 60, 5)]
     base = prose(6, 90)
