@@ -125,10 +125,11 @@ def test_sharding_edits_move_only_what_must(spark):
     after = {row.virtual_slot: row.shard for row in new.collect()}
     assert set(after.values()) == set(range(5)) and {row.version for row in new.collect()} == {2}
     moved = [slot for slot in before if before[slot] != after[slot]]
-    assert all(after[slot] == 4 for slot in moved if before[slot] != after[slot]) or len(moved) < 80
+    sizes = {row.virtual_slot: row.bytes for row in loads.collect()}
+    assert sum(sizes[slot] for slot in moved) < 0.25 * sum(sizes.values())
     sums = Counter()
-    for row in loads.collect():
-        sums[after[row.virtual_slot]] += row.bytes
+    for slot, size in sizes.items():
+        sums[after[slot]] += size
     assert max(sums.values()) - min(sums.values()) <= 7
 
 
@@ -435,12 +436,12 @@ def test_toxicity_on_held_out_rows(spark):
 
 def test_label_model_finds_correlated_voters():
     draw, counts = random.Random(1), Counter()
-    for _ in range(20_000):
+    for row in range(20_000):
         toxic = draw.random() < 0.1
         first = draw.random() < (0.8 if toxic else 0.02)
         third = draw.random() < (0.7 if toxic else 0.01)
         noise = draw.random() < 0.3
-        counts[(first << 0) | (first << 1) | (third << 2) | (noise << 5) | (noise << 6), -1] += 1
+        counts[(first << 0) | (first << 1) | (third << 2) | (noise << 5) | (noise << 6), -1 if row % 4 else int(toxic)] += 1
     posterior, cliques, rates = toxicity.label_model(counts, 0.1)
     assert any({0, 1} <= set(clique) for clique in cliques) and any({5, 6} <= set(clique) for clique in cliques)
     assert posterior[0] < 0.1 < posterior[0b111] and abs(posterior[0b1100011] - posterior[0b11]) < 0.2
