@@ -243,7 +243,10 @@ class _Leaf:
 
 
 def _leaf_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Points of two leaves that lie in different components and pass the bound; boxes are tried first."""
+    """Points of two leaves that lie in different components and pass the bound; boxes are tried first.
+
+    A leaf meets itself in two orders, since each side of the join gathers its own lists: its pairs are told by node.
+    """
     for batch in batches:
         found = set()
         for row in range(batch.num_rows):
@@ -256,7 +259,7 @@ def _leaf_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 n, m = left.sizes[i], right.sizes
                 good = (right.parts != left.parts[i]) & (4 * np.minimum(n, m) >= 3 * np.maximum(n, m))
                 if same:
-                    good[:i + 1] = False
+                    good &= right.nodes > left.nodes[i]
                 near = np.flatnonzero(good)
                 near = near[7 * np.minimum(b[near], point).sum(axis=1) >= 3 * (n + m[near])]
                 found.update((min(left.nodes[i], right.nodes[j]), max(left.nodes[i], right.nodes[j])) for j in near)

@@ -213,6 +213,18 @@ def test_bounds_are_never_below_the_overlap():
             assert ngram_join.bound(vectors[i], vectors[j]) >= len(set(left.tolist()) & set(right.tolist()))
 
 
+def test_a_leaf_in_two_orders_keeps_its_pairs():
+    vector = ngram_join.packed(ngram_join.count_vector(next(shingles.shingle_sets(pa.array([prose(1, 40)])))))
+    points = {"node": [7, 3, 5], "component": [7, 3, 5], "n": [36, 36, 36], "vector": [vector] * 3}
+    kind = pa.struct({"node": pa.list_(pa.int64()), "component": pa.list_(pa.int64()), "n": pa.list_(pa.int64()), "vector": pa.list_(pa.binary())})
+    for order in ([0, 1, 2], [2, 1, 0], [1, 2, 0]):
+        other = {name: [values[i] for i in order] for name, values in points.items()}
+        batch = pa.RecordBatch.from_arrays(
+            [pa.array([points], kind), pa.array([other], kind), pa.array([True])], names=["points_a", "points_b", "same"])
+        pairs = next(ngram_join._leaf_pairs(iter([batch]))).to_pylist()
+        assert [(row["a"], row["b"]) for row in pairs] == [(3, 5), (3, 7), (5, 7)]
+
+
 def test_join_awkward(spark, awkward, nothing):
     rows = ngram_join.joined(awkward).collect()
     assert len(rows) == 9
