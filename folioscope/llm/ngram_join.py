@@ -125,14 +125,15 @@ def _rare_shingles(counts):
         known = counts.value
         for batch in batches:
             ids, tokens, salts, owners = batch.column(0).to_numpy(zero_copy_only=False), [], [], []
+            dealt = mix(ids.view(np.uint64), 5)
             for at, shingles in enumerate(shingle_sets(batch.column(1))):
                 if not len(shingles):
                     continue
                 often = known[_cell(shingles)]
                 rare = np.argsort(often, kind="stable")[:len(shingles) - required(len(shingles)) + 1]
-                spread = often[rare] // HOT_LIST + 1
+                spread = (often[rare] // HOT_LIST + 1).astype(np.uint64)
                 tokens.append(shingles[rare].view(np.int64))
-                salts.append(np.where(spread > 1, (int(ids[at]) * 0x9E3779B1 >> 7) % spread, -1))
+                salts.append(np.where(spread > 1, (dealt[at] % spread).astype(np.int64), -1))
                 owners.append(np.full(len(rare), ids[at], dtype=np.int64))
                 if sum(map(len, tokens)) > 100_000:
                     yield _list_rows(tokens, owners, salts)

@@ -199,6 +199,19 @@ def test_join_chains_and_hot_groups(spark, monkeypatch):
     assert joined(spark, texts) == brute_components(texts)
 
 
+def test_join_of_any_long_ids(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "HOT_LIST", 16)
+    base = prose(6, 90)
+    texts = [base] * 20 + [edited(base, k, 1) for k in range(30)] + [prose(k, 50) for k in range(5)]
+    ids = [(-(1 << 63), 1 << 62, -(1 << 62), (1 << 63) - 60)[k % 4] + k for k in range(len(texts))]
+    docs = spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id long, text string")
+    got = {row.doc_id: row.component_id for row in ngram_join.joined(docs).collect()}
+    groups = defaultdict(set)
+    for at, (_, leader) in brute_components(texts).items():
+        groups[leader].add(ids[at])
+    assert got == {one: min(group) for group in groups.values() for one in group}
+
+
 def test_join_of_documents(spark, documents):
     texts = [row.text for row in documents.orderBy("doc_id").collect()]
     assert joined(spark, texts) == brute_components(texts)
