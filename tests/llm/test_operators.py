@@ -407,6 +407,16 @@ def test_url_rules(spark):
     assert url_filters.filtered(pages.where("false"), [], [url_filters.Glob("a", "block")]).count() == 0
 
 
+def test_host_rules_stay_in_the_host(spark):
+    urls = ["http://foo.org?u=a.net/es/", "http://foo.org?u=www.foo.com/", "http://foo.org?.com/", "http://a.net?x=/es/", "http://foo.org#a.net/es/",
+            "http://a.net/es/?u=www.foo.com/", "http://foo.org/?u=a.net/es/", "http://b.com/?u=a.net/es/"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id int, url string")
+    rows = url_filters.filtered(pages, [("com/", "allow"), ("net/es/", "block")], [url_filters.Glob("*.com/**", "block")]).orderBy("page_id").collect()
+    assert [row.rule for row in rows] == [None, None, None, None, None, "net/es/", None, "com/"]
+    assert [row.pattern for row in rows] == [None, "*.com/**", "*.com/**", None, None, None, None, None]
+    assert [row.verdict for row in rows] == ["allow", "block", "block", "allow", "allow", "block", "allow", "allow"]
+
+
 # Html extraction
 
 
