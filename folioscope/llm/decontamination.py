@@ -6,9 +6,11 @@ with those of the benchmark (an item of fewer words is one window of its own len
 one distance form a run. A run counts when it has `MIN_WINDOWS` windows (13 words), or all windows of a shorter item, and
 its slots are consistent: each value of the item stands for one value of the document throughout the run.
 
-A name is a capitalised word inside a sentence. A window needs `MIN_LITERALS` words that are no placeholders (all, where
-it has fewer words). The benchmark's windows are counted first: up to `BROADCAST_WINDOWS` they are broadcast and no
-text moves; beyond, slim window rows are joined by a shuffle, and only documents with a hit are read for their slots.
+A name is a capitalised word inside a sentence. A window with fewer than `MIN_LITERALS` words that are no placeholders
+(or any placeholder, where it is shorter) says too little as a template: it is hashed by its words as written and fits
+verbatim only, also where the copy's values changed. The benchmark's windows are counted first: up to `BROADCAST_WINDOWS`
+they are broadcast and no text moves; beyond, slim window rows are joined by a shuffle, and only documents with a hit are
+read for their slots.
 
 Defined results: null or empty texts and items have no words and no hits. Repeated rows of one doc_id are one document.
 Rows without doc_id are never reported. An item without literal words is never found. Several items, or one item at
@@ -75,34 +77,51 @@ def _slots(start: Column, width: Column) -> Column:
 
 
 def _templates(frame: DataFrame, key: str) -> DataFrame:
-    """key, a text's tokens, and the hashes of its template words."""
+    """key, a text's tokens, and the hashes of its template words, odd for literals and even for placeholders."""
+    def word(token: Column, kind: Column) -> Column:
+        return F.when(kind.isNull(), F.xxhash64(token).bitwiseOR(F.lit(1))).otherwise(F.xxhash64(kind).bitwiseAND(F.lit(-2)))
+
     hashed = let(template_tokens(whole_text()), lambda tokens: F.struct(
-        tokens.alias("tokens"), F.transform(tokens, lambda token, at: F.xxhash64(F.coalesce(_kind(tokens, at), token))).alias("words")))
+        tokens.alias("tokens"), F.transform(tokens, lambda token, at: word(token, _kind(tokens, at))).alias("words")))
     return frame.select(F.col(key), hashed.alias("template")).select(key, "template.tokens", "template.words")
 
 
+def _is_literal(word: Column) -> Column:
+    return word.bitwiseAND(F.lit(1))
+
+
+def _exact(width: int) -> Column:
+    """Whether the `width` words from `at` on (0-based) hold too few literals to stand as a template."""
+    words = [F.get(F.col("words"), F.col("at") + k) for k in range(width)]
+    return sum((_is_literal(word) for word in words[1:]), _is_literal(words[0])) < min(width, MIN_LITERALS)
+
+
 def _window_hash(width: int) -> Column:
-    """Hash of the `width` words from `at` on (0-based)."""
-    return F.xxhash64(F.lit(width), *[F.get(F.col("words"), F.col("at") + k) for k in range(width)])
+    """Hash of the `width` template words from `at` on (0-based), or of the words themselves where literals are few."""
+    template = F.xxhash64(F.lit(width), *[F.get(F.col("words"), F.col("at") + k) for k in range(width)])
+    as_written = F.replace(F.array_join(F.slice("tokens", F.col("at") + 1, width), " "), F.lit(_NAME_MARK), F.lit(""))
+    return F.when(_exact(width), F.xxhash64(F.lit(-width), as_written)).otherwise(template)
 
 
 def benchmark_windows(benchmark: DataFrame) -> DataFrame:
-    """window, width, item_id, item_at, item_slots and item_windows of every window that may count."""
-    items = _templates(slim(benchmark, "item_id", "text"), "item_id").where("size(words) > 0 AND item_id IS NOT NULL")
+    """window, width, exact, item_id, item_at, item_slots and item_windows of every window of the items with a literal word."""
+    items = _templates(slim(benchmark, "item_id", "text"), "item_id").where("item_id IS NOT NULL").where(
+        F.exists("words", lambda word: _is_literal(word) == 1))
     spread = items.select("item_id", "words", "tokens", F.posexplode("words").alias("at", "word")).drop("word")
     width = F.least(F.size("words"), F.lit(WINDOW))
-    hashes = F.coalesce(*[F.when(F.col("width") == w, _window_hash(w)) for w in range(1, WINDOW + 1)])
+    by_width = range(1, WINDOW + 1)
+    hashes = F.coalesce(*[F.when(F.col("width") == w, _window_hash(w)) for w in by_width])
+    exact = F.coalesce(*[F.when(F.col("width") == w, _exact(w)) for w in by_width])
     windows = spread.withColumn("width", width).where("at <= size(words) - width").select(
-        hashes.alias("window"), "width", "item_id", F.col("at").alias("item_at"),
+        hashes.alias("window"), "width", exact.alias("exact"), "item_id", F.col("at").alias("item_at"),
         _slots(F.col("at"), F.col("width")).alias("item_slots"),
         (F.size("words") - F.col("width") + 1).alias("item_windows"))
-    literals = F.size(F.filter("item_slots", lambda slot: slot.isNull()))
-    return windows.where(literals >= F.least(F.col("width"), F.lit(MIN_LITERALS))).distinct()
+    return windows.distinct()
 
 
 def _document_windows(docs: DataFrame, widths: list[int], *more: str) -> DataFrame:
     """window, width, at and doc_id of every window of the given widths, beside the columns `more` of the templates."""
-    spread = docs.select("doc_id", "words", *more, F.posexplode("words").alias("at", "word")).drop("word")
+    spread = docs.select("doc_id", "words", "tokens", F.posexplode("words").alias("at", "word")).drop("word")
     parts = [
         spread.where(F.col("at") <= F.size("words") - width).select(
             _window_hash(width).alias("window"), F.lit(width).alias("width"), "doc_id", "at", *more)
@@ -129,7 +148,8 @@ def _hits(docs: DataFrame, windows: DataFrame) -> DataFrame:
     return met.select(
         "doc_id", "item_id", "item_at", "item_windows", (F.col("at") - F.col("item_at")).alias("shift"),
         F.filter(
-            F.zip_with("item_slots", _slots(F.col("at"), F.col("width")), lambda item, own: F.struct(item.alias("item"), own.alias("own"))),
+            F.zip_with("item_slots", _slots(F.col("at"), F.col("width")), lambda item, own: F.struct(
+                item.alias("item"), F.when(F.col("exact"), item).otherwise(own).alias("own"))),
             lambda pair: pair["item"].isNotNull()).alias("pairs"))
 
 

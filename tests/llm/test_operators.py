@@ -276,6 +276,19 @@ def test_leaks_and_changed_parameters(spark, monkeypatch):
     assert leaks(spark, texts + ["so a short item here it is"], items) == got
 
 
+def test_leaks_of_items_rich_in_names_and_numbers(spark, monkeypatch):
+    asked = "What do Anna Karenina, Emma Bovary, Jane Eyre and Becky Sharp have in common?"
+    summed, titled = "Solve 12 + 7 * 9 - 4 / 2", "The Old Man And The Sea By Ernest Hemingway Was Written In 1952"
+    items = [(1, asked), (2, summed), (3, titled), (4, "12 13 14")]
+    texts = [
+        f"{prose(1, 20)}. {asked} {prose(2, 20)}", f"{prose(3, 20)}. {summed} {prose(4, 9)}", f"{prose(5, 9)}.\n{titled} {prose(6, 9)}",
+        asked.replace("Jane Eyre", "Clarissa Dalloway"), summed.replace("9", "8"), titled.replace("Sea", "Lake"), "12 13 14", prose(7, 60)]
+    want = {(0, 1): True, (1, 2): True, (2, 3): True}
+    assert leaks(spark, texts, items) == want
+    monkeypatch.setattr(decontamination, "BROADCAST_WINDOWS", 0)
+    assert leaks(spark, texts, items) == want
+
+
 def test_leaks_of_documents(spark, documents):
     items = spark.read.parquet(f"{SF}/benchmark.parquet").collect()
     texts = {row.doc_id: row.text for row in documents.collect()}
