@@ -1,4 +1,4 @@
-"""Line dedup by content-defined chunks.
+"""Line dedup by content-defined chunks, and by whole repeated runs of lines.
 
 A text's lines are hashed; a rolling hash over the last `ROLL` line hashes ends a chunk, once it has two lines, so that
 boundaries depend on nearby content alone and find themselves again after inserted or deleted lines. A line of
@@ -6,6 +6,11 @@ boundaries depend on nearby content alone and find themselves again after insert
 lines or more, or of a long line, that occur again anywhere are compared byte by byte with their first occurrence, by
 doc_id and place, and removed where equal. The first occurrence stays.
 
+A chunk at the edge of a passage holds foreign lines, so chunks alone keep much of short passages. With `run_words`, every
+run of lines of that many words that occurs before, not overlapping it, is removed too, up to its first and last line.
+Such runs are the unions of their smallest windows: from each line on, and up to each line, the fewest lines of
+`run_words` words. Windows are counted as chunks are, by 128-bit digests of their bytes; equal digests count as equal.
+
 Only digests are counted over the corpus. A table of `CELLS` bits, filled by repeated digests, tells the second reading
 which chunks may be repeated, so only their bytes move; a full table lets more through and changes no result.
 
@@ -30,6 +35,7 @@ from .common import batches_of, kept, whole_text
 ROLL = 2
 MEAN_LINES = 3
 LONG_WORDS = 30
+RUN_WORDS = 50
 CELLS = 1 << 20
 BATCH_ROWS = 2000
 
@@ -61,6 +67,66 @@ def chunks(text: str) -> list[tuple[int, int, bool]]:
     return found
 
 
+def windows(text: str, run_words: int) -> list[tuple[int, int]]:
+    """(first line, lines) of the smallest runs of `run_words` words from each line on and up to each line, in order."""
+    before = [0]
+    for line in text.split("\n"):
+        before.append(before[-1] + len(line.split()))
+    found = set()
+    low = 0
+    for at in range(1, len(before)):  # the fewest lines up to each line
+        while before[at] - before[low + 1] >= run_words:
+            low += 1
+        if before[at] - before[low] >= run_words:
+            found.add((low, at - low))
+    high = 0
+    for at in range(len(before) - 1):  # the fewest lines from each line on
+        while high < len(before) - 1 and before[high] - before[at] < run_words:
+            high += 1
+        if before[high] - before[at] >= run_words:
+            found.add((at, high - at))
+    return sorted(found)
+
+
+def _window_rows(cells, run_words: int):
+    """mapInArrow function: windows with their digests, all of them or those in marked cells."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        marked = cells.value if cells is not None else None
+        for batch in batches:
+            rows = []
+            for doc_id, key, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                data = text.encode()
+                ends = np.flatnonzero(np.frombuffer(data, dtype=np.uint8) == 10).tolist()
+                starts, ends = [0, *[end + 1 for end in ends]], [*ends, len(data)]
+                for start, n in windows(text, run_words):
+                    one, two = _digest(data[starts[start]:ends[start + n - 1]])
+                    if marked is None or marked[one % CELLS]:
+                        rows.append((doc_id, key, start, n, one, two))
+            columns = list(zip(*rows, strict=True)) or [()] * 6
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(*column) for column in zip(columns, kinds, strict=True)], names=["doc_id", "row_key", "start", "n", "one", "two"])
+
+    return run
+
+
+def run_removals(docs: DataFrame, run_words: int) -> DataFrame:
+    """doc_id, row_key, start and n of every window that occurs before without overlapping it; `docs` as for `removals`."""
+    spark = docs.sparkSession
+    place = F.struct("doc_id", "row_key", "start")
+    digests = docs.select("doc_id", "row_key", "text").mapInArrow(_window_rows(None, run_words), _SLIM)
+    repeated = kept(digests.groupBy("one", "two").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last"))
+    cells = np.zeros(CELLS, dtype=bool)
+    # At most `CELLS` numbers.
+    cells[repeated.select(F.pmod("one", F.lit(CELLS)).alias("cell")).distinct().toArrow()["cell"].to_numpy()] = True
+    shared = spark.sparkContext.broadcast(cells)
+    found = docs.select("doc_id", "row_key", "text").mapInArrow(_window_rows(shared, run_words), _SLIM)
+    same_row = F.col("first.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("first.row_key") == F.col("row_key"))
+    later = ~same_row | (F.col("start") >= F.col("first.start") + F.col("n"))
+    return found.join(repeated.select("one", "two", "first"), ["one", "two"]).where(later).select("doc_id", "row_key", "start", "n").distinct()
+
+
 def _digest(data: bytes) -> tuple[int, int]:
     whole = hashlib.blake2b(data, digest_size=16).digest()
     return int.from_bytes(whole[:8], "little", signed=True), int.from_bytes(whole[8:], "little", signed=True)
@@ -114,15 +180,16 @@ def removals(docs: DataFrame) -> DataFrame:
         "doc_id", "row_key", "start", "n").distinct()
 
 
-def deduped(docs: DataFrame) -> DataFrame:
-    """`docs` with repeated chunks taken out of `text`, and n_lines and n_removed_lines."""
+def deduped(docs: DataFrame, run_words: int | None = None) -> DataFrame:
+    """`docs` with repeated chunks, and runs of `run_words` words, taken out of `text`, and n_lines and n_removed_lines."""
     spark = docs.sparkSession
     keyed = docs.withColumn("__key", F.xxhash64("doc_id", "text"))
     with batches_of(spark, BATCH_ROWS):
-        gone = kept(removals(keyed.select("doc_id", F.col("__key").alias("row_key"), whole_text().alias("text"))))
+        texts = keyed.select("doc_id", F.col("__key").alias("row_key"), whole_text().alias("text"))
+        gone = kept(removals(texts) if run_words is None else removals(texts).union(run_removals(texts, run_words)))
     # A document's own lines.
-    lines = gone.groupBy(F.col("doc_id").alias("__doc"), F.col("row_key").alias("__row")).agg(F.array_sort(F.flatten(F.collect_list(
-        F.sequence("start", F.col("start") + F.col("n") - 1)))).alias("__gone"))
+    lines = gone.groupBy(F.col("doc_id").alias("__doc"), F.col("row_key").alias("__row")).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list(
+        F.sequence("start", F.col("start") + F.col("n") - 1))))).alias("__gone"))
     joined = keyed.join(lines.hint("merge"), F.col("__doc").eqNullSafe(F.col("doc_id")) & (F.col("__row") == F.col("__key")), "left")
     split = F.split("text", "\n", -1)
     left = F.array_except(F.sequence(F.lit(0), F.size(split) - 1), F.col("__gone"))

@@ -208,4 +208,4 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("op10_line_dedup")
 def op10(spark: SparkSession, folder: str) -> DataFrame:
-    return line_dedup.deduped(slim(table(spark, folder, "documents"), "doc_id", "text"))
+    return line_dedup.deduped(slim(table(spark, folder, "documents"), "doc_id", "text"), line_dedup.RUN_WORDS)

@@ -541,6 +541,40 @@ def test_boundaries_resist_shifts():
     assert sum(n for _, n, _ in line_dedup.chunks("\n".join(lines))) == 60
 
 
+def brute_runs(texts, least):
+    """Lines of each text in runs of `least` words or more that occur before without overlap, over all pairs of places."""
+    rows = [text.split("\n") for text in texts]
+    gone = defaultdict(set)
+    for i, lines in enumerate(rows):
+        for j in range(i + 1):
+            for at in range(len(lines)):
+                for other in range(at if i == j else len(rows[j])):
+                    n = words = 0
+                    while at + n < len(lines) and other + n < len(rows[j]) and (i != j or other + n < at) and lines[at + n] == rows[j][other + n]:
+                        words += len(lines[at + n].split())
+                        n += 1
+                    if words >= least:
+                        gone[i].update(range(at, at + n))
+    return gone
+
+
+def test_dedup_removes_whole_runs(spark):
+    texts = []
+    for shape, (n, width) in enumerate([(2, 28), (3, 18), (4, 14), (5, 12), (6, 9), (3, 10)]):
+        passage = "\n".join(prose(5000 + 10 * shape + k, width) for k in range(n))
+        texts += ["\n".join([prose(6000 + 40 * shape + 2 * k, 7), passage, prose(6001 + 40 * shape + 2 * k, 7)]) for k in range(8)]
+    texts += ["\n".join(["", prose(1, 12)] * 14), "\n".join([prose(2, 26), "", prose(3, 26), "end"] * 3), "", prose(4, 40)]
+    wanted = brute_runs(texts, 50)
+    docs = frame(spark, texts).select("doc_id", F.lit(0).cast("long").alias("row_key"), "text")
+    got = defaultdict(set)
+    for row in line_dedup.run_removals(docs, 50).collect():
+        got[row.doc_id].update(range(row.start, row.start + row.n))
+    assert got == wanted
+    rows = line_dedup.deduped(frame(spark, texts), 50).collect()
+    for shape in range(5):
+        assert all(row.n_removed_lines == row.n_lines - 2 for row in rows if 8 * shape < row.doc_id < 8 * shape + 8)
+
+
 def test_dedup_awkward(spark, awkward, nothing):
     rows = line_dedup.deduped(awkward)
     assert set(rows.columns) == {*awkward.columns, "n_removed_lines"} and rows.count() == 9
