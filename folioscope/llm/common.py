@@ -38,6 +38,14 @@ def slim(frame: DataFrame, *names: str) -> DataFrame:
     return frame.select(*[F.col(f"`{name}`") for name in names])
 
 
+def unused(frame: DataFrame, name: str) -> str:
+    """`name`, with underscores before it until no column of `frame` has it."""
+    taken = {column.lower() for column in frame.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def kept(frame: DataFrame) -> DataFrame:
     """`frame` written once to the folder that all executors share, and read from there."""
     spark = frame.sparkSession

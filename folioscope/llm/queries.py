@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from folioscope.session import shared_dir
 
-from . import decontamination, html_extraction, line_dedup, mixing, ngram_join, quality_rules, secret_scan, sharding, toxicity, url_filters
+from . import decontamination, fill_in_middle, html_extraction, line_dedup, mixing, ngram_join, quality_rules, secret_scan, sharding, toxicity, url_filters
 from .common import slim, table, whole_text
 
 QUERIES = {}
@@ -209,3 +209,29 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
 @query("op10_line_dedup")
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     return line_dedup.deduped(slim(table(spark, folder, "documents"), "doc_id", "text"), line_dedup.RUN_WORDS)
+
+
+@query("op13_fill_in_middle", r"""
+WITH texts AS (
+    SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS units,
+        sha256('7:' || coalesce(doc_id::VARCHAR, '')) AS hash FROM documents),
+drawn AS (
+    SELECT *, len(units)::BIGINT AS n, ('0x' || hash[1:8])::BIGINT AS h1, ('0x' || hash[9:16])::BIGINT AS h2,
+        ('0x' || hash[17:24])::BIGINT AS h3, ('0x' || hash[25:32])::BIGINT AS h4 FROM texts),
+cut AS (
+    SELECT *, coalesce(list_sum([length(unit) FOR unit IN units[:least(h1 % (n + 1), h2 % (n + 1))]]), 0)::BIGINT AS start,
+        coalesce(list_sum([length(unit) FOR unit IN units[:greatest(h1 % (n + 1), h2 % (n + 1))]]), 0)::BIGINT AS stop,
+        CASE WHEN n = 0 OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 100 THEN 'plain'
+            WHEN h4 % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM drawn),
+parted AS (
+    SELECT *, substring(text, 1, start) AS prefix, substring(text, start + 1, stop - start) AS middle, substring(text, stop + 1) AS suffix FROM cut)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN start END AS prefix_chars, CASE WHEN form <> 'plain' THEN stop - start END AS middle_chars,
+    sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+        ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+    sha256(text) AS restored_sha256
+FROM parted""")
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    rows = fill_in_middle.transformed(slim(table(spark, folder, "documents"), "doc_id", "text"))
+    return rows.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"),
+        F.sha2(fill_in_middle.restored(F.col("output"), F.col("form")), 256).alias("restored_sha256"))
