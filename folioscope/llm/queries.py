@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from folioscope.session import shared_dir
 
-from . import decontamination, fill_in_middle, html_extraction, line_dedup, mixing, ngram_join, quality_rules, secret_scan, sharding, toxicity, url_filters
+from . import conversation_trie, decontamination, fill_in_middle, html_extraction, line_dedup, mixing, ngram_join, quality_rules, secret_scan, sharding, toxicity, url_filters
 from .common import slim, table, whole_text
 
 QUERIES = {}
@@ -211,6 +211,38 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
     return line_dedup.deduped(slim(table(spark, folder, "documents"), "doc_id", "text"), line_dedup.RUN_WORDS)
 
 
+def _crc32_sql(text: str) -> str:
+    """Unsigned CRC-32 of a short ASCII text, bit by bit; DuckDB has no function for it."""
+    table = "list_reduce(list_prepend(xor(crc, byte), [0, 0, 0, 0, 0, 0, 0, 0]), lambda one, bit: xor(one >> 1, 3988292384 * (one & 1)))"
+    codes = f"[ord(letter)::BIGINT FOR letter IN string_split({text}, '')]"
+    return f"xor(list_reduce(list_prepend(4294967295, {codes}), lambda crc, byte: {table}), 4294967295)"
+
+
+@query("op12_conversation_trie", f"""
+WITH turns AS (
+    SELECT conv_id, turn, md5(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS key,
+        strlen(coalesce(text, ''))::BIGINT AS bytes FROM conversations WHERE conv_id IS NOT NULL),
+own AS (
+    SELECT conv_id, conv_id - conv_id % 5 AS base, {_crc32_sql("conv_id::VARCHAR")} % 9 AS h,
+        list(key ORDER BY turn NULLS FIRST, key) AS keys, list(bytes ORDER BY turn NULLS FIRST, key) AS bytes FROM turns GROUP BY conv_id),
+rebuilt AS (
+    SELECT c.conv_id, list_concat(coalesce(b.keys, [])[1:c.h], c.keys[c.h + 1:]) AS keys,
+        list_concat(coalesce(b.bytes, [])[1:c.h], c.bytes[c.h + 1:]) AS bytes FROM own c LEFT JOIN own b ON b.conv_id = c.base),
+steps AS (SELECT conv_id, keys, bytes, unnest(range(len(keys) + 1)) AS d FROM rebuilt),
+nodes AS (
+    SELECT array_to_string(keys[1:d], '') AS node, d AS depth, min(conv_id) AS conv_id, count(*) AS n_convs, min(CASE WHEN d > 0 THEN bytes[d] ELSE 0 END) AS bytes,
+        coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (d = len(keys)), '') AS ends FROM steps GROUP BY ALL),
+children AS (SELECT left(node, 32 * (depth - 1)) AS node, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY ALL),
+told AS (SELECT nodes.*, coalesce(n_children, 0) AS n_children FROM nodes LEFT JOIN children USING (node)),
+above AS (SELECT *, unnest(range(depth + 1)) AS a FROM told),
+sums AS (
+    SELECT left(node, 32 * a) AS node, count(*) FILTER (n_children = 0) AS n_leaves, sum((n_convs - 1) * bytes)::BIGINT AS saved_tokens FROM above GROUP BY ALL)
+SELECT t.conv_id, t.depth::BIGINT AS depth, p.conv_id AS parent_conv_id, t.n_convs, t.n_children, n_leaves, saved_tokens, sha256(t.ends) AS ends_sha256
+FROM told t JOIN sums USING (node) LEFT JOIN told p ON t.depth > 0 AND p.node = left(t.node, 32 * (t.depth - 1)::INT)""")
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    return conversation_trie.nodes(conversation_trie.rebuilt(table(spark, folder, "conversations")))
+
+
 @query("op13_fill_in_middle", r"""
 WITH texts AS (
     SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS units,
