@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from folioscope.session import shared_dir
 
-from . import conversation_trie, decontamination, fill_in_middle, html_extraction, line_dedup, mixing, ngram_join, quality_rules, secret_scan, sharding, toxicity, url_filters
+from . import conversation_trie, decontamination, fill_in_middle, html_extraction, line_dedup, lm_scoring, mixing, ngram_join, quality_rules, secret_scan, sharding, toxicity, url_filters
 from .common import slim, table, whole_text
 
 QUERIES = {}
@@ -211,6 +211,11 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
     return line_dedup.deduped(slim(table(spark, folder, "documents"), "doc_id", "text"), line_dedup.RUN_WORDS)
 
 
+@query("op11_lm_scoring")
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    return lm_scoring.scored(table(spark, folder, "documents"))
+
+
 def _crc32_sql(text: str) -> str:
     """Unsigned CRC-32 of a short ASCII text, bit by bit; DuckDB has no function for it."""
     table = "list_reduce(list_prepend(xor(crc, byte), [0, 0, 0, 0, 0, 0, 0, 0]), lambda one, bit: xor(one >> 1, 3988292384 * (one & 1)))"
