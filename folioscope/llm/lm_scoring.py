@@ -3,8 +3,8 @@
 A text is its words (A to Z lower-cased) and one end. The model gives a word the sum over all its segmentations into
 pieces of an existing vocabulary, of the product of the pieces' probabilities; since no piece crosses a word's
 border, the log probability of a text is the sum over its words plus that of the end piece. The sum over segmentations is
-a forward recursion in log space over the word's lattice. Every character also has a path over its byte pieces, so no text
-is impossible.
+a forward recursion in log space over the word's lattice. A character that is no piece goes by its byte pieces, so no text
+is impossible. Words are walked in order, and the recursion goes on from what a word shares with the one before it.
 
 1. Vocabulary: how often each distinct word stands in the learning texts (0 for words of other texts only), one aggregate
    over all texts. It grows with the corpus and stays a table.
@@ -53,11 +53,11 @@ PARTIAL = ("doc_id long, held_out boolean, n_tokens long, n_known long, base dou
 
 
 class Pieces(NamedTuple):
-    """Log probability by piece, None for what only begins pieces; ids by piece; log probability and id by byte; the end's."""
+    """Log probability and id by piece and by what ends a piece (0 and None); by byte; pieces of one letter; the end's log."""
 
-    steps: dict[str, float | None]
-    ids: dict[str, int]
+    endings: dict[str, tuple[float, int | None]]
     bytes: list[tuple[float, int]]
+    letters: frozenset[str]
     end: float
 
 
@@ -94,9 +94,9 @@ class Vocabulary(NamedTuple):
         with np.errstate(divide="ignore"):
             logs = np.log((counts + PRIOR * self.weights) / (counts.sum() + PRIOR)).tolist()
         ids = {name: at for at, name in enumerate(self.names) if name is not None}
-        steps: dict[str, float | None] = {name[:stop]: None for name in ids for stop in range(1, len(name))}
-        steps.update({name: logs[at] for name, at in ids.items()})
-        return Pieces(steps, ids, [(logs[at], at) for at in self.bytes], logs[self.end])
+        endings: dict[str, tuple[float, int | None]] = {name[start:]: (0.0, None) for name in ids for start in range(1, len(name))}
+        endings.update({name: (logs[at], at) for name, at in ids.items()})
+        return Pieces(endings, [(logs[at], at) for at in self.bytes], frozenset(name for name in ids if len(name) == 1), logs[self.end])
 
 
 def piece_lower(text: str) -> str:
@@ -110,70 +110,82 @@ def _sum_of_logs(values: list[float]) -> float:
     return most + math.log(sum([math.exp(value - most) for value in values]))
 
 
-def edges(word: str, pieces: Pieces) -> list[list[tuple[int, float, str | None]]]:
-    """The lattice: for each place its edges as (end, log probability, piece or None for the byte path)."""
-    text, steps = START + word, pieces.steps
-    size, lattice = len(text), []
-    for start in range(size):
-        out = [(start + 1, sum([pieces.bytes[byte][0] for byte in text[start].encode()]), None)]
-        for stop in range(start + 1, size + 1):
-            part = text[start:stop]
-            if part not in steps:
+class Walk:
+    """The forward recursion over words in order; what a word shares with the one before it is not computed again.
+
+    `forward[j]` is the log of the summed probability of all segmentations of the first j characters. With `counts`, how often
+    each piece is expected is added there: a word puts its number of occurrences on its last place, and a place that the
+    next word does not share hands its weight back along its edges, each by its share of the sum.
+    """
+
+    def __init__(self, pieces: Pieces, counts: np.ndarray | None = None) -> None:
+        self.pieces, self.counts, self.text = pieces, counts, ""
+        self.forward, self.into, self.weight = [0.0], [[]], [0.0]
+
+    def to(self, word: str, times: int = 0) -> float:
+        """Log of the summed probability of all segmentations of `word`."""
+        text, same = START + word, 0
+        for one, other in zip(self.text, text, strict=False):
+            if one != other:
                 break
-            if (log := steps[part]) is not None:
-                out.append((stop, log, part))
-        lattice.append(out)
-    return lattice
+            same += 1
+        self.back_to(same)
+        endings, forward = self.pieces.endings, self.forward
+        for stop in range(same + 1, len(text) + 1):
+            edges, logs = [], []
+            for start in range(stop - 1, -1, -1):
+                part = text[start:stop]
+                if (known := endings.get(part)) is None:
+                    break
+                log, piece = known
+                if piece is not None:
+                    edges.append((start, log, piece))
+                    logs.append(forward[start] + log)
+            if (unknown := text[stop - 1]) not in self.pieces.letters:
+                log = sum([self.pieces.bytes[byte][0] for byte in unknown.encode()])
+                edges.append((stop - 1, log, unknown))
+                logs.append(forward[stop - 1] + log)
+            forward.append(_sum_of_logs(logs))
+            if self.counts is not None:
+                self.into.append(edges)
+                self.weight.append(0.0)
+        self.text = text
+        self.weight[-1] += times
+        return forward[-1]
+
+    def back_to(self, place: int) -> None:
+        """Leaves all places beyond the first `place` characters."""
+        if self.counts is None:
+            del self.forward[place + 1:]
+            return
+        while len(self.forward) > place + 1:
+            here, weight = self.forward.pop(), self.weight.pop()
+            for start, log, piece in self.into.pop():
+                share = weight * math.exp(self.forward[start] + log - here)
+                self.weight[start] += share
+                if isinstance(piece, int):
+                    self.counts[piece] += share
+                else:
+                    for byte in piece.encode():
+                        self.counts[self.pieces.bytes[byte][1]] += share
 
 
 def marginal(word: str, pieces: Pieces) -> float:
-    """Log of the summed probability of all segmentations of a word; the end's for END."""
-    if word == END:
-        return pieces.end
-    lattice = edges(word, pieces)
-    reached: list[list[float]] = [[] for _ in range(len(lattice) + 1)]
-    reached[0].append(0.0)
-    for start, out in enumerate(lattice):
-        here = _sum_of_logs(reached[start])
-        for stop, log, _ in out:
-            reached[stop].append(here + log)
-    return _sum_of_logs(reached[-1])
-
-
-def add_expected(word: str, times: int, pieces: Pieces, counts: np.ndarray, end: int) -> None:
-    """Adds how often each piece is expected in `times` occurrences of a word, over all its segmentations."""
-    if word == END:
-        counts[end] += times
-        return
-    lattice = edges(word, pieces)
-    size = len(lattice)
-    reached: list[list[float]] = [[] for _ in range(size + 1)]
-    reached[0].append(0.0)
-    forward = []
-    for start, out in enumerate(lattice):
-        forward.append(_sum_of_logs(reached[start]))
-        for stop, log, _ in out:
-            reached[stop].append(forward[start] + log)
-    whole, backward = _sum_of_logs(reached[size]), [0.0] * (size + 1)
-    text = START + word
-    for start in range(size - 1, -1, -1):
-        backward[start] = _sum_of_logs([log + backward[stop] for stop, log, _ in lattice[start]])
-        for stop, log, piece in lattice[start]:
-            share = times * math.exp(forward[start] + log + backward[stop] - whole)
-            if piece is not None:
-                counts[pieces.ids[piece]] += share
-            else:
-                for byte in text[start].encode():
-                    counts[pieces.bytes[byte][1]] += share
+    return Walk(pieces).to(word)
 
 
 def _expected(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces, size, end = shared.value
         counts = np.zeros(size)
+        walk = Walk(pieces, counts)
         for batch in batches:
             for word, times in zip(batch.column("token").to_pylist(), batch.column("n").to_pylist(), strict=True):
-                add_expected(word, times, pieces, counts, end)
+                if word == END:
+                    counts[end] += times
+                else:
+                    walk.to(word, times)
+        walk.back_to(0)
         found = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(counts[found])], names=["piece", "expected"])
 
@@ -216,8 +228,9 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _with_marginals(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        walk = Walk(shared.value)
         for batch in batches:
-            logs = [marginal(word, shared.value) for word in batch.column("token").to_pylist()]
+            logs = [walk.to(word) for word in batch.column("token").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("token"), batch.column("n"), pa.array(logs, pa.float64())], names=["token", "n", "marginal"])
 
     return run
@@ -279,7 +292,7 @@ def scored(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:
     spark = docs.sparkSession
     learns = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % FOLDS != 0
     texts = slim(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"), learns.alias("learns"))
-    words = kept(texts.select("text", "learns").mapInArrow(_counted, WORDS).groupBy("token").agg(F.sum("n").alias("n")))
+    words = kept(texts.select("text", "learns").mapInArrow(_counted, WORDS).groupBy("token").agg(F.sum("n").alias("n")).sortWithinPartitions("token"))
     total, distinct, ends = words.agg(
         F.coalesce(F.sum("n"), F.lit(0)), F.count_if(F.col("n") > 0), F.coalesce(F.max(F.when(F.col("token") == END, F.col("n"))), F.lit(0))).first()
     pieces = learned_pieces(words, Vocabulary.read(path))

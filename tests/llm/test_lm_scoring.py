@@ -21,12 +21,15 @@ def vocabulary():
 
 
 def segmentations(text, pieces):
-    """Log probability and pieces of every segmentation, spelled out one by one; a byte path is one step of a character."""
+    """Log probability and pieces of every segmentation, spelled out one by one; a letter that is no piece goes by its bytes."""
     if not text:
         yield 0.0, []
         return
-    steps = [(1, sum(pieces.bytes[byte][0] for byte in text[0].encode()), [pieces.bytes[byte][1] for byte in text[0].encode()])]
-    steps += [(size, pieces.steps[text[:size]], [pieces.ids[text[:size]]]) for size in range(1, len(text) + 1) if text[:size] in pieces.ids]
+    known = {size: pieces.endings.get(text[:size], (0.0, None)) for size in range(1, len(text) + 1)}
+    steps = [(size, log, [piece]) for size, (log, piece) in known.items() if piece is not None]
+    if known[1][1] is None:
+        some = [pieces.bytes[byte] for byte in text[0].encode()]
+        steps.append((1, sum(log for log, _ in some), [piece for _, piece in some]))
     for size, log, ids in steps:
         for rest, more in segmentations(text[size:], pieces):
             yield log + rest, ids + more
@@ -45,7 +48,9 @@ def test_marginal_sums_all_segmentations(vocabulary, word):
 @pytest.mark.parametrize("word", WORDS)
 def test_expected_counts(vocabulary, word):
     pieces, got, want = vocabulary.pieces(), np.zeros(len(vocabulary.weights)), np.zeros(len(vocabulary.weights))
-    lm.add_expected(word, 3, pieces, got, vocabulary.end)
+    walk = lm.Walk(pieces, got)
+    walk.to(word, 3)
+    walk.back_to(0)
     every = list(segmentations(lm.START + word, pieces))
     whole = sum(math.exp(log) for log, _ in every)
     for log, ids in every:
@@ -53,11 +58,26 @@ def test_expected_counts(vocabulary, word):
     np.testing.assert_allclose(got, want, rtol=1e-9, atol=1e-12)
 
 
+def test_walks_share_beginnings(vocabulary):
+    pieces = vocabulary.pieces()
+    alone, together = np.zeros(len(vocabulary.weights)), np.zeros(len(vocabulary.weights))
+    walk, words = lm.Walk(pieces, together), sorted([*WORDS, "thea", "then", "xx", "日", "été"])
+    for times, word in enumerate(words):
+        assert math.isclose(walk.to(word, times), lm.marginal(word, pieces), rel_tol=1e-12)
+        single = lm.Walk(pieces, alone)
+        single.to(word, times)
+        single.back_to(0)
+    walk.back_to(0)
+    np.testing.assert_allclose(together, alone, rtol=1e-9, atol=1e-12)
+
+
 def test_pieces_are_a_distribution(vocabulary):
     expected = np.zeros(len(vocabulary.weights))
-    lm.add_expected("theation", 50, vocabulary.pieces(), expected, vocabulary.end)
+    walk = lm.Walk(vocabulary.pieces(), expected)
+    walk.to("theation", 50)
+    walk.back_to(0)
     for pieces in (vocabulary.pieces(), vocabulary.pieces(expected)):
-        logs = [log for log in pieces.steps.values() if log is not None] + [log for log, _ in pieces.bytes] + [pieces.end]
+        logs = [log for log, piece in pieces.endings.values() if piece is not None] + [log for log, _ in pieces.bytes] + [pieces.end]
         assert math.isclose(sum(map(math.exp, logs)), 1.0, rel_tol=1e-9)
     assert lm.marginal("theation", vocabulary.pieces(expected)) > lm.marginal("theation", vocabulary.pieces())
 
@@ -73,13 +93,18 @@ def brute(rows, vocabulary):
     counts = Counter(token for doc_id, text, *_ in rows if not held(doc_id) for token in tokens(text))
     expected = np.zeros(len(vocabulary.weights))
     for token, n in counts.items():
-        lm.add_expected(token, n, vocabulary.pieces(), expected, vocabulary.end)
+        walk = lm.Walk(vocabulary.pieces(), expected)
+        walk.to(token, n)
+        if token == lm.END:
+            expected[vocabulary.end] += n
+        else:
+            walk.back_to(0)
     pieces, total = vocabulary.pieces(expected), sum(counts.values())
     for doc_id, text, *_ in rows:
         some = tokens(text)
         yield (doc_id, held(doc_id), len(some), sum(counts[token] > 0 for token in some), total,
                sum(math.log10((counts[token] + 0.1) / (total + 0.1 * (len(counts) + 1))) for token in some),
-               sum(lm.marginal(token, pieces) for token in some) / math.log(10))
+               sum(pieces.end if token == lm.END else lm.marginal(token, pieces) for token in some) / math.log(10))
 
 
 def compare(frame, want):
