@@ -9,8 +9,9 @@ all documents in a table of fixed size, so that text which many documents share
 
 1. Profiles: set size, set key and count vector. Documents of one set are one node from here on.
 2. Lists: rare shingles with the documents under them; hot lists are salted.
-3. Stars: every document of a list against the list's first. Survivors of the bound are verified on whole texts. A group
-   of near copies so becomes one component without its pairs.
+3. Stars: every document of a list against the list's hub, the document whose shingles are the most common. Survivors of the
+   bound are verified on whole texts. A group of near copies so becomes one component without its pairs: what the copies
+   were made from shares all lists with them, and is their hub in all of these.
 4. Trees: only lists whose documents lie in several components remain. Their points fill leaves of about `LEAF`
    points of like set size; leaf pairs of fitting sizes are bounded by boxes, then by points; survivors across components are verified.
    Links inside a component cannot change it, so the components are those of all links.
@@ -119,12 +120,14 @@ def shingle_counts(docs: DataFrame) -> np.ndarray:
 
 
 def _rare_shingles(counts):
-    """mapInArrow function: a row for each of a document's rarest shingles, with a salt where the list may be hot."""
+    """mapInArrow function: a row for each of a document's rarest shingles, with a salt where the list may be hot, and
+    how common the document's shingles are on the mean. The text that others were made from has none of their changes, so
+    it is the most common of its group."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = counts.value
         for batch in batches:
-            ids, tokens, salts, owners = batch.column(0).to_numpy(zero_copy_only=False), [], [], []
+            ids, tokens, salts, owners, means = batch.column(0).to_numpy(zero_copy_only=False), [], [], [], []
             dealt = mix(ids.view(np.uint64), 5)
             for at, shingles in enumerate(shingle_sets(batch.column(1))):
                 if not len(shingles):
@@ -135,19 +138,20 @@ def _rare_shingles(counts):
                 tokens.append(shingles[rare].view(np.int64))
                 salts.append(np.where(spread > 1, (dealt[at] % spread).astype(np.int64), -1))
                 owners.append(np.full(len(rare), ids[at], dtype=np.int64))
+                means.append(np.full(len(rare), often.mean(), dtype=np.float32))
                 if sum(map(len, tokens)) > 100_000:
-                    yield _list_rows(tokens, owners, salts)
-                    tokens, salts, owners = [], [], []
+                    yield _list_rows(tokens, owners, salts, means)
+                    tokens, salts, owners, means = [], [], [], []
             if tokens:
-                yield _list_rows(tokens, owners, salts)
+                yield _list_rows(tokens, owners, salts, means)
 
     return run
 
 
-def _list_rows(tokens: list, owners: list, salts: list) -> pa.RecordBatch:
+def _list_rows(tokens: list, owners: list, salts: list, means: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
-        [pa.array(np.concatenate(tokens)), pa.array(np.concatenate(owners)), pa.array(np.concatenate(salts).astype(np.int32))],
-        names=["token", "doc_id", "salt"])
+        [pa.array(np.concatenate(tokens)), pa.array(np.concatenate(owners)), pa.array(np.concatenate(salts).astype(np.int32)),
+         pa.array(np.concatenate(means))], names=["token", "doc_id", "salt", "common"])
 
 
 def _within_bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -213,19 +217,20 @@ def bounded(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def _lists(docs: DataFrame) -> DataFrame:
-    """token, doc_id and hub (the list's or its part's first document) for every list of two or more; kept."""
+    """token, doc_id and hub (the most common document of the list or its part) for every list of two or more; kept."""
     counts = docs.sparkSession.sparkContext.broadcast(shingle_counts(docs))
-    rows = docs.mapInArrow(_rare_shingles(counts), "token long, doc_id long, salt int")
-    part = Window.partitionBy("token", "salt").orderBy("doc_id")
+    rows = docs.mapInArrow(_rare_shingles(counts), "token long, doc_id long, salt int, common float")
+    part = Window.partitionBy("token", "salt").orderBy(F.desc("common"), "doc_id")
     starred = rows.select(
-        "*", F.first("doc_id").over(part.rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("hub"),
+        "token", "doc_id", "salt", F.first(F.struct("common", "doc_id")).over(part.rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("first"),
         F.lead("doc_id").over(part).alias("next"))
-    return kept(starred.where("salt >= 0 OR hub <> doc_id OR next IS NOT NULL").select("token", "doc_id", "hub", "salt"))
+    return kept(starred.where("salt >= 0 OR first.doc_id <> doc_id OR next IS NOT NULL").select(
+        "token", "doc_id", F.col("first.doc_id").alias("hub"), "salt", F.col("first.common").alias("common")))
 
 
 def _star_pairs(lists: DataFrame) -> DataFrame:
-    hubs = lists.where("salt >= 0").select("token", "hub").distinct()
-    over_parts = hubs.groupBy("token").agg(F.min("hub").alias("first"))
+    hubs = lists.where("salt >= 0").select("token", "hub", "common").distinct()
+    over_parts = hubs.groupBy("token").agg(F.max_by("hub", F.struct("common", F.bitwise_not("hub"))).alias("first"))
     joined = hubs.join(over_parts, "token").select(F.col("first").alias("a"), F.col("hub").alias("b"))
     return lists.select(F.col("hub").alias("a"), F.col("doc_id").alias("b")).union(joined).where("a <> b").distinct()
 

@@ -199,6 +199,17 @@ def test_join_chains_and_hot_groups(spark, monkeypatch):
     assert joined(spark, texts) == brute_components(texts)
 
 
+def test_copies_of_one_text_leave_the_trees_no_pairs(spark, monkeypatch):
+    """Copies that differ from one text in different places link to it and hardly to each other."""
+    pairs, trees = [], ngram_join.tree_pairs
+    monkeypatch.setattr(ngram_join, "tree_pairs", lambda *at: pairs.append(trees(*at).cache()) or pairs[-1])
+    for copies in (40, 160):
+        base = prose(71, 300)
+        texts = [edited(base, k, 6) for k in range(copies)] + [base]
+        assert {part for _, part in joined(spark, texts).values()} == {0}
+        assert pairs[-1].count() <= copies
+
+
 def test_join_of_any_long_ids(spark, monkeypatch):
     monkeypatch.setattr(ngram_join, "HOT_LIST", 16)
     base = prose(6, 90)
