@@ -12,9 +12,10 @@ all documents in a table of fixed size, so that text which many documents share
 3. Stars: every document of a list against the list's hub, the document whose shingles are the most common. Survivors of the
    bound are verified on whole texts. A group of near copies so becomes one component without its pairs: what the copies
    were made from shares all lists with them, and is their hub in all of these.
-4. Trees: only lists whose documents lie in several components remain. Their points fill leaves of about `LEAF`
-   points of like set size; leaf pairs of fitting sizes are bounded by boxes, then by points; survivors across components are verified.
-   Links inside a component cannot change it, so the components are those of all links.
+4. Trees: only lists whose documents lie in several components remain. A list is a tree of one block or, with more
+   than `BLOCK` points, of several by size and hash; a block's points are packed into leaves by halving along the widest group.
+   Boxes of blocks, then of leaves, bound what their points can share, then the points are bounded; survivors across
+   components are verified. Links inside a component cannot change it, so the components are those of all links.
 
 Verification moves a text to the document it is compared with, streams through sorted partitions and holds one set per
 side. Texts and lists pass through no driver; the broadcast table of counts has `COUNT_CELLS` cells at any size.
@@ -38,9 +39,10 @@ from .shingles import mix, set_key, shingle_sets
 
 COUNT_CELLS = 1 << 17
 HOT_LIST = 4096
-LEAF = 128
+BLOCK = 128
+LEAF = 16
 PARTS = 64
-PER_GROUP = 2
+PER_GROUP = 4
 BATCH_ROWS = 1000
 MIN_GROUPS = 16
 MAX_GROUPS = 16384
@@ -138,7 +140,7 @@ def _rare_shingles(counts):
                 tokens.append(shingles[rare].view(np.int64))
                 salts.append(np.where(spread > 1, (dealt[at] % spread).astype(np.int64), -1))
                 owners.append(np.full(len(rare), ids[at], dtype=np.int64))
-                means.append(np.full(len(rare), often.mean(), dtype=np.float32))
+                means.append(np.full(len(rare), 16 * np.log2(often.mean() + 1), dtype=np.int16))
                 if sum(map(len, tokens)) > 100_000:
                     yield _list_rows(tokens, owners, salts, means)
                     tokens, salts, owners, means = [], [], [], []
@@ -219,7 +221,7 @@ def bounded(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
 def _lists(docs: DataFrame) -> DataFrame:
     """token, doc_id and hub (the most common document of the list or its part) for every list of two or more; kept."""
     counts = docs.sparkSession.sparkContext.broadcast(shingle_counts(docs))
-    rows = docs.mapInArrow(_rare_shingles(counts), "token long, doc_id long, salt int, common float")
+    rows = docs.mapInArrow(_rare_shingles(counts), "token long, doc_id long, salt int, common short")
     part = Window.partitionBy("token", "salt").orderBy(F.desc("common"), "doc_id")
     starred = rows.select(
         "token", "doc_id", "salt", F.first(F.struct("common", "doc_id")).over(part.rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("first"),
@@ -235,42 +237,77 @@ def _star_pairs(lists: DataFrame) -> DataFrame:
     return lists.select(F.col("hub").alias("a"), F.col("doc_id").alias("b")).union(joined).where("a <> b").distinct()
 
 
-class _Leaf:
-    """Points of one leaf as arrays, with vectors folded to the coarsest of them."""
+class _Tree:
+    """R-tree of a block's points: leaves of at most `LEAF` points, halved along the widest group, under the block's box."""
 
     def __init__(self, points: pa.StructScalar) -> None:
         self.nodes, self.parts, self.sizes = (points[name].values.to_numpy() for name in ("node", "component", "n"))
         vectors = [unpacked(data) for data in points["vector"].as_py()]
         self.groups = min(map(len, vectors))
         self.points = np.stack([folded(vector, self.groups) for vector in vectors])
+        self.leaves = list(self._packed(np.arange(len(self.nodes))))
+        self.low = [int(self.sizes[leaf].min()) for leaf in self.leaves]
+        self.high = [int(self.sizes[leaf].max()) for leaf in self.leaves]
+
+    def _packed(self, at: np.ndarray) -> Iterator[np.ndarray]:
+        if len(at) <= LEAF:
+            yield at
+            return
+        widest = int(np.argmax(self.points[at].max(axis=0) - self.points[at].min(axis=0)))
+        at = at[np.argsort(self.points[at, widest], kind="stable")]
+        yield from self._packed(at[:len(at) // 2])
+        yield from self._packed(at[len(at) // 2:])
 
     def at(self, groups: int) -> np.ndarray:
         return self.points.reshape(len(self.points), -1, groups).sum(axis=1)
 
 
-def _leaf_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Points of two leaves that lie in different components and pass the bound; boxes are tried first.
+def _near(left: _Tree, right: _Tree) -> Iterator[tuple[int, int]]:
+    """Pairs of points of two trees, or of one, in different components, that pass the bound: boxes of blocks first, then
+    of leaves, then the points."""
+    groups = min(left.groups, right.groups)
+    a, b = left.at(groups), right.at(groups)
+    if 7 * np.minimum(a.max(axis=0), b.max(axis=0)).sum() < 3 * (left.sizes.min() + right.sizes.min()):
+        return
+    boxes_a, boxes_b = ([points[leaf].max(axis=0) for leaf in tree.leaves] for tree, points in ((left, a), (right, b)))
+    for i, one in enumerate(left.leaves):
+        for j in range(i if left is right else 0, len(right.leaves)):
+            other = right.leaves[j]
+            if 4 * min(left.high[i], right.high[j]) < 3 * max(left.low[i], right.low[j]):
+                continue
+            if 7 * np.minimum(boxes_a[i], boxes_b[j]).sum() < 3 * (left.low[i] + right.low[j]):
+                continue
+            for point in one:
+                n, m = left.sizes[point], right.sizes[other]
+                good = (right.parts[other] != left.parts[point]) & (4 * np.minimum(n, m) >= 3 * np.maximum(n, m))
+                near = other[good]
+                near = near[7 * np.minimum(b[near], a[point]).sum(axis=1) >= 3 * (n + right.sizes[near])]
+                for with_point in near:
+                    yield tuple(sorted((int(left.nodes[point]), int(right.nodes[with_point]))))
+
+
+def _pairs_of(found: set[tuple[int, int]]) -> pa.RecordBatch:
+    pairs = np.array(sorted(found), dtype=np.int64).reshape(-1, 2)
+    return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+
 
-    A leaf meets itself in two orders, since each side of the join gathers its own lists: its pairs are told by node.
-    """
+def _block_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Near points of two blocks of a list."""
     for batch in batches:
         found = set()
-        for row in range(batch.num_rows):
-            left, right = _Leaf(batch.column("points_a")[row]), _Leaf(batch.column("points_b")[row])
-            groups, same = min(left.groups, right.groups), batch.column("same")[row].as_py()
-            a, b = left.at(groups), right.at(groups)
-            if 7 * np.minimum(a.max(axis=0), b.max(axis=0)).sum() < 3 * (left.sizes.min() + right.sizes.min()):
-                continue
-            for i, point in enumerate(a):
-                n, m = left.sizes[i], right.sizes
-                good = (right.parts != left.parts[i]) & (4 * np.minimum(n, m) >= 3 * np.maximum(n, m))
-                if same:
-                    good &= right.nodes > left.nodes[i]
-                near = np.flatnonzero(good)
-                near = near[7 * np.minimum(b[near], point).sum(axis=1) >= 3 * (n + m[near])]
-                found.update((min(left.nodes[i], right.nodes[j]), max(left.nodes[i], right.nodes[j])) for j in near)
-        pairs = np.array(sorted(found), dtype=np.int64).reshape(-1, 2)
-        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+        for left, right in zip(batch.column("points_a"), batch.column("points_b"), strict=True):
+            found.update(_near(_Tree(left), _Tree(right)))
+        yield _pairs_of(found)
+
+
+def _inner_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Near points within each block."""
+    for batch in batches:
+        found = set()
+        for points in batch.column("points"):
+            tree = _Tree(points)
+            found.update(_near(tree, tree))
+        yield _pairs_of(found)
 
 
 def tree_pairs(lists: DataFrame, nodes: DataFrame, members: DataFrame) -> DataFrame:
@@ -284,17 +321,19 @@ def tree_pairs(lists: DataFrame, nodes: DataFrame, members: DataFrame) -> DataFr
         F.count("*").over(whole).alias("size"), F.bit_xor(F.xxhash64("node", F.lit(1))).over(whole).alias("one"),
         F.bit_xor(F.xxhash64("node", F.lit(2))).over(whole).alias("two")).where("low <> high AND size > 2")
     points = mixed.select(F.struct("size", "one", "two").alias("token"), "node", "component").distinct().join(nodes, "node")
-    # Linked sizes lie in the same band or in neighbours; a band of a long list fills several leaves.
-    band = F.floor(F.ln("n") / F.ln(F.lit(4 / 3))).cast("int")
-    part = F.pmod(F.xxhash64("node"), F.ceil(F.col("token.size") / F.lit(LEAF))).cast("int")
-    leaves = points.select("token", "node", "component", "n", "vector", F.struct(band.alias("band"), part.alias("part")).alias("leaf")).groupBy(
-        "token", "leaf").agg(F.struct(*[F.collect_list(name).alias(name) for name in ("node", "component", "n", "vector")]).alias("points"),
-                             F.min("n").alias("low"), F.max("n").alias("high"))
-    left, right = leaves.alias("l"), leaves.alias("r")
-    met = left.join(right, F.expr("l.token = r.token AND l.leaf <= r.leaf AND 4 * l.high >= 3 * r.low"))
-    return met.select(
-        F.col("l.points").alias("points_a"), F.col("r.points").alias("points_b"), (F.col("l.leaf") == F.col("r.leaf")).alias("same")
-    ).mapInArrow(_leaf_pairs, "a long, b long").distinct()
+    # A short list is one block. Of a long one, linked sizes lie in the same band or in neighbours; a band fills several blocks.
+    long = F.col("token.size") > BLOCK
+    band = F.when(long, F.floor(F.ln("n") / F.ln(F.lit(4 / 3)))).otherwise(0).cast("int")
+    part = F.when(long, F.pmod(F.xxhash64("node"), F.ceil(F.col("token.size") / F.lit(BLOCK)))).otherwise(0).cast("int")
+    blocks = kept(points.select("token", "node", "component", "n", "vector", F.struct(band.alias("band"), part.alias("part")).alias("block")).groupBy(
+        "token", "block").agg(F.struct(*[F.collect_list(name).alias(name) for name in ("node", "component", "n", "vector")]).alias("points"),
+                              F.min("n").alias("low"), F.max("n").alias("high")))
+    inner = blocks.where("size(points.node) > 1").select("points").mapInArrow(_inner_pairs, "a long, b long")
+    several = blocks.where(F.col("token.size") > BLOCK)
+    left, right = several.alias("l"), several.alias("r")
+    met = left.join(right, F.expr("l.token = r.token AND l.block < r.block AND 4 * l.high >= 3 * r.low AND 4 * r.high >= 3 * l.low"))
+    across = met.select(F.col("l.points").alias("points_a"), F.col("r.points").alias("points_b")).mapInArrow(_block_pairs, "a long, b long")
+    return inner.union(across).distinct()
 
 
 def joined(docs: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -178,7 +179,8 @@ def joined(spark, texts):
 
 
 def test_join_matches_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(ngram_join, "LEAF", 4)
+    monkeypatch.setattr(ngram_join, "LEAF", 2)
+    monkeypatch.setattr(ngram_join, "BLOCK", 4)
     texts = [prose(k, 60) for k in range(20)]
     for k in range(20):
         texts += [edited(texts[k], 100 * k + e, e % 4) for e in range(6)]
@@ -237,16 +239,27 @@ def test_bounds_are_never_below_the_overlap():
             assert ngram_join.bound(vectors[i], vectors[j]) >= len(set(left.tolist()) & set(right.tolist()))
 
 
-def test_a_leaf_in_two_orders_keeps_its_pairs():
-    vector = ngram_join.packed(ngram_join.count_vector(next(shingles.shingle_sets(pa.array([prose(1, 40)])))))
-    points = {"node": [7, 3, 5], "component": [7, 3, 5], "n": [36, 36, 36], "vector": [vector] * 3}
+def test_trees_find_every_pair_within_the_bound():
+    texts = [edited(prose(k % 7, 60 + 5 * (k % 3)), k, k % 5) for k in range(70)]
+    sets = list(shingles.shingle_sets(pa.array(texts)))
+    vectors = [ngram_join.packed(ngram_join.count_vector(s)) for s in sets]
     kind = pa.struct({"node": pa.list_(pa.int64()), "component": pa.list_(pa.int64()), "n": pa.list_(pa.int64()), "vector": pa.list_(pa.binary())})
-    for order in ([0, 1, 2], [2, 1, 0], [1, 2, 0]):
-        other = {name: [values[i] for i in order] for name, values in points.items()}
-        batch = pa.RecordBatch.from_arrays(
-            [pa.array([points], kind), pa.array([other], kind), pa.array([True])], names=["points_a", "points_b", "same"])
-        pairs = next(ngram_join._leaf_pairs(iter([batch]))).to_pylist()
-        assert [(row["a"], row["b"]) for row in pairs] == [(3, 5), (3, 7), (5, 7)]
+
+    def tree(ids):
+        points = {"node": [5 * i for i in ids], "component": [i % 4 for i in ids], "n": [len(sets[i]) for i in ids], "vector": [vectors[i] for i in ids]}
+        return ngram_join._Tree(pa.array([points], kind)[0])
+
+    def brute(some, others):
+        return {(5 * min(i, j), 5 * max(i, j)) for i in some for j in others if i != j and i % 4 != j % 4 and ngram_join.fits(len(sets[i]), len(sets[j]))
+                and 7 * ngram_join.bound(ngram_join.unpacked(vectors[i]), ngram_join.unpacked(vectors[j])) >= 3 * (len(sets[i]) + len(sets[j]))}
+
+    whole, one, other = range(70), range(0, 70, 3), [i for i in range(70) if i % 3]
+    both = tree(whole)
+    assert len(both.leaves) > 4 and sorted(np.concatenate(both.leaves).tolist()) == list(whole)
+    assert brute(whole, whole) <= set(ngram_join._near(both, both))
+    assert brute(one, other) <= set(ngram_join._near(tree(one), tree(other)))
+    linked = {(5 * j, 5 * i) for i in whole for j in range(i) if i % 4 != j % 4 and ngram_join._overlap(sets[i], sets[j])}
+    assert linked and linked <= set(ngram_join._near(both, both))
 
 
 def test_join_awkward(spark, awkward, nothing):
