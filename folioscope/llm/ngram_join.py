@@ -42,7 +42,9 @@ HOT_LIST = 4096
 BLOCK = 128
 LEAF = 16
 PARTS = 64
-PER_GROUP = 4
+PER_GROUP = 2
+FINE_PER_GROUP = 0.5
+FINE = 512
 BATCH_ROWS = 1000
 MIN_GROUPS = 16
 MAX_GROUPS = 16384
@@ -63,9 +65,10 @@ def linked(overlap: int, left: int, right: int) -> bool:
 
 
 def count_vector(shingles: np.ndarray) -> np.ndarray:
-    """Counts per hash group, about `PER_GROUP` shingles to a group; coarser vectors are folds of finer ones."""
-    groups = MIN_GROUPS
-    while groups < MAX_GROUPS and groups * PER_GROUP < len(shingles):
+    """Counts per hash group, about `PER_GROUP` shingles to a group, fewer for up to `FINE` shingles; coarser vectors are
+    folds of finer ones."""
+    groups, per_group = MIN_GROUPS, FINE_PER_GROUP if len(shingles) <= FINE else PER_GROUP
+    while groups < MAX_GROUPS and groups * per_group < len(shingles):
         groups *= 2
     return np.bincount((mix(shingles, 3) & np.uint64(groups - 1)).astype(np.int64), minlength=groups)
 
@@ -242,9 +245,9 @@ class _Tree:
 
     def __init__(self, points: pa.StructScalar) -> None:
         self.nodes, self.parts, self.sizes = (points[name].values.to_numpy() for name in ("node", "component", "n"))
-        vectors = [unpacked(data) for data in points["vector"].as_py()]
-        self.groups = min(map(len, vectors))
-        self.points = np.stack([folded(vector, self.groups) for vector in vectors])
+        self.vectors = [unpacked(data) for data in points["vector"].as_py()]
+        self.groups = min(map(len, self.vectors))
+        self.points = np.stack([folded(vector, self.groups) for vector in self.vectors])
         self.leaves = list(self._packed(np.arange(len(self.nodes))))
         self.low = [int(self.sizes[leaf].min()) for leaf in self.leaves]
         self.high = [int(self.sizes[leaf].max()) for leaf in self.leaves]
@@ -283,6 +286,9 @@ def _near(left: _Tree, right: _Tree) -> Iterator[tuple[int, int]]:
                 near = other[good]
                 near = near[7 * np.minimum(b[near], a[point]).sum(axis=1) >= 3 * (n + right.sizes[near])]
                 for with_point in near:
+                    # The block's points are folded to its coarsest; the pair decides by its own resolution.
+                    if 7 * bound(left.vectors[point], right.vectors[with_point]) < 3 * (n + right.sizes[with_point]):
+                        continue
                     yield tuple(sorted((int(left.nodes[point]), int(right.nodes[with_point]))))
 
 
