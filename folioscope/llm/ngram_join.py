@@ -317,15 +317,19 @@ def _inner_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def tree_pairs(lists: DataFrame, nodes: DataFrame, members: DataFrame) -> DataFrame:
-    """Pairs across components that share a list and pass the trees' bounds; `members` has doc_id, node and component."""
+    """Pairs across components that share a list and pass the trees' bounds; `members` has doc_id, node, component and n."""
     # Dealt by shingle once. Lists of one component need no look, nor lists of two nodes, whose one pair the stars tried.
     # Equal lists, as the many shingles of a group of copies make, are one: named by two folds of their nodes.
-    placed = lists.select("token", "doc_id").join(members, "doc_id").select("token", "node", "component").repartition("token").distinct()
+    placed = lists.select("token", "doc_id").join(members, "doc_id").select("token", "node", "component", "n").repartition("token").distinct()
     whole = Window.partitionBy("token")
-    mixed = placed.select(
-        "node", "component", F.min("component").over(whole).alias("low"), F.max("component").over(whole).alias("high"),
+    by_size = whole.orderBy("n", "node")
+    # A point whose neighbours by size do not fit has no partner in the list, so its vector need not come.
+    sized = placed.select("*", F.count("*").over(whole).alias("all"), F.lag("n").over(by_size).alias("less"), F.lead("n").over(by_size).alias("more"))
+    fitting = sized.where("all > 2 AND (4 * less >= 3 * n OR 4 * n >= 3 * more)")
+    mixed = fitting.select(
+        "token", "node", "component", F.min("component").over(whole).alias("low"), F.max("component").over(whole).alias("high"),
         F.count("*").over(whole).alias("size"), F.bit_xor(F.xxhash64("node", F.lit(1))).over(whole).alias("one"),
-        F.bit_xor(F.xxhash64("node", F.lit(2))).over(whole).alias("two")).where("low <> high AND size > 2")
+        F.bit_xor(F.xxhash64("node", F.lit(2))).over(whole).alias("two")).where("low <> high")
     points = mixed.select(F.struct("size", "one", "two").alias("token"), "node", "component").distinct().join(nodes, "node")
     # A short list is one block. Of a long one, linked sizes lie in the same band or in neighbours; a band fills several blocks.
     long = F.col("token.size") > BLOCK
@@ -355,7 +359,7 @@ def _joined(docs: DataFrame) -> DataFrame:
     keys = ["n", "key1", "key2"]
     classes = full.groupBy(*keys).agg(F.min("doc_id").alias("node"), F.min("vector").alias("vector"))
     nodes = kept(classes.select("node", "n", "vector", "key1", "key2"))
-    owners = kept(full.select("doc_id", *keys).join(nodes.select("node", *keys), keys).select("doc_id", "node").distinct())
+    owners = kept(full.select("doc_id", *keys).join(nodes.select("node", *keys), keys).select("doc_id", "node", "n").distinct())
     copies = owners.where("doc_id <> node").select(F.col("node").alias("a"), F.col("doc_id").alias("b"))
     lists = _lists(docs.where("doc_id IS NOT NULL").select("doc_id", "text"))
 
@@ -370,7 +374,7 @@ def _joined(docs: DataFrame) -> DataFrame:
     stars = kept(verified(tried, texts))
     labels = components(stars.union(copies))
     members = owners.join(labels, F.col("doc_id") == labels.node, "left").select(
-        "doc_id", owners.node, F.coalesce("component", "doc_id").alias("component"))
+        "doc_id", owners.node, F.coalesce("component", "doc_id").alias("component"), "n")
     known = tried.select("a", "b").union(tried.select("b", "a"))
     rest = kept(tree_pairs(lists, nodes, members).join(known, ["a", "b"], "left_anti"))
     if not rest.isEmpty():
