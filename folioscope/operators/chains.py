@@ -9,7 +9,8 @@ from ..functions.like import substring_join
 from ..functions.segments import canonical_name
 from ..functions.text import is_foreign, slug, strip
 from .layout import spread
-from .search import keyword_phrases, phrase_hits
+from .inverted import Index, phrase_documents
+from .search import keyword_phrases
 from .themes import percentage
 
 TICKERS_TYPE = "array<struct<name:string,code:string,role:string>>"
@@ -85,7 +86,7 @@ def segment_keywords(nodes: DataFrame) -> DataFrame:
 
 
 def segment_documents(
-    nodes: DataFrame, index: DataFrame, documents: DataFrame, doc_themes: DataFrame
+    nodes: DataFrame, index: Index, documents: DataFrame, doc_themes: DataFrame
 ) -> DataFrame:
     """Distinct (node_id, theme, doc_id): full text, title and theme evidence of all segments.
 
@@ -95,7 +96,7 @@ def segment_documents(
     keywords = segment_keywords(nodes)
     distinct_words = keywords.select("keyword").distinct()
     phrases = keyword_phrases(distinct_words)
-    by_text = phrase_hits(index, phrases).join(phrases.select("keyword", "phrase"), "phrase").select("keyword", "doc_id")
+    by_text = phrase_documents(index, phrases).join(phrases.select("keyword", "phrase"), "phrase").select("keyword", "doc_id")
     titles = spread(documents.select("doc_id", "title"))
     by_title = substring_join(titles, "title", distinct_words, "keyword").select("keyword", "doc_id")
     names = substring_join(

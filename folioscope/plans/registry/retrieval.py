@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from ...functions import fixed
 from ...functions.records import sub_query_lines
 from ...functions.text import INDEX_TOKEN, all_matches, folded
-from ...operators import search, vectors
+from ...operators import inverted, retrieval, search, vectors
 from ...operators.filters import Filters
 from ...sources import tables as t
 from . import REGISTRY
@@ -24,7 +24,7 @@ def corpus_stats(spark, sf):
 
 
 def _lexical(spark, sf, limit=fixed.ROUTE_TOPK):
-    return search.lexical_search(t.text_index(spark, sf), t.text_queries(spark, sf), limit)
+    return inverted.ranked(t.text_postings(spark, sf), t.text_queries(spark, sf), limit)
 
 
 @REGISTRY.add(
@@ -35,6 +35,10 @@ def bm25_top(spark, sf):
     return _lexical(spark, sf)
 
 
+def _eligible(spark, sf):
+    return Filters(date_from="2024-03-01", institution="SRC1", lang="en").apply(t.text_documents(spark, sf)).select("doc_id")
+
+
 @REGISTRY.add(
     "bm25_filtered",
     f"""WITH {DOCS}, {CHUNKS}, {POSTINGS}, {LEXICAL.replace('FROM scored)', '''FROM scored WHERE split_part(chunk_id, '#', 1) IN (
@@ -42,10 +46,7 @@ def bm25_top(spark, sf):
 SELECT query_id, chunk_id, score, CAST(rank AS INTEGER) AS rank FROM lexical""",
 )
 def bm25_filtered(spark, sf):
-    index = t.text_index(spark, sf)
-    wanted = Filters(date_from="2024-03-01", institution="SRC1", lang="en").apply(t.text_documents(spark, sf))
-    eligible = index.join(wanted.select("doc_id"), "doc_id", "left_semi")
-    return search.lexical_search(index, t.text_queries(spark, sf), eligible=eligible)
+    return inverted.ranked(t.text_postings(spark, sf), t.text_queries(spark, sf), eligible=_eligible(spark, sf))
 
 
 @REGISTRY.add(
@@ -73,7 +74,7 @@ def phrase_hits(spark, sf):
     words = t.text_queries(spark, sf).select(all_matches(F.col("text"), INDEX_TOKEN).alias("w"))
     keywords = words.where((F.size("w") > 1) & (folded(F.get("w", F.lit(0))) != folded(F.get("w", F.lit(1)))))
     keywords = keywords.select(F.concat_ws(" ", F.col("w")[0], F.col("w")[1]).alias("keyword")).distinct()
-    return search.phrase_hits(t.text_index(spark, sf), search.keyword_phrases(keywords))
+    return inverted.phrase_documents(t.text_postings(spark, sf), search.keyword_phrases(keywords))
 
 
 FIRST_VECTOR = "(SELECT CAST(arg_min(embedding, vec_id) AS DOUBLE[]) FROM embeddings)"
@@ -119,6 +120,36 @@ def hybrid_rrf(spark, sf):
     return search.fuse_ranks(_lexical(spark, sf), _dense(spark, sf))
 
 
+WITHIN = """(SELECT doc_id FROM docs WHERE report_date >= DATE '2024-03-01' AND lower(institution) LIKE '%src1%' AND lang = 'en')"""
+LEXICAL_WITHIN = LEXICAL.replace("FROM scored)", f"FROM scored WHERE split_part(chunk_id, '#', 1) IN {WITHIN})")
+DENSE_WITHIN = DENSE.replace(
+    "WHERE q.vec_id IN (SELECT item_id FROM benchmark)",
+    f"WHERE q.vec_id IN (SELECT item_id FROM benchmark) AND CAST(v.vec_id AS VARCHAR) IN {WITHIN}")
+
+
+def _retrieved(spark, sf, mode):
+    vectors_of = t.chunk_vectors(spark, sf).withColumn("doc_id", F.substring_index("chunk_id", "#", 1))
+    return retrieval.retrieve(
+        t.text_postings(spark, sf), vectors_of, t.text_documents(spark, sf), t.text_queries(spark, sf), t.query_vectors(spark, sf),
+        Filters(date_from="2024-03-01", institution="SRC1", lang="en"), mode)
+
+
+@REGISTRY.add(
+    "dense_filtered", f"WITH {DOCS}, {DENSE_WITHIN} SELECT query_id, chunk_id, distance, CAST(rank AS INTEGER) AS rank FROM dense")
+def dense_filtered(spark, sf):
+    return _retrieved(spark, sf, "vector")
+
+
+@REGISTRY.add(
+    "hybrid_filtered",
+    f"""WITH {DOCS}, {CHUNKS}, {POSTINGS}, {LEXICAL_WITHIN.format(limit=40)}, {DENSE_WITHIN}, {FUSED.format(limit=30)}
+SELECT query_id, chunk_id, CAST(rank AS INTEGER) AS rank, score, CAST(bm25_rank AS INTEGER) AS bm25_rank,
+       CAST(dense_rank AS INTEGER) AS dense_rank FROM fused""",
+)
+def hybrid_filtered(spark, sf):
+    return _retrieved(spark, sf, "hybrid")
+
+
 def _fused(spark, sf, limit):
     return search.fuse_ranks(_lexical(spark, sf), _dense(spark, sf), limit)
 

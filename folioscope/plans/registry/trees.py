@@ -112,7 +112,7 @@ evidence AS (
 def _evidence(spark, sf):
     documents = t.text_documents(spark, sf)
     nodes = t.query_trees(spark, sf)
-    evidence = chains.segment_documents(nodes, t.text_index(spark, sf), documents, t.text_themes(spark, sf))
+    evidence = chains.segment_documents(nodes, t.text_postings(spark, sf), documents, t.text_themes(spark, sf))
     return nodes, documents, evidence
 
 

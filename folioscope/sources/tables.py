@@ -10,9 +10,11 @@ from ..functions import fixed
 from ..functions.text import index_tokens
 from ..operators.chunking import chunk_documents
 from ..operators.cleaning import normalize_documents
+from ..operators.inverted import Index
 from ..operators.layout import spread
 from ..operators.search import with_tokens
 from ..session import shared_dir
+from .segments import read_index, write_segment
 from .sinks import file_fingerprint, read_snapshot, write_snapshot
 
 
@@ -46,6 +48,16 @@ def text_index(spark: SparkSession, folder: str) -> DataFrame:
     return derived(spark, folder, "text-index", ["documents"], lambda: with_tokens(text_chunks(spark, folder)))
 
 
+def text_postings(spark: SparkSession, folder: str) -> Index:
+    """The stored positional index of the text documents, built once per state of the documents file."""
+    root = f"{shared_dir(spark)}/text-segments-{BUILD}-{file_fingerprint(spark, f'{folder}/documents.parquet')}"
+    stored = read_index(spark, root)
+    if stored is None:
+        write_segment(text_index(spark, folder), root)
+        stored = read_index(spark, root)
+    return stored
+
+
 # Raised whenever cleaning, chunking, tokens or trees change, so that no kept table outlives its code.
 BUILD = 2
 
