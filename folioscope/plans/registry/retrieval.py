@@ -24,7 +24,7 @@ def corpus_stats(spark, sf):
 
 
 def _lexical(spark, sf, limit=fixed.ROUTE_TOPK):
-    return inverted.ranked(t.text_postings(spark, sf), t.text_queries(spark, sf), limit)
+    return search.lexical_search(t.text_index(spark, sf), t.text_queries(spark, sf), limit)
 
 
 @REGISTRY.add(
@@ -46,7 +46,9 @@ def _eligible(spark, sf):
 SELECT query_id, chunk_id, score, CAST(rank AS INTEGER) AS rank FROM lexical""",
 )
 def bm25_filtered(spark, sf):
-    return inverted.ranked(t.text_postings(spark, sf), t.text_queries(spark, sf), eligible=_eligible(spark, sf))
+    index = t.text_index(spark, sf)
+    eligible = index.join(_eligible(spark, sf), "doc_id", "left_semi")
+    return search.lexical_search(index, t.text_queries(spark, sf), eligible=eligible)
 
 
 @REGISTRY.add(
@@ -54,10 +56,8 @@ def bm25_filtered(spark, sf):
     f"WITH {CHUNKS}, {POSTINGS}, {LEXICAL.format(limit=40)} SELECT query_id, chunk_id, score, CAST(rank AS INTEGER) AS rank FROM lexical",
 )
 def bm25_postings(spark, sf):
-    """All queries answered from postings alone."""
-    index = t.text_index(spark, sf)
-    scored = search.bm25_from_postings(search.build_postings(index), index, t.text_queries(spark, sf))
-    return search.top_ranked(scored, [F.desc("score")], fixed.ROUTE_TOPK)
+    """All queries answered from the stored postings."""
+    return inverted.ranked(t.text_postings(spark, sf), t.text_queries(spark, sf))
 
 
 @REGISTRY.add(
