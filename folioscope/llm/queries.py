@@ -39,14 +39,12 @@ def op7(spark: SparkSession, folder: str) -> DataFrame:
 HOST_RULES = [
     ("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block")]
 GLOBS = [
-    url_filters.Glob("*.adult-*", "block"), url_filters.Glob("*.adult-*/**", "block"),
-    url_filters.Glob("*.spam-*", "block"), url_filters.Glob("*.spam-*/**", "block"),
+    url_filters.Glob("*.adult-**", "block"), url_filters.Glob("*.spam-**", "block"),
     url_filters.Glob("**/login?**", "block"), url_filters.Glob("**utm_source=feed**", "block"),
     url_filters.Glob("*.example.org/**.html", "allow"), url_filters.Glob("**.exe", "block")]
 
-_LIKE = {"*.adult-*": r"^[^/]*\.adult-[^/]*$", "*.adult-*/**": r"^[^/]*\.adult-[^/]*/", "*.spam-*": r"^[^/]*\.spam-[^/]*$",
-         "*.spam-*/**": r"^[^/]*\.spam-[^/]*/", "**/login?**": r"/login.", "**utm_source=feed**": "utm_source=feed",
-         "*.example.org/**.html": r"^[^/]*\.example\.org/.*\.html$", "**.exe": r"\.exe$"}
+_LIKE = {"*.adult-**": r"^[^/?]*\.adult-", "*.spam-**": r"^[^/?]*\.spam-", "**/login?**": r"/login.",
+         "**utm_source=feed**": "utm_source=feed", "*.example.org/**.html": r"^[^/?]*\.example\.org/.*\.html$", "**.exe": r"\.exe$"}
 
 
 def _glob_choice_sql(column: str) -> str:

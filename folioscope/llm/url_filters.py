@@ -6,7 +6,8 @@ whose wildcard loops on it. All rules are simulated at once on each canonical ur
 
 Globs: `*` is any run without `/`, `**` any run, `?` one character; all else stands for itself. A canonical url is
 `.host/path?query`: lower-cased host (A to Z), no scheme, no fragment, characters beyond ASCII as their UTF-8 bytes.
-The `*` before a host rule stays in the host: it stops at `?` as well, which follows the host where the path is empty.
+A `*` with no `/`, `**` or `?` before it stands in the host: it stops at `?` as well, which follows the host where the path
+is empty, so that no host pattern is met inside a query string.
 
 The longest matching rule decides, block before allow at equal length. Defined results: null or a url without `://` has
 an empty host and path and is matched as an empty text, so only rules of wildcards fit; the verdict is then `default`.
@@ -30,12 +31,11 @@ DEFAULT = "allow"
 class Glob:
     pattern: str
     verdict: str
-    of_host: bool = False
 
 
 def host_rule(rule: str, verdict: str) -> Glob:
     """`rule` is host/path: the host and its subdomains, with a path that starts with the rule's."""
-    return Glob(f"*.{rule}**", verdict, True)
+    return Glob(f"*.{rule}**", verdict)
 
 
 def host_of(url: Column) -> Column:
@@ -60,18 +60,19 @@ def canonical(url: Column) -> Column:
 class Automaton:
     """Masks of all rules: `after[c]` the states that c leads into, `loop[c]` those that stay on c."""
 
-    def __init__(self, globs: list[str], of_host: list[bool] | None = None) -> None:
+    def __init__(self, globs: list[str]) -> None:
         states, starts, ends = [], [], []
-        for glob, host in zip(globs, of_host or [False] * len(globs), strict=True):
+        for glob in globs:
             starts.append(len(states))
             states.append([None, None])
-            text, at = glob.encode(), 0
+            text, at, host = glob.encode(), 0, True
             while at < len(text):
                 if text[at:at + 2] == b"**":
-                    states[-1][1], at = "any", at + 2
+                    states[-1][1], at, host = "any", at + 2, False
                 elif text[at:at + 1] == b"*":
                     states[-1][1], at = states[-1][1] or ("host" if host else "part"), at + 1
                 else:
+                    host = host and text[at] not in b"/?"
                     states.append([text[at], None])
                     at += 1
             ends.append(len(states) - 1)
@@ -115,11 +116,11 @@ class Automaton:
 def best_rules(globs: list[Glob], lengths: list[int] | None = None):
     """Pandas UDF over canonical urls: index of the deciding rule, null where none matches."""
     ranks = sorted(range(len(globs)), key=lambda i: (-(lengths or [len(g.pattern) for g in globs])[i], globs[i].verdict != "block", i))
-    patterns, of_host = [globs[i].pattern for i in ranks], [globs[i].of_host for i in ranks]
+    patterns = [globs[i].pattern for i in ranks]
 
     @F.pandas_udf("int")
     def decide(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        automaton = Automaton(patterns, of_host)
+        automaton = Automaton(patterns)
         for urls in batches:
             found = automaton.matches([url.encode() for url in urls])
             first = np.where(found.any(axis=1), np.array(ranks)[found.argmax(axis=1)], -1) if len(urls) else np.zeros(0, dtype=int)
