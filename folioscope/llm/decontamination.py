@@ -4,9 +4,13 @@ A text becomes a template: words lower-cased, without punctuation; numbers, unit
 typed placeholders below, whose values are remembered as slots. Windows of `WINDOW` template words are hashed and joined
 with those of the benchmark (an item of fewer words is one window of its own length). Hits of one document and item at
 one distance form a run. A run counts when it has `MIN_WINDOWS` windows (13 words), or all windows of a shorter item, and
-its slots are consistent: each value of the item stands for one value of the document throughout the run.
+its slots are consistent: each value of the item stands for one value of the document throughout the run. Two values of
+the item may become the same one, as changed numbers do by chance. A run keeps one distance, so a word put in or left
+out splits it, and a half of fewer windows than needed does not count.
 
-A name is a capitalised word inside a sentence. A window with fewer than `MIN_LITERALS` words that are no placeholders
+A name is a capitalised word, wherever it stands, that is not one of the words sentences open with (`OPENERS`); what stands
+before it does not matter, so a copy reads like its item after any lead-in. The benchmark is read a second time in lower
+case, without names, so that copies in lower case or in capitals are met too. A window with fewer than `MIN_LITERALS` words that are no placeholders
 (or any placeholder, where it is shorter) says too little as a template: it is hashed by its words as written and fits
 verbatim only, also where the copy's values changed. The benchmark's windows are counted first: up to `BROADCAST_WINDOWS`
 they are broadcast and no text moves; beyond, slim window rows are joined by a shuffle, and only documents with a hit are
@@ -42,18 +46,31 @@ UNITS = (
     "percent degree degrees dollar dollars euro euros cent cents usd eur gbp").split()
 
 
+OPENERS = (
+    "about above according add after all also although among an and another any are as ask assume at based be because before "
+    "below besides between both but by calculate can choose circle compare complete compute consider could decide define "
+    "describe determine did discuss do does draw during each either estimate evaluate every everyone examine explain express "
+    "few fill find first five for four from give given has have he hence her here his how however if imagine in instead is it "
+    "its just last let list look make many match may more most much my name neither next no none not note now of on once one "
+    "only or other our out over per perhaps place please prove put read rearrange recall round second select several she "
+    "should show simplify since so solve some soon start state still such suppose take ten than that the their them then "
+    "there therefore these they third this those though three through thus to today together two under until up use using "
+    "was we were what when where whether which while who whom whose why will with within without work would write yet you your"
+).split()
+
 _NAME_MARK = "\u0001"
-_INSIDE_SENTENCE = "(?=\\p{Lu}\\p{Ll})(?<=[^\\s.!?:;|)\"'”\u0001]\\s{1,4})"
+# Openers in capitals at their first letter; a letter, digit or apostrophe before makes the place part of a word.
+_NAME = f"(?<![\\p{{L}}\\p{{N}}'’])(?=\\p{{Lu}}\\p{{Ll}})(?!(?:{'|'.join(word.capitalize() for word in OPENERS)})(?!\\p{{L}}))"
 
 
 def template_tokens(text: Column) -> Column:
-    """Words of a text, lower-cased, without punctuation; names inside sentences are marked, units stand apart from numbers.
+    """Words of a text, lower-cased, without punctuation; names are marked, units stand apart from numbers.
 
     Done on the whole text, so that no regex runs for each word.
     """
     plain = F.replace(text, F.lit(_NAME_MARK), F.lit(" "))
     apart = F.when(plain.rlike("[0-9]"), F.regexp_replace(plain, "(?<=[0-9])(?=\\p{L})", " ")).otherwise(plain)
-    marked = F.regexp_replace(apart, _INSIDE_SENTENCE, _NAME_MARK)
+    marked = F.regexp_replace(apart, _NAME, _NAME_MARK)
     return words_of(F.lower(F.regexp_replace(marked, f"[^\\p{{L}}\\p{{N}}\\s{_NAME_MARK}]+", "")))
 
 
@@ -105,7 +122,8 @@ def _window_hash(width: int) -> Column:
 
 def benchmark_windows(benchmark: DataFrame) -> DataFrame:
     """window, width, exact, item_id, item_at, item_slots and item_windows of every window of the items with a literal word."""
-    items = _templates(slim(benchmark, "item_id", "text"), "item_id").where("item_id IS NOT NULL").where(
+    written = slim(benchmark, "item_id", "text").where("item_id IS NOT NULL")
+    items = _templates(written.union(written.withColumn("text", F.lower("text"))), "item_id").where(
         F.exists("words", lambda word: _is_literal(word) == 1))
     spread = items.select("item_id", "words", "tokens", F.posexplode("words").alias("at", "word")).drop("word")
     width = F.least(F.size("words"), F.lit(WINDOW))
