@@ -40,7 +40,6 @@ STEM = 4
 LEAST_TOXIC = 6
 LEAST_SHARE = 0.65
 REFUTED = 0.3
-MAX_CLUES = 400
 PRIOR = 0.05
 CUT = 0.3
 HELD_OUT = 2
@@ -150,10 +149,10 @@ def find_signs(docs: DataFrame, labels: DataFrame) -> Signs:
     low = (share + z * z / (2 * n) - z * F.sqrt(share * (1 - share) / n + z * z / (4 * n * n))) / (1 + z * z / n)
     fixed = {zlib.crc32(word.encode()) % HALF: word for word in LEXICON_NOUNS + LEXICON_ADJECTIVES}
     judged = counts.withColumn("low", low).withColumn("fixed", F.col("bucket").isin(list(fixed)))
-    # Bounded by the lexicon and by `MAX_CLUES`.
+    # Bounded by the lexicon, and by the number of buckets (2 * `HALF`).
     refuted = {fixed[row["bucket"]] for row in judged.where(F.col("fixed") & (n >= LEAST_TOXIC) & (share < REFUTED)).select("bucket").collect()}
     strong = judged.where((F.col("toxic") >= LEAST_TOXIC) & (F.col("low") >= LEAST_SHARE)).orderBy(
-        F.col("low").desc(), F.col("toxic").desc(), "bucket").limit(MAX_CLUES).select("bucket").collect()
+        F.col("low").desc(), F.col("toxic").desc(), "bucket").select("bucket").collect()
     clues = {row["bucket"]: place for place, row in enumerate(strong)}
     words = [word for word in LEXICON_NOUNS + LEXICON_ADJECTIVES if word not in refuted]
     return Signs(clues, {word: len(clues) + place for place, word in enumerate(words)})
@@ -223,25 +222,48 @@ def label_model(counts: dict[tuple[int, int], int], prior: float, rounds: int =
 
 
 def fit_classifier(rows: list[tuple[list[int], float, float]], width: int, prior: float, ridge: float = 1.0, steps: int = 15) -> np.ndarray:
-    """Logistic regression by Newton steps on soft labels: weights of `width` features, of the number of signs, and the bias."""
-    x = np.zeros((len(rows), width + 2), dtype=np.float32)
-    for place, (features, number, _) in enumerate(rows):
-        x[place, features] = 1
-        x[place, width] = number
-    x[:, -1] = 1
-    y = np.array([row[2] for row in rows])
+    """Logistic regression by Newton steps on soft labels: weights of `width` features, of the number of signs, and the bias.
+
+    Features are held as the places that are present, and each step is solved by conjugate gradients, so that memory grows
+    with the signs found in the rows and not with `width`.
+    """
     w = np.zeros(width + 2)
     w[-1] = np.log(prior / (1 - prior))
     if not rows:
         w[width] = 3.0
         return w
+    n = len(rows)
+    sizes = [len(features) for features, _, _ in rows]
+    row_at = np.repeat(np.arange(n), sizes)
+    place_at = np.fromiter((place for features, _, _ in rows for place in features), dtype=np.int64, count=sum(sizes))
+    number = np.array([row[1] for row in rows])
+    y = np.array([row[2] for row in rows])
+
+    def times(v: np.ndarray) -> np.ndarray:
+        return np.bincount(row_at, weights=v[place_at], minlength=n) + number * v[width] + v[-1]
+
+    def summed(u: np.ndarray) -> np.ndarray:
+        return np.append(np.bincount(place_at, weights=u[row_at], minlength=width), [number @ u, u.sum()])
+
     keep = np.full(width + 2, ridge)
     keep[-1] = 1e-3
     for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        slope = x.T @ (y - p) - keep * w
-        bend = (x * (p * (1 - p))[:, None]).T @ x + np.diag(keep)
-        w = w + np.linalg.solve(bend, slope)
+        p = 1 / (1 + np.exp(-np.clip(times(w), -30, 30)))
+        slope = summed(y - p) - keep * w
+        spread = p * (1 - p)
+        scale = np.append(np.bincount(place_at, weights=spread[row_at], minlength=width), [number * number @ spread, spread.sum()]) + keep
+        step, left = np.zeros(width + 2), slope
+        along = eased = left / scale
+        for _ in range(200):
+            if np.abs(left).max() < 1e-9:
+                break
+            bent = summed(spread * times(along)) + keep * along
+            share = (left @ eased) / (along @ bent)
+            step, rest = step + share * along, left - share * bent
+            next_eased = rest / scale
+            along = next_eased + (rest @ next_eased) / (left @ eased) * along
+            left, eased = rest, next_eased
+        w = w + step
     return w
 
 

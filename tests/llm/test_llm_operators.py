@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from folioscope.llm import (
-    components, decontamination, html_extraction, line_dedup, mixing, ngram_join, quality_rules, secret_scan, sharding,
+    components, decontamination, html_extraction, line_dedup, mixing, ngram_join, quality_rules, queries, secret_scan, sharding,
     shingles, toxicity, url_filters)
 
 SF = "/root/testdata/sf0.001"
@@ -292,7 +292,7 @@ def test_leaks_and_changed_parameters(spark, monkeypatch):
     mixed = ITEM.replace("Alice have", "Carol have")
     texts = [ITEM, prose(1, 50) + ". " + renamed + " " + prose(2, 20), mixed, ITEM.upper(), "\n".join(ITEM.split()), prose(3, 80), "", None]
     items = [(1, ITEM), (1, ITEM), (2, "Short item here."), (3, None), (4, ""), (None, ITEM), (5, "1 2 3 4 5 6 7 8 9")]
-    want = {(0, 1): True, (1, 1): False, (4, 1): True}
+    want = {(0, 1): True, (1, 1): False, (3, 1): True, (4, 1): True}
     got = leaks(spark, texts + ["so a short item here it is"], items)
     assert {key: got.get(key) for key in want} == want
     assert (2, 1) not in got and (5, 1) not in got and (8, 2) in got and {item for _, item in got} == {1, 2}
@@ -300,6 +300,47 @@ def test_leaks_and_changed_parameters(spark, monkeypatch):
     assert leaks(spark, texts + ["so a short item here it is"], items) == got
 
 
+def test_leaks_by_names_at_the_start_of_sentences(spark, monkeypatch):
+    first = "Anna has 12 apples and gives 7 of them to her little brother."
+    story = ("Tom bought 9 pencils at the corner shop. Mia sold him two more rulers for 3 dollars. Tom paid with a note and kept the coins. "
+             "Mia wants to know how much money is left.")
+    renamed = story.replace("Tom", "Oscar").replace("Mia", "Lena").replace("9", "14").replace("3 ", "8 ")
+    texts = [
+        first, first.replace("Anna", "Mary").replace("12", "15").replace("7", "4"), f"as we read: {first}", f"{prose(1, 20)} {first.lower()}",
+        renamed, renamed.replace("Oscar paid", "Peter paid"), story.upper(), first.replace("apples and gives", "pears but keeps"), prose(2, 80)]
+    want = {(0, 1): True, (1, 1): False, (2, 1): True, (3, 1): True, (4, 2): False, (6, 2): True}
+    assert leaks(spark, texts, [(1, first), (2, story)]) == want
+    monkeypatch.setattr(decontamination, "BROADCAST_WINDOWS", 0)
+    assert leaks(spark, texts, [(1, first), (2, story)]) == want
+
+
+@pytest.mark.parametrize("place", range(4))
+def test_recall_of_changed_copies_by_place_of_the_name(spark, place):
+    """The name opens the item, follows an opener, stands inside, or opens a later sentence."""
+    draw, names = random.Random(place), ["Anna", "Boris", "Clara", "Dimitri", "Emil", "Fatima"]
+
+    def item(words, name, number):
+        parts = [*words[:4], str(number), *words[4:12]], [*words[12:16], str(number + 3), *words[16:20]]
+        if place == 0:
+            parts[0].insert(0, name)
+        elif place == 1:
+            parts[0][:0] = ["How", "many", "has", name]
+        elif place == 2:
+            parts[0].insert(6, name)
+        else:
+            parts[1].insert(0, name)
+        parts[0][0], parts[1][0] = (part[0][0].upper() + part[0][1:] for part in parts)
+        return ". ".join(" ".join(part) for part in parts) + "?"
+
+    made = []
+    for i in range(60):
+        words = prose(1000 * place + i, 20).split()
+        old, new = draw.sample(names, 2)
+        made.append((item(words, old, 10 + i), f"{prose(i, 30)}. {item(words, new, 400 + i)} {prose(-1 - i, 30)}"))
+    got = leaks(spark, [text for _, text in made], [(i, text) for i, (text, _) in enumerate(made)])
+    assert all(doc == own for doc, own in got) and len(got) >= 54
+
+
 def test_leaks_of_items_rich_in_names_and_numbers(spark, monkeypatch):
     asked = "What do Anna Karenina, Emma Bovary, Jane Eyre and Becky Sharp have in common?"
     summed, titled = "Solve 12 + 7 * 9 - 4 / 2", "The Old Man And The Sea By Ernest Hemingway Was Written In 1952"
@@ -417,16 +458,17 @@ def test_secrets_awkward(spark, awkward, nothing):
 
 
 def glob_regex(glob):
-    out = ""
+    out, host = "", True
     for part in re.findall(r"\*\*|\*|\?|[^*?]+", glob):
-        out += {"**": ".*", "*": "[^/]*", "?": "."}.get(part, re.escape(part))
+        host = host and part not in ("**", "?") and "/" not in part
+        out += {"**": ".*", "*": "[^/?]*" if host else "[^/]*", "?": "."}.get(part, re.escape(part))
     return re.compile(out, re.S)
 
 
 def test_automaton_matches_regexes():
-    globs = ["*.com/**", "**", "a?c", "*", "", "**x*y**", "abc", "*.example.com/en/**", "**.exe"] + [f"*{c}{d}**" for c in "abc" for d in "xyz/"] * 4
+    globs = ["*.com/**", "**", "a?c", "*", "", "**x*y**", "abc", "*.example.com/en/**", "**.exe", "a*b/*c", "?*c"] + [f"*{c}{d}**" for c in "abc" for d in "xyz/"] * 4
     draw = random.Random(3)
-    urls = ["", "a", "abc", ".example.com/en/", ".x.example.com/en/q?x=y"] + ["".join(draw.choice("abcxyz/.") for _ in range(draw.randrange(30))) for _ in range(300)]
+    urls = ["", "a", "abc", ".example.com/en/", ".x.example.com/en/q?x=y"] + ["".join(draw.choice("abcxyz/.?") for _ in range(draw.randrange(30))) for _ in range(300)]
     found = url_filters.Automaton(globs).matches([url.encode() for url in urls])
     for i, url in enumerate(urls):
         for j, glob in enumerate(globs):
@@ -450,8 +492,30 @@ def test_host_rules_stay_in_the_host(spark):
     pages = spark.createDataFrame(list(enumerate(urls)), "page_id int, url string")
     rows = url_filters.filtered(pages, [("com/", "allow"), ("net/es/", "block")], [url_filters.Glob("*.com/**", "block")]).orderBy("page_id").collect()
     assert [row.rule for row in rows] == [None, None, None, None, None, "net/es/", None, "com/"]
-    assert [row.pattern for row in rows] == [None, "*.com/**", "*.com/**", None, None, None, None, None]
-    assert [row.verdict for row in rows] == ["allow", "block", "block", "allow", "allow", "block", "allow", "allow"]
+    assert [row.pattern for row in rows] == [None] * 8
+    assert [row.verdict for row in rows] == ["allow", "allow", "allow", "allow", "allow", "block", "allow", "allow"]
+
+
+def test_host_globs_stay_in_the_host(spark):
+    urls = ["http://foo.org?u=a.adult-x", "http://foo.org?next=shop.spam-y/z", "http://foo.org/?u=a.adult-x", "http://foo.org#a.adult-x",
+            "http://a.adult-x.org", "http://a.adult-x.org?q", "http://a.adult-x.org/p?q", "http://A.Spam-x.org/p", "http://a.adult-x.org", None]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id int, url string")
+    rows = url_filters.filtered(pages, queries.HOST_RULES, queries.GLOBS).orderBy("page_id").collect()
+    assert [row.verdict for row in rows] == ["allow"] * 4 + ["block"] * 5 + ["allow"]
+    assert [row.pattern for row in rows] == [None] * 4 + ["*.adult-**"] * 3 + ["*.spam-**", "*.adult-**", None]
+
+
+def test_classifier_with_more_signs_than_rows():
+    draw, width = np.random.default_rng(5), 900
+    rows = [(sorted(set(draw.integers(0, width, draw.integers(0, 12)).tolist())), float(draw.random()), float(draw.random())) for _ in range(300)]
+    found = toxicity.fit_classifier(rows, width, 0.1)
+    x = np.zeros((len(rows), width + 2))
+    for at, (places, number, _) in enumerate(rows):
+        x[at, places], x[at, width], x[at, -1] = 1, number, 1
+    keep = np.full(width + 2, 1.0)
+    keep[-1] = 1e-3
+    slope = x.T @ (np.array([row[2] for row in rows]) - 1 / (1 + np.exp(-x @ found))) - keep * found
+    assert np.abs(slope).max() < 1e-6
 
 
 # Html extraction
