@@ -357,23 +357,47 @@ def cache_lookup(spark, sf):
     return material.cache_lookup(cached, wanted).select("scope_key", "input_hash", "payload")
 
 
+def _stream(spark, sf, name):
+    return spark.readStream.schema(t.table(spark, sf, name).schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf)
+
+
+def _stream_folder(spark):
+    return f"{shared_dir(spark)}/stream-{spark.range(1).select(F.uuid()).first()[0]}"
+
+
+def _heat(spark, sf, document, by):
+    tagged = _stream(spark, sf, "events").select(
+        F.col(document).alias("doc_id"), F.col("event_type").alias("theme"), F.col("ts").cast("timestamp").alias("ts"))
+    base = _stream_folder(spark)
+    streams.write_updates(streams.theme_heat(tagged, "1 day", by), f"{base}/out", f"{base}/checkpoint").awaitTermination()
+    return streams.latest_heat(spark, f"{base}/out", by)
+
+
 @REGISTRY.add(
     "stream_weekly_heat",
     """SELECT date_trunc('week', ts)::DATE AS week_start, event_type AS theme, count(*) AS docs FROM events GROUP BY ALL""",
 )
 def stream_weekly_heat(spark, sf):
-    """events read as a stream of tagged documents: weeks the watermark has closed, and the open ones from the table."""
-    source = t.table(spark, sf, "events")
-    stream = spark.readStream.schema(source.schema).option("pathGlobFilter", "events.parquet").parquet(sf)
-    tagged = stream.select(
-        F.col("event_id").alias("doc_id"), F.col("event_type").alias("theme"), F.col("ts").cast("timestamp").alias("ts")
-    )
-    base = f"{shared_dir(spark)}/stream-{spark.range(1).select(F.uuid()).first()[0]}"
-    heat = streams.weekly_heat(tagged, "1 day").select(F.to_date("window.start").alias("week_start"), "theme", "docs")
-    streams.write_append(heat, f"{base}/out", f"{base}/checkpoint").awaitTermination()
-    closed = spark.read.schema(heat.schema).parquet(f"{base}/out")
-    rows = source.select(F.col("event_id").alias("doc_id"), F.col("event_type").alias("theme"), F.col("ts").cast("timestamp").alias("ts"))
-    return streams.with_open_weeks(closed, rows)
+    """events read as a stream of tagged documents."""
+    return _heat(spark, sf, "event_id", "week").withColumnRenamed("start", "week_start")
+
+
+@REGISTRY.add(
+    "stream_month_heat",
+    """SELECT date_trunc('month', ts)::DATE AS month, event_type AS theme, count(DISTINCT user_id) AS docs FROM events GROUP BY ALL""",
+)
+def stream_month_heat(spark, sf):
+    """events read as a stream, users as the documents: one that is seen often in a month counts once."""
+    return _heat(spark, sf, "user_id", "month").withColumnRenamed("start", "month")
+
+
+@REGISTRY.add("stream_only_new", "SELECT doc_id, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+def stream_only_new(spark, sf):
+    """documents read as a stream, the labelled ones stand for those already stored."""
+    fresh = streams.only_new(_stream(spark, sf, "documents").select("doc_id", "source"), t.table(spark, sf, "labels"))
+    base = _stream_folder(spark)
+    streams.write_append(fresh, f"{base}/out", f"{base}/checkpoint").awaitTermination()
+    return spark.read.schema(fresh.schema).parquet(f"{base}/out")
 
 
 @REGISTRY.add(

@@ -48,26 +48,47 @@ def split_future(reports: DataFrame, today: dt.date) -> tuple[DataFrame, DataFra
     return reports.where(F.col("ts") < limit), reports.where(F.col("ts").isNull() | (F.col("ts") >= limit))
 
 
-def weekly_heat(tagged: DataFrame, lateness: str = "7 days", by: str = "week") -> DataFrame:
-    """Distinct documents per theme and calendar window of a stream (doc_id, theme, ts).
+def only_new(documents: DataFrame, known: DataFrame) -> DataFrame:
+    """Rows of a stream whose doc_id is neither in the stored table `known` nor was in the stream before.
 
-    Weeks start on Monday; the epoch was a Thursday, hence the four-day shift.
+    State holds the ids, spread by their hash; of repeated rows of one id in one batch any one stands.
     """
-    marked = tagged.withWatermark("ts", lateness).dropDuplicatesWithinWatermark(["doc_id", "theme"])
-    if by == "month":
-        # Months differ in length; daily windows carry the watermark and are summed by month where they are read.
-        daily = marked.groupBy(F.window("ts", "1 day"), "theme").agg(F.count("*").alias("docs"))
-        return daily.withColumn("month", F.date_trunc("month", F.col("window.start")))
-    return marked.groupBy(F.window("ts", "7 days", startTime="4 days"), "theme").agg(F.count("*").alias("docs"))
-
-
-def with_open_weeks(closed: DataFrame, tagged: DataFrame) -> DataFrame:
-    """`closed` (week_start, theme, docs) with the weeks that the watermark has not closed, counted from the table itself."""
-    last = closed.agg(F.max("week_start").alias("week")).scalar()
-    week = F.to_date(F.date_trunc("week", F.col("ts")))
-    open_rows = tagged.withColumn("week_start", week).where(last.isNull() | (F.col("week_start") > last))
-    counted = open_rows.select("week_start", "theme", "doc_id").distinct().groupBy("week_start", "theme").agg(F.count("*").alias("docs"))
-    return closed.unionByName(counted.select(*closed.columns))
+    return documents.join(known.select("doc_id"), "doc_id", "left_anti").dropDuplicates(["doc_id"])
+
+
+def theme_heat(tagged: DataFrame, lateness: str = "7 days", by: str = "week") -> DataFrame:
+    """Distinct documents per theme and calendar window of a stream (doc_id, theme, ts), for update mode.
+
+    Weeks start on Monday; the epoch was a Thursday, hence the four-day shift. Repeats are known for the whole window,
+    however far apart they lie. Months differ in length: a document counts on the day where its month first met it,
+    remembered for 31 days beyond the lateness, and `latest_heat` sums the days. Rows later than `lateness` may be dropped.
+    """
+    if by == "week":
+        marked = tagged.withWatermark("ts", lateness).withColumn("window", F.window("ts", "7 days", startTime="4 days"))
+        return marked.dropDuplicates(["doc_id", "theme", "window"]).groupBy("window", "theme").agg(F.count("*").alias("docs"))
+    marked = tagged.withColumn("month", F.date_trunc("month", "ts")).withWatermark("ts", f"31 days {lateness}")
+    once = marked.dropDuplicatesWithinWatermark(["doc_id", "theme", "month"])
+    return once.groupBy(F.window("ts", "1 day"), "theme").agg(F.count("*").alias("docs"))
+
+
+def write_updates(heat: DataFrame, target: str, checkpoint: str) -> StreamingQuery:
+    """Writes the counts that a batch changed into a folder of its own, which a replay after a failure writes again."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{target}/batch={number}")
+
+    return (
+        heat.writeStream.outputMode("update").foreachBatch(write)
+        .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    )
+
+
+def latest_heat(spark: SparkSession, target: str, by: str = "week") -> DataFrame:
+    """start, theme and docs of all windows, open ones included; counts only grow, so the highest one is the latest."""
+    schema = "window struct<start timestamp, end timestamp>, theme string, docs long"
+    latest = spark.read.schema(schema).parquet(target).groupBy("window", "theme").agg(F.max("docs").alias("docs"))
+    start = F.to_date(F.date_trunc(by, F.col("window.start")))
+    return latest.groupBy(start.alias("start"), "theme").agg(F.sum("docs").alias("docs"))
 
 
 def write_append(frame: DataFrame, target: str, checkpoint: str) -> StreamingQuery:
