@@ -8,7 +8,9 @@ only documents listed under such a shingle enter its tree. The order is by docum
 all documents in a table of fixed size, so that text which many documents share comes last and makes no long lists.
 
 1. Profiles: set size, set key and count vector. Documents of one set are one node from here on.
-2. Lists: rare shingles with the documents under them; hot lists are salted.
+2. Lists: rare shingles with the documents under them; hot lists are salted. A row holds the largest partner that the
+   shingle's place in the order leaves room for (`reach`): at the first shingle two linked sets share, what comes after it
+   in either must still hold their overlap. Points of a list meet only within each other's reach, which loses no link.
 3. Stars: every document of a list against the list's hub, the document whose shingles are the most common. Survivors of the
    bound are verified on whole texts. A group of near copies so becomes one component without its pairs: what the copies
    were made from shares all lists with them, and is their hub in all of these.
@@ -26,6 +28,7 @@ Defined results: null or empty texts and texts without words have size 0 and no
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -74,13 +77,13 @@ def count_vector(shingles: np.ndarray) -> np.ndarray:
 
 
 def packed(vector: np.ndarray) -> bytes:
-    """The vector in the narrowest type that holds it, after a byte with that type's size."""
+    """The vector in the narrowest type that holds it, deflated, after a byte with that type's size."""
     kind = next(kind for kind in (np.uint8, np.uint16, np.uint32) if vector.max() <= np.iinfo(kind).max)
-    return bytes([np.dtype(kind).itemsize]) + vector.astype(kind).tobytes()
+    return bytes([np.dtype(kind).itemsize]) + zlib.compress(vector.astype(kind).tobytes(), 1)
 
 
 def unpacked(data: bytes) -> np.ndarray:
-    return np.frombuffer(data, f"u{data[0]}", offset=1).astype(np.int64)
+    return np.frombuffer(zlib.decompress(data[1:]), f"u{data[0]}").astype(np.int64)
 
 
 def folded(vector: np.ndarray, groups: int) -> np.ndarray:
@@ -124,39 +127,50 @@ def shingle_counts(docs: DataFrame) -> np.ndarray:
     return counts
 
 
+def reaches(size: int, places: np.ndarray) -> np.ndarray:
+    """The largest set that a set of this size can link to if the first shingle they share has this place in its order:
+    `size - place` shingles are left, and 7 times the overlap is at least 3 times both sizes."""
+    return (4 * size - 7 * places) // 3
+
+
 def _rare_shingles(counts):
-    """mapInArrow function: a row for each of a document's rarest shingles, with a salt where the list may be hot, and
-    how common the document's shingles are on the mean. The text that others were made from has none of their changes, so
-    it is the most common of its group."""
+    """mapInArrow function: a row for each of a document's rarest shingles with its reach, with a salt where the list may be
+    hot, and how common the document's shingles are on the mean. The text that others were made from has none of their
+    changes, so it is the most common of its group. A list may be hot where its cell exceeds what cells hold on the mean."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = counts.value
+        usual = int(known.mean())
         for batch in batches:
             ids, tokens, salts, owners, means = batch.column(0).to_numpy(zero_copy_only=False), [], [], [], []
+            sizes, ends = [], []
             dealt = mix(ids.view(np.uint64), 5)
             for at, shingles in enumerate(shingle_sets(batch.column(1))):
                 if not len(shingles):
                     continue
                 often = known[_cell(shingles)]
                 rare = np.argsort(often, kind="stable")[:len(shingles) - required(len(shingles)) + 1]
-                spread = (often[rare] // HOT_LIST + 1).astype(np.uint64)
+                spread = (np.maximum(often[rare] - usual, 0) // HOT_LIST + 1).astype(np.uint64)
                 tokens.append(shingles[rare].view(np.int64))
                 salts.append(np.where(spread > 1, (dealt[at] % spread).astype(np.int64), -1))
                 owners.append(np.full(len(rare), ids[at], dtype=np.int64))
                 means.append(np.full(len(rare), 16 * np.log2(often.mean() + 1), dtype=np.int16))
+                sizes.append(np.full(len(rare), len(shingles), dtype=np.int64))
+                ends.append(reaches(len(shingles), np.arange(len(rare))))
                 if sum(map(len, tokens)) > 100_000:
-                    yield _list_rows(tokens, owners, salts, means)
-                    tokens, salts, owners, means = [], [], [], []
+                    yield _list_rows(tokens, owners, salts, means, sizes, ends)
+                    tokens, salts, owners, means, sizes, ends = [], [], [], [], [], []
             if tokens:
-                yield _list_rows(tokens, owners, salts, means)
+                yield _list_rows(tokens, owners, salts, means, sizes, ends)
 
     return run
 
 
-def _list_rows(tokens: list, owners: list, salts: list, means: list) -> pa.RecordBatch:
+def _list_rows(tokens: list, owners: list, salts: list, means: list, sizes: list, ends: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
         [pa.array(np.concatenate(tokens)), pa.array(np.concatenate(owners)), pa.array(np.concatenate(salts).astype(np.int32)),
-         pa.array(np.concatenate(means))], names=["token", "doc_id", "salt", "common"])
+         pa.array(np.concatenate(means)), pa.array(np.concatenate(sizes)), pa.array(np.concatenate(ends))],
+        names=["token", "doc_id", "salt", "common", "n", "reach"])
 
 
 def _within_bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -222,22 +236,30 @@ def bounded(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def _lists(docs: DataFrame) -> DataFrame:
-    """token, doc_id and hub (the most common document of the list or its part) for every list of two or more; kept."""
+    """token, doc_id, n, reach and hub (the most common document of the list or its part) with its size, for every list of two
+    or more. `meets`: the document and the hub are within each other's reach."""
     counts = docs.sparkSession.sparkContext.broadcast(shingle_counts(docs))
-    rows = docs.mapInArrow(_rare_shingles(counts), "token long, doc_id long, salt int, common short")
+    rows = docs.mapInArrow(_rare_shingles(counts), "token long, doc_id long, salt int, common short, n long, reach long")
     part = Window.partitionBy("token", "salt").orderBy(F.desc("common"), "doc_id")
-    starred = rows.select(
-        "token", "doc_id", "salt", F.first(F.struct("common", "doc_id")).over(part.rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("first"),
-        F.lead("doc_id").over(part).alias("next"))
-    return kept(starred.where("salt >= 0 OR first.doc_id <> doc_id OR next IS NOT NULL").select(
-        "token", "doc_id", F.col("first.doc_id").alias("hub"), "salt", F.col("first.common").alias("common")))
+    first = F.first(F.struct("common", "doc_id", "n", "reach")).over(part.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    starred = rows.select("token", "doc_id", "salt", "n", "reach", first.alias("first"), F.lead("doc_id").over(part).alias("next"))
+    single = F.expr("first.doc_id = doc_id AND next IS NULL")
+    dealt = kept(starred.where((F.col("salt") >= 0) | ~single).select(
+        "token", "doc_id", "n", "reach", F.col("first.doc_id").alias("hub"), F.col("first.n").alias("hub_n"), "salt",
+        F.col("first.common").alias("common"), F.expr("n <= first.reach AND first.n <= reach").alias("meets"), single.alias("single")))
+    # A document alone in its part stays if the shingle's other parts hold others; full parts need not be looked up.
+    parts = dealt.where("salt >= 0").groupBy("token").agg(F.count("*").alias("rows")).where("rows > 1").select("token")
+    return dealt.where("salt < 0 OR NOT single").union(dealt.where("salt >= 0 AND single").join(parts, "token", "left_semi")).drop("single")
 
 
 def _star_pairs(lists: DataFrame) -> DataFrame:
-    hubs = lists.where("salt >= 0").select("token", "hub", "common").distinct()
-    over_parts = hubs.groupBy("token").agg(F.max_by("hub", F.struct("common", F.bitwise_not("hub"))).alias("first"))
-    joined = hubs.join(over_parts, "token").select(F.col("first").alias("a"), F.col("hub").alias("b"))
-    return lists.select(F.col("hub").alias("a"), F.col("doc_id").alias("b")).union(joined).where("a <> b").distinct()
+    """a, n_a, b and n_b: documents with the hubs of their lists, and hubs of parts with the first of these."""
+    hubs = lists.where("salt >= 0").select("token", "hub", "hub_n", "common").distinct()
+    over_parts = hubs.groupBy("token").agg(F.max_by(F.struct("hub", "hub_n"), F.struct("common", F.bitwise_not("hub"))).alias("first"))
+    joined = hubs.join(over_parts, "token").select(
+        F.col("first.hub").alias("a"), F.col("first.hub_n").alias("n_a"), F.col("hub").alias("b"), F.col("hub_n").alias("n_b"))
+    within = lists.where("meets").select(F.col("hub").alias("a"), F.col("hub_n").alias("n_a"), F.col("doc_id").alias("b"), F.col("n").alias("n_b"))
+    return within.union(joined).where("a <> b AND 4 * least(n_a, n_b) >= 3 * greatest(n_a, n_b)").distinct()
 
 
 class _Tree:
@@ -245,12 +267,13 @@ class _Tree:
 
     def __init__(self, points: pa.StructScalar) -> None:
         self.nodes, self.parts, self.sizes = (points[name].values.to_numpy() for name in ("node", "component", "n"))
+        self.reach = points["reach"].values.to_numpy() if "reach" in points.keys() else 4 * self.sizes // 3
         self.vectors = [unpacked(data) for data in points["vector"].as_py()]
         self.groups = min(map(len, self.vectors))
         self.points = np.stack([folded(vector, self.groups) for vector in self.vectors])
         self.leaves = list(self._packed(np.arange(len(self.nodes))))
         self.low = [int(self.sizes[leaf].min()) for leaf in self.leaves]
-        self.high = [int(self.sizes[leaf].max()) for leaf in self.leaves]
+        self.far = [int(self.reach[leaf].max()) for leaf in self.leaves]
 
     def _packed(self, at: np.ndarray) -> Iterator[np.ndarray]:
         if len(at) <= LEAF:
@@ -267,7 +290,7 @@ class _Tree:
 
 def _near(left: _Tree, right: _Tree) -> Iterator[tuple[int, int]]:
     """Pairs of points of two trees, or of one, in different components, that pass the bound: boxes of blocks first, then
-    of leaves, then the points."""
+    of leaves, then the points. Points beyond each other's reach do not meet."""
     groups = min(left.groups, right.groups)
     a, b = left.at(groups), right.at(groups)
     if 7 * np.minimum(a.max(axis=0), b.max(axis=0)).sum() < 3 * (left.sizes.min() + right.sizes.min()):
@@ -276,13 +299,13 @@ def _near(left: _Tree, right: _Tree) -> Iterator[tuple[int, int]]:
     for i, one in enumerate(left.leaves):
         for j in range(i if left is right else 0, len(right.leaves)):
             other = right.leaves[j]
-            if 4 * min(left.high[i], right.high[j]) < 3 * max(left.low[i], right.low[j]):
+            if left.far[i] < right.low[j] or right.far[j] < left.low[i]:
                 continue
             if 7 * np.minimum(boxes_a[i], boxes_b[j]).sum() < 3 * (left.low[i] + right.low[j]):
                 continue
             for point in one:
                 n, m = left.sizes[point], right.sizes[other]
-                good = (right.parts[other] != left.parts[point]) & (4 * np.minimum(n, m) >= 3 * np.maximum(n, m))
+                good = (right.parts[other] != left.parts[point]) & (m <= left.reach[point]) & (n <= right.reach[other])
                 near = other[good]
                 near = near[7 * np.minimum(b[near], a[point]).sum(axis=1) >= 3 * (n + right.sizes[near])]
                 for with_point in near:
@@ -317,31 +340,37 @@ def _inner_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def tree_pairs(lists: DataFrame, nodes: DataFrame, members: DataFrame) -> DataFrame:
-    """Pairs across components that share a list and pass the trees' bounds; `members` has doc_id, node, component and n."""
-    # Dealt by shingle once. Lists of one component need no look, nor lists of two nodes, whose one pair the stars tried.
-    # Equal lists, as the many shingles of a group of copies make, are one: named by two folds of their nodes.
-    placed = lists.select("token", "doc_id").join(members, "doc_id").select("token", "node", "component", "n").repartition("token").distinct()
+    """Pairs across components that share a list and pass the trees' bounds; `members` has doc_id, n, node, component and several."""
+    # Dealt by shingle once. Lists of one component need no look, nor lists of two nodes, whose one pair the stars tried,
+    # unless one document has `several` sets. Equal lists, as the many shingles of a group of copies make, are one: named
+    # by two folds of their nodes.
+    placed = lists.select("token", "doc_id", "n", "reach").join(members, ["doc_id", "n"]).select(
+        "token", "node", "component", "n", "reach", "several").repartition("token").groupBy("token", "node", "component", "n").agg(
+        F.max("reach").alias("reach"), F.max("several").alias("several"))
     whole = Window.partitionBy("token")
     by_size = whole.orderBy("n", "node")
-    # A point whose neighbours by size do not fit has no partner in the list, so its vector need not come.
-    sized = placed.select("*", F.count("*").over(whole).alias("all"), F.lag("n").over(by_size).alias("less"), F.lead("n").over(by_size).alias("more"))
-    fitting = sized.where("all > 2 AND (4 * less >= 3 * n OR 4 * n >= 3 * more)")
+    # A point that reaches no larger one and is reached by no smaller one has no partner in the list: its vector need not come.
+    sized = placed.select(
+        "*", F.count("*").over(whole).alias("all"), F.max("several").over(whole).alias("any_several"), F.lead("n").over(by_size).alias("more"),
+        F.max("reach").over(by_size.rowsBetween(Window.unboundedPreceding, -1)).alias("reached"))
+    fitting = sized.where("(all > 2 OR any_several) AND (reached >= n OR reach >= more)")
     mixed = fitting.select(
-        "token", "node", "component", F.min("component").over(whole).alias("low"), F.max("component").over(whole).alias("high"),
+        "token", "node", "component", "n", "reach", F.min("component").over(whole).alias("low"), F.max("component").over(whole).alias("high"),
         F.count("*").over(whole).alias("size"), F.bit_xor(F.xxhash64("node", F.lit(1))).over(whole).alias("one"),
         F.bit_xor(F.xxhash64("node", F.lit(2))).over(whole).alias("two")).where("low <> high")
-    points = mixed.select(F.struct("size", "one", "two").alias("token"), "node", "component").distinct().join(nodes, "node")
+    named = mixed.groupBy(F.struct("size", "one", "two").alias("token"), "node", "component", "n").agg(F.max("reach").alias("reach"))
+    points = named.join(nodes.select("node", "n", "vector"), ["node", "n"])
     # A short list is one block. Of a long one, linked sizes lie in the same band or in neighbours; a band fills several blocks.
     long = F.col("token.size") > BLOCK
     band = F.when(long, F.floor(F.ln("n") / F.ln(F.lit(4 / 3)))).otherwise(0).cast("int")
     part = F.when(long, F.pmod(F.xxhash64("node"), F.ceil(F.col("token.size") / F.lit(BLOCK)))).otherwise(0).cast("int")
-    blocks = kept(points.select("token", "node", "component", "n", "vector", F.struct(band.alias("band"), part.alias("part")).alias("block")).groupBy(
-        "token", "block").agg(F.struct(*[F.collect_list(name).alias(name) for name in ("node", "component", "n", "vector")]).alias("points"),
-                              F.min("n").alias("low"), F.max("n").alias("high")))
+    blocks = kept(points.select("token", "node", "component", "n", "reach", "vector", F.struct(band.alias("band"), part.alias("part")).alias("block")).groupBy(
+        "token", "block").agg(F.struct(*[F.collect_list(name).alias(name) for name in ("node", "component", "n", "reach", "vector")]).alias("points"),
+                              F.min("n").alias("low"), F.max("reach").alias("far")))
     inner = blocks.where("size(points.node) > 1").select("points").mapInArrow(_inner_pairs, "a long, b long")
     several = blocks.where(F.col("token.size") > BLOCK)
     left, right = several.alias("l"), several.alias("r")
-    met = left.join(right, F.expr("l.token = r.token AND l.block < r.block AND 4 * l.high >= 3 * r.low AND 4 * r.high >= 3 * l.low"))
+    met = left.join(right, F.expr("l.token = r.token AND l.block < r.block AND l.far >= r.low AND r.far >= l.low"))
     across = met.select(F.col("l.points").alias("points_a"), F.col("r.points").alias("points_b")).mapInArrow(_block_pairs, "a long, b long")
     return inner.union(across).distinct()
 
@@ -364,8 +393,8 @@ def _joined(docs: DataFrame) -> DataFrame:
     lists = _lists(docs.where("doc_id IS NOT NULL").select("doc_id", "text"))
 
     def by_node(pairs: DataFrame) -> DataFrame:
-        first = pairs.join(owners.select(F.col("doc_id").alias("a"), F.col("node").alias("node_a")), "a")
-        both = first.join(owners.select(F.col("doc_id").alias("b"), F.col("node").alias("node_b")), "b")
+        first = pairs.join(owners.select(F.col("doc_id").alias("a"), F.col("n").alias("n_a"), F.col("node").alias("node_a")), ["a", "n_a"])
+        both = first.join(owners.select(F.col("doc_id").alias("b"), F.col("n").alias("n_b"), F.col("node").alias("node_b")), ["b", "n_b"])
         return both.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).where("a <> b").distinct()
 
     starred = kept(by_node(_star_pairs(lists)))
@@ -373,8 +402,10 @@ def _joined(docs: DataFrame) -> DataFrame:
     tried = kept(bounded(starred, nodes))
     stars = kept(verified(tried, texts))
     labels = components(stars.union(copies))
+    several = full.select("doc_id", *keys).distinct().groupBy("doc_id").agg(F.count("*").alias("sets")).where("sets > 1").select("doc_id", F.lit(True).alias("several"))
     members = owners.join(labels, F.col("doc_id") == labels.node, "left").select(
-        "doc_id", owners.node, F.coalesce("component", "doc_id").alias("component"), "n")
+        "doc_id", owners.node, F.coalesce("component", "doc_id").alias("component"), "n").join(several, "doc_id", "left").select(
+        "doc_id", "n", "node", "component", F.coalesce("several", F.lit(False)).alias("several"))
     known = tried.select("a", "b").union(tried.select("b", "a"))
     rest = kept(tree_pairs(lists, nodes, members).join(known, ["a", "b"], "left_anti"))
     if not rest.isEmpty():

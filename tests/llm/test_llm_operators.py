@@ -262,6 +262,29 @@ def test_trees_find_every_pair_within_the_bound():
     assert linked and linked <= set(ngram_join._near(both, both))
 
 
+def test_reach_leaves_every_link_at_its_first_shared_shingle():
+    texts = [edited(prose(k % 5, 40 + 3 * (k % 4)), k, k % 6) for k in range(60)] + [" ".join(prose(1, 60).split()[:40 + k]) for k in range(20)]
+    sets, links = list(shingles.shingle_sets(pa.array(texts))), 0
+    for i, left in enumerate(sets):
+        for right in sets[:i]:
+            common = np.intersect1d(left, right)
+            if not ngram_join.linked(len(common), len(left), len(right)):
+                continue
+            links += 1
+            places = [int(np.searchsorted(one, common[0])) for one in (left, right)]
+            assert ngram_join.reaches(len(left), places[0]) >= len(right) and ngram_join.reaches(len(right), places[1]) >= len(left)
+    assert links > 100
+    assert ngram_join.reaches(100, np.array([0, 14, 15])).tolist() == [133, 100, 98]
+
+
+def test_join_of_documents_with_several_texts(spark):
+    """Texts of one doc_id count as one document, even where they hold as many shingles each."""
+    texts = [prose(k, 60) for k in range(8)]
+    rows = [(k // 2, text) for k, text in enumerate(texts)] + [(10 + k, edited(text, k, 1)) for k, text in enumerate(texts)]
+    got = {row.doc_id: row.component_id for row in ngram_join.joined(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {**{k: k for k in range(4)}, **{10 + k: k // 2 for k in range(8)}}
+
+
 def test_join_awkward(spark, awkward, nothing):
     rows = ngram_join.joined(awkward).collect()
     assert len(rows) == 9
