@@ -9,8 +9,9 @@ all documents in a table of fixed size, so that text which many documents share
 
 1. Profiles: set size, set key and count vector. Documents of one set are one node from here on.
 2. Lists: rare shingles with the documents under them; hot lists are salted. A row holds the shingle's place in the
-   order, from which follows the largest partner it leaves room for (`reach`): at the first shingle two linked sets share, what comes after it
-   in either must still hold their overlap. Points of a list meet only within each other's reach, which loses no link.
+   order, from which follows the largest partner it leaves room for (`reach`): at the first shingle two linked sets share,
+   what comes after it in either must still hold their overlap. Points of a list meet only within each other's reach,
+   which loses no link.
 3. Stars: every document of a list against the list's hub, the document whose shingles are the most common. Survivors of the
    bound are verified on whole texts. A group of near copies so becomes one component without its pairs: what the copies
    were made from shares all lists with them, and is their hub in all of these.
@@ -52,7 +53,8 @@ BATCH_ROWS = 1000
 MIN_GROUPS = 16
 MAX_GROUPS = 16384
 ID_CELLS = 1 << 20
-PLACE_SCALE = 4 * 65535  # a place among the rarest shingles, at most a quarter of all, as a part of 65,535
+PLACE_BITS = 8
+PLACE_SCALE = 4 * (2 ** PLACE_BITS - 1)  # a place among the rarest shingles, at most a quarter of all, as a part of 255
 
 
 def required(size: int) -> int:
@@ -135,16 +137,17 @@ def reaches(size: int, places: np.ndarray) -> np.ndarray:
 
 
 def _rare_shingles(counts):
-    """mapInArrow function: a row for each of a document's rarest shingles, with a salt where the list may be hot. `mark` holds
-    how common the document's shingles are on the mean, above 16 bits for the shingle's place in the order. The text that
-    others were made from has none of their changes, so it is the most common of its group. A list may be hot where its cell
-    exceeds what cells hold on the mean."""
+    """mapInArrow function: a row for each of a document's rarest shingles, with a salt where the list may be hot, and how common
+    the document's shingles are on the mean. The text that others were made from has none of their changes, so it is the
+    most common of its group. A list may be hot where its cell exceeds what cells hold on the mean. `mark` is the shingle
+    with its place in the order instead of its last bits, so that the place moves for nothing; shingles that differ in
+    those bits alone share a list."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = counts.value
         usual = int(known.mean())
         for batch in batches:
-            ids, tokens, salts, owners, marks = batch.column(0).to_numpy(zero_copy_only=False), [], [], [], []
+            ids, tokens, salts, owners, means = batch.column(0).to_numpy(zero_copy_only=False), [], [], [], []
             dealt = mix(ids.view(np.uint64), 5)
             for at, shingles in enumerate(shingle_sets(batch.column(1))):
                 if not len(shingles):
@@ -152,35 +155,28 @@ def _rare_shingles(counts):
                 often = known[_cell(shingles)]
                 rare = np.argsort(often, kind="stable")[:len(shingles) - required(len(shingles)) + 1]
                 spread = (np.maximum(often[rare] - usual, 0) // HOT_LIST + 1).astype(np.uint64)
-                tokens.append(shingles[rare].view(np.int64))
+                places = (np.arange(len(rare)) * PLACE_SCALE // len(shingles)).astype(np.uint64)
+                tokens.append((shingles[rare] >> np.uint64(PLACE_BITS) << np.uint64(PLACE_BITS) | places).view(np.int64))
                 salts.append(np.where(spread > 1, (dealt[at] % spread).astype(np.int64), -1))
                 owners.append(np.full(len(rare), ids[at], dtype=np.int64))
-                marks.append((int(16 * np.log2(often.mean() + 1)) << 16) + np.arange(len(rare)) * PLACE_SCALE // len(shingles))
+                means.append(np.full(len(rare), 16 * np.log2(often.mean() + 1), dtype=np.int16))
                 if sum(map(len, tokens)) > 100_000:
-                    yield _list_rows(tokens, owners, salts, marks)
-                    tokens, salts, owners, marks = [], [], [], []
+                    yield _list_rows(tokens, owners, salts, means)
+                    tokens, salts, owners, means = [], [], [], []
             if tokens:
-                yield _list_rows(tokens, owners, salts, marks)
+                yield _list_rows(tokens, owners, salts, means)
 
     return run
 
 
-def _list_rows(tokens: list, owners: list, salts: list, marks: list) -> pa.RecordBatch:
+def _list_rows(tokens: list, owners: list, salts: list, means: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
         [pa.array(np.concatenate(tokens)), pa.array(np.concatenate(owners)), pa.array(np.concatenate(salts).astype(np.int32)),
-         pa.array(np.concatenate(marks).astype(np.int32))], names=["token", "doc_id", "salt", "mark"])
-
-
-def _common(mark: str) -> Column:
-    return F.shiftright(mark, 16)
-
-
-def _scaled_place(mark: str) -> Column:
-    return F.col(mark).bitwiseAND(F.lit(65535))
+         pa.array(np.concatenate(means))], names=["mark", "doc_id", "salt", "common"])
 
 
 def _reach(size: str, scaled_place: str) -> Column:
-    """`reaches` of a place as `mark` holds it: exact for sets below `PLACE_SCALE` shingles, never too small for others."""
+    """`reaches` of a place as marks hold it: exact for sets below `PLACE_SCALE` shingles, never too small for others."""
     place = F.ceil(F.col(scaled_place).cast("long") * F.col(size) / F.lit(PLACE_SCALE))
     return F.floor((4 * F.col(size) - 7 * place) / F.lit(3))
 
@@ -248,27 +244,32 @@ def bounded(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def _lists(docs: DataFrame) -> DataFrame:
-    """token, doc_id, mark and hub (the most common document of the list or its part) for every list of two or more."""
+    """token, doc_id, place (`at`) and hub (the most common document of the list or its part) for every list of two or more."""
     counts = docs.sparkSession.sparkContext.broadcast(shingle_counts(docs))
-    rows = docs.mapInArrow(_rare_shingles(counts), "token long, doc_id long, salt int, mark int")
-    part = Window.partitionBy("token", "salt").orderBy(_common("mark").desc(), "doc_id", "mark")
-    first = F.first(F.struct("mark", "doc_id")).over(part.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    starred = rows.select("token", "doc_id", "salt", "mark", first.alias("first"), F.lead("doc_id").over(part).alias("next"))
+    marked = docs.mapInArrow(_rare_shingles(counts), "mark long, doc_id long, salt int, common short")
+    token = F.shiftright("mark", PLACE_BITS)
+    rows = marked.repartition(token, "salt").select(
+        token.alias("token"), "salt", "doc_id", "common", F.col("mark").bitwiseAND(F.lit(2 ** PLACE_BITS - 1)).cast("short").alias("at"))
+    part = Window.partitionBy("token", "salt").orderBy(F.desc("common"), "doc_id", "at")
+    first = F.first(F.struct("common", "doc_id", "at")).over(part.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    starred = rows.select("token", "doc_id", "salt", "at", first.alias("first"), F.lead("doc_id").over(part).alias("next"))
     single = F.expr("first.doc_id = doc_id AND next IS NULL")
     dealt = kept(starred.where((F.col("salt") >= 0) | ~single).select(
-        "token", "doc_id", "salt", "mark", F.col("first.doc_id").alias("hub"), F.col("first.mark").alias("hub_mark"), single.alias("single")))
+        "token", "doc_id", "salt", "at", F.col("first.doc_id").alias("hub"), F.col("first.at").alias("hub_at"),
+        F.col("first.common").alias("common"), single.alias("single")))
     # A document alone in its part stays if the shingle's other parts hold others; full parts need not be looked up.
     parts = dealt.where("salt >= 0").groupBy("token").agg(F.count("*").alias("rows")).where("rows > 1").select("token")
-    return dealt.where("salt < 0 OR NOT single").union(dealt.where("salt >= 0 AND single").join(parts, "token", "left_semi")).drop("single")
+    return dealt.where("salt < 0 OR NOT single").union(dealt.where("salt >= 0 AND single").join(parts, "token", "left_semi").select(*dealt.columns)).drop("single")
 
 
 def _star_pairs(lists: DataFrame) -> DataFrame:
-    """a and b, documents with the hubs of their lists, and hubs of parts with the first of these; the least scaled place of
-    either in any list that they share."""
-    hubs = lists.where("salt >= 0").select("token", "hub", _common("hub_mark").alias("common")).distinct()
+    """a and b, documents with the hubs of their lists, and hubs of parts with the first of these; the least place of either
+    in any list that they share."""
+    hubs = lists.where("salt >= 0").select("token", "hub", "common").distinct()
     over_parts = hubs.groupBy("token").agg(F.max_by("hub", F.struct("common", F.bitwise_not("hub"))).alias("first"))
-    joined = hubs.join(over_parts, "token").select(F.col("first").alias("a"), F.col("hub").alias("b"), F.lit(0).alias("at_a"), F.lit(0).alias("at_b"))
-    within = lists.select(F.col("hub").alias("a"), F.col("doc_id").alias("b"), _scaled_place("hub_mark").alias("at_a"), _scaled_place("mark").alias("at_b"))
+    joined = hubs.join(over_parts, "token").select(
+        F.col("first").alias("a"), F.col("hub").alias("b"), F.lit(0).cast("short").alias("at_a"), F.lit(0).cast("short").alias("at_b"))
+    within = lists.select(F.col("hub").alias("a"), F.col("doc_id").alias("b"), F.col("hub_at").alias("at_a"), F.col("at").alias("at_b"))
     return within.union(joined).where("a <> b").groupBy("a", "b").agg(F.min("at_a").alias("at_a"), F.min("at_b").alias("at_b"))
 
 
@@ -354,7 +355,7 @@ def tree_pairs(lists: DataFrame, nodes: DataFrame, members: DataFrame) -> DataFr
     # Dealt by shingle once. Lists of one component need no look, nor lists of two nodes, whose one pair the stars tried,
     # unless one document has `several` sets. Equal lists, as the many shingles of a group of copies make, are one: named
     # by two folds of their nodes.
-    placed = lists.select("token", "doc_id", _scaled_place("mark").alias("at")).join(members, "doc_id").select(
+    placed = lists.select("token", "doc_id", "at").join(members, "doc_id").select(
         "token", "node", "component", "n", _reach("n", "at").alias("reach"), "several").repartition("token").groupBy("token", "node", "component", "n").agg(
         F.max("reach").alias("reach"), F.max("several").alias("several"))
     whole = Window.partitionBy("token")
