@@ -7,6 +7,7 @@ import datetime as dt
 from pyspark.sql import Column, functions as F
 
 from . import fixed
+from .text import let
 
 
 def month_bucket(day: Column) -> Column:
@@ -47,15 +48,12 @@ def date_reason(iso: Column, today: dt.date) -> Column:
 
 def as_of_reason(as_of: Column, report: Column, metric: Column) -> Column:
     """Quoted prices dated well before their report; NULL when fine or not checked."""
-    pattern = r"^(\d{4})-(\d{1,2})"
 
     def months(text: Column) -> Column:
-        trimmed = F.trim(text)
-        return F.when(
-            trimmed.rlike(pattern),
-            F.regexp_extract(trimmed, pattern, 1).cast("int") * 12
-            + F.regexp_extract(trimmed, pattern, 2).cast("int"),
-        )
+        def counted(found: Column) -> Column:
+            return F.when(found != "", F.substring(found, 1, 4).cast("int") * 12 + F.substring(found, 6, 2).cast("int"))
+
+        return let(F.regexp_extract(F.trim(text), r"^\d{4}-\d{1,2}", 0), counted)
 
     lag = months(report) - months(as_of)
     checked = F.trim(metric).isin(fixed.SPOT_METRICS)
