@@ -81,7 +81,8 @@ def _parsed(answers: DataFrame) -> DataFrame:
 
 def fact_rows(answers: DataFrame) -> DataFrame:
     """Fact table rows of (doc_id, report_date, answer or answers); empty texts become NULL."""
-    exploded = _parsed(answers).select("doc_id", "report_date", "window", F.posexplode("parsed.facts").alias("position", "fact"))
+    # An inner explode would let Spark filter on the array first and so parse every answer twice.
+    exploded = _parsed(answers).select("doc_id", "report_date", "window", F.posexplode_outer("parsed.facts").alias("position", "fact"))
     filled = exploded.where(F.col("fact").isNotNull())
 
     def text(name: str) -> Column:
@@ -97,7 +98,7 @@ def fact_rows(answers: DataFrame) -> DataFrame:
 
 
 def theme_rows(answers: DataFrame) -> DataFrame:
-    themes = _parsed(answers).select("doc_id", F.explode("parsed.themes").alias("theme"))
+    themes = _parsed(answers).select("doc_id", F.explode_outer("parsed.themes").alias("theme"))
     themes = themes.withColumn("theme", strip(F.col("theme")))
     return themes.where(F.col("theme") != "").distinct()
 
