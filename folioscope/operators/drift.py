@@ -78,10 +78,13 @@ def uncovered(candidates: DataFrame, segments: DataFrame) -> DataFrame:
 
 
 def covering_segments(candidates: DataFrame, segments: DataFrame) -> DataFrame:
-    """(candidate, first existing name that covers it)."""
-    known = segments.select("name", "position", F.explode(name_atoms(F.col("name"))).alias("atom"))
+    """(candidate, first existing name that covers it). Each name's first position, then each atom's first name, are
+    found before candidates meet them, so an atom of many names meets as one row."""
+    names = segments.groupBy("name").agg(F.min("position").alias("position"))
+    known = names.select("name", "position", F.explode(name_atoms(F.col("name"))).alias("atom"))
+    first = known.groupBy("atom").agg(F.min_by("name", "position").alias("name"), F.min("position").alias("position"))
     wanted = candidates.select("candidate", F.explode(name_atoms(F.col("candidate"))).alias("atom"))
-    return wanted.join(known, "atom").groupBy("candidate").agg(F.min_by("name", "position").alias("covered_by"))
+    return wanted.join(first, "atom").groupBy("candidate").agg(F.min_by("name", "position").alias("covered_by"))
 
 
 def without_stop_tags(candidates: DataFrame, chain_themes: DataFrame, key: str = "cand_key") -> DataFrame:
