@@ -90,11 +90,11 @@ def embed_missing(
     """(new cache rows, new vector rows) for the chunks that have no vector yet.
 
     Each distinct text is embedded once, and not at all when the cache knows it. Write the
-    first result before reading the second, which joins against it.
+    first result before reading the second, which joins against it. Keys are made before the join, so that texts stay out
+    of its shuffle where only keys are asked for.
     """
-    todo = chunks.join(vectors.select("chunk_id"), "chunk_id", "left_anti").select(
-        "chunk_id", "text", embed_key(F.col("text"), provider.model, provider.dimensions).alias("key")
-    )
+    keyed = chunks.select("chunk_id", "text", embed_key(F.col("text"), provider.model, provider.dimensions).alias("key"))
+    todo = keyed.join(vectors.select("chunk_id"), "chunk_id", "left_anti")
     distinct = todo.groupBy("key").agg(F.first("text").alias("text"))
     unknown = distinct.join(cache.select("key"), "key", "left_anti")
     fresh = unknown.mapInPandas(_embedded(provider), "key string, embedding array<float>, error string")
