@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 
 # Below this much input per core a scan may sit in a few row groups and idle most cores.
 SMALL_BYTES_PER_CORE = 64 * 1024 * 1024
+# What one task of a spread input gets at most; the estimate counts the chosen columns of compressed files.
+SPREAD_BYTES = 4 * 1024 * 1024
 
 
 def estimated_bytes(frame: DataFrame) -> int:
@@ -16,9 +18,11 @@ def estimated_bytes(frame: DataFrame) -> int:
 def spread(frame: DataFrame, *keys: str) -> DataFrame:
     """Spreads a small input over all cores ahead of per-row text work.
 
-    Inputs large enough to fill the cluster by their own splits stay where they are.
+    Inputs large enough to fill the cluster by their own splits stay where they are. Between the two the number of
+    tasks grows with the input, so that a task's rows do not.
     """
     cores = frame.sparkSession.sparkContext.defaultParallelism
-    if estimated_bytes(frame) >= cores * SMALL_BYTES_PER_CORE:
+    size = estimated_bytes(frame)
+    if size >= cores * SMALL_BYTES_PER_CORE:
         return frame
-    return frame.repartition(cores, *keys)
+    return frame.repartition(max(cores, -(-size // SPREAD_BYTES)), *keys)
