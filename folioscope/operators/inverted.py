@@ -1,8 +1,8 @@
 """Ranked and phrase search through a stored positional index.
 
 Postings are rows (term, chunk_id, doc_id, chunk_len, tf, positions) in folders by a hash of the term, sorted by term in
-each file. A search joins them on folder and term, so that only the folders of its terms are read, and nothing runs
-while its plan is built.
+each file. A search joins them on folder and term, so that only the folders of its terms are read. The terms of a search
+are counted first and shared where they fit one block, so that postings meet them where they are stored.
 """
 
 from __future__ import annotations
@@ -12,12 +12,16 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import fixed
+from ..functions.text import let
+from ..session import checkpointed
 from .search import inverse_document_frequency, query_terms, top_ranked
 
 BUCKETS = 32
 # Scores are rounded to six places, so bounds give way by one.
 SLACK = 1e-6
 _TERM = ["bucket", "term"]
+# Rows of query terms or phrases that are shared with every task; more are joined by shuffle.
+TERM_BLOCK = 200_000
 
 
 class Index(NamedTuple):
@@ -33,20 +37,51 @@ def bucket_of(term: str) -> Column:
 
 
 def positional_postings(chunks: DataFrame) -> DataFrame:
-    """Postings of a chunk table with tokens; a chunk's own positions meet before the shuffle."""
-    words = chunks.where(F.col("chunk_len") > 0).select(
+    """Postings of a chunk table with tokens, made inside the chunk's row: nothing but ids is shuffled. Only where chunks
+    repeat, their rows of a term are merged."""
+    key = ["chunk_id", "doc_id", "chunk_len"]
+    terms = chunks.where(F.col("chunk_len") > 0).select(
         "chunk_id", F.col("doc_id").cast("string").alias("doc_id"), F.col("chunk_len").cast("int").alias("chunk_len"),
-        F.posexplode(F.split("tokens", " ")).alias("position", "term"),
+        F.explode(_term_positions(F.split("tokens", " "))).alias("held"),
     )
-    held = words.groupBy("term", "chunk_id", "doc_id", "chunk_len").agg(F.array_sort(F.collect_list("position")).alias("positions"))
+    held = terms.select("held.term", *key, "held.positions")
+    if not chunks.groupBy(*key).count().where("count > 1").isEmpty():
+        held = held.groupBy("term", *key).agg(F.array_sort(F.flatten(F.collect_list("positions"))).alias("positions"))
     return held.select("term", "chunk_id", "doc_id", "chunk_len", F.size("positions").alias("tf"), "positions", bucket_of("term"))
 
 
+def _term_positions(words: Column) -> Column:
+    """ARRAY of STRUCT(term, positions) of a word list: the words are sorted with their places and cut into runs."""
+    placed = F.sort_array(F.transform(words, lambda word, place: F.struct(word.alias("term"), place.alias("place"))))
+
+    def runs(sorted_words: Column) -> Column:
+        def opens(at: Column) -> Column:
+            return (at == 1) | (F.get(sorted_words, at - 1)["term"] != F.get(sorted_words, at - 2)["term"])
+
+        def cut(starts: Column) -> Column:
+            def run(start: Column, number: Column) -> Column:
+                following = F.coalesce(F.get(starts, number + 1), F.size(sorted_words) + 1)
+                places = F.transform(F.slice(sorted_words, start, following - start), lambda entry: entry["place"])
+                return F.struct(F.get(sorted_words, start - 1)["term"].alias("term"), places.alias("positions"))
+
+            return F.transform(starts, run)
+
+        return let(F.filter(F.sequence(F.lit(1), F.size(sorted_words)), opens), cut)
+
+    return let(placed, runs)
+
+
 def _bucketed(terms: DataFrame) -> DataFrame:
     """Query terms with their folder; the filter lets Spark prune folders by them at run time."""
     return terms.where(F.length("term") > 0).withColumn("bucket", bucket_of("term"))
 
 
+def _shared(terms: DataFrame) -> DataFrame:
+    """The query side written out and counted, and shared if it fits one block."""
+    held = checkpointed(terms)
+    return F.broadcast(held) if held.count() <= TERM_BLOCK else held
+
+
 def weighted_terms(index: Index, queries: DataFrame) -> DataFrame:
     """(query_id, bucket, term, df, idf), the idf times the query's own weight of the term; corpus counts are subqueries."""
     n_chunks = index.documents.agg(F.sum("n_chunks").alias("n")).select("n").scalar()
@@ -80,14 +115,14 @@ def ranked(index: Index, queries: DataFrame, limit: int = fixed.ROUTE_TOPK, elig
     chunks that other terms have brought up and that can still reach the floor. Exact.
     """
     slim = queries.select(F.col("query_id").cast("string").alias("query_id"), "text")
-    weights, share = weighted_terms(index, slim), _share(index)
+    weights, share = _shared(weighted_terms(index, slim)), _share(index)
     postings = index.postings if eligible is None else index.postings.join(eligible.select(F.col("doc_id").cast("string").alias("doc_id")), "doc_id", "left_semi")
     by_bound = Window.partitionBy("query_id").orderBy("idf", "term").rowsBetween(Window.unboundedPreceding, 0)
     bounded = weights.join(score_floors(postings, weights, share, limit), "query_id", "left").withColumn(
         "reach", F.sum(F.col("idf") * (fixed.BM25_K1 + 1)).over(by_bound))
     light = F.coalesce(F.col("reach") < F.col("floor") - SLACK, F.lit(False))
     by_query = Window.partitionBy("query_id")
-    terms = bounded.withColumn("light", light).withColumn("rest", F.coalesce(F.max(F.when(F.col("light"), F.col("reach"))).over(by_query), F.lit(0.0)))
+    terms = _shared(bounded.withColumn("light", light).withColumn("rest", F.coalesce(F.max(F.when(F.col("light"), F.col("reach"))).over(by_query), F.lit(0.0))))
     slim_postings = postings.select(*_TERM, "chunk_id", "chunk_len", "tf")
     heavy = slim_postings.join(terms.where(~F.col("light")), _TERM).groupBy("query_id", "chunk_id").agg(
         F.sum(share).alias("score"), F.first("rest").alias("rest"), F.first("floor").alias("floor"))
@@ -101,19 +136,26 @@ def ranked(index: Index, queries: DataFrame, limit: int = fixed.ROUTE_TOPK, elig
 def phrase_documents(index: Index, phrases: DataFrame) -> DataFrame:
     """Distinct (phrase, doc_id) where a chunk holds the phrase's tokens side by side.
 
-    The rarest token of a phrase gives the places where it can start; each other token is looked up at its place
-    in the same chunk. No text moves, and no join is on a word alone but that of the rarest.
+    The postings of all wanted terms are read once, however many phrases share a term, and meet by chunk. A chunk's
+    wanted words in order of place, with a mark where others stand between, then hold a phrase or not.
     """
-    parts = phrases.select("phrase").distinct().select("phrase", F.posexplode(F.split("phrase", " ")).alias("offset", "term"))
-    found = _bucketed(parts).join(index.terms, _TERM)
-    whole = Window.partitionBy("phrase")
-    known = found.withColumn("held", F.count("*").over(whole)).withColumn("size", F.size(F.split("phrase", " "))).where("held = size").withColumn(
-        "turn", F.row_number().over(whole.orderBy("df", "offset")))
-    postings = index.postings.select(*_TERM, "chunk_id", "doc_id", "positions")
-    starts = postings.join(known.where("turn = 1"), _TERM).select(
-        "phrase", "size", "doc_id", "chunk_id", F.explode("positions").alias("position"), "offset").select(
-        "phrase", "size", "doc_id", "chunk_id", (F.col("position") - F.col("offset")).alias("start")).where("start >= 0")
-    probes = starts.where("size > 1").join(known.where("turn > 1").select("phrase", "offset", *_TERM), "phrase")
-    held = postings.drop("doc_id").join(probes, [*_TERM, "chunk_id"]).where(F.expr("array_contains(positions, start + offset)"))
-    several = held.groupBy("phrase", "doc_id", "chunk_id", "start", "size").count().where("count = size - 1")
-    return starts.where("size = 1").select("phrase", "doc_id").union(several.select("phrase", "doc_id")).distinct()
+    parts = phrases.select("phrase").distinct().select("phrase", F.explode(F.split("phrase", " ")).alias("term"))
+    known = _bucketed(parts.distinct()).join(index.terms, _TERM, "left_semi")
+    whole = known.groupBy("phrase").agg(F.count("*").alias("held")).where(
+        F.col("held") == F.size(F.array_distinct(F.split("phrase", " ")))).select("phrase")
+    wanted = _shared(whole.withColumn("lead", F.substring_index("phrase", " ", 2)))
+    terms = _shared(_bucketed(wanted.select(F.explode(F.split("phrase", " ")).alias("term")).distinct()))
+    met = index.postings.select(*_TERM, "chunk_id", "doc_id", "chunk_len", "positions").join(terms, _TERM, "left_semi")
+    places = F.flatten(F.collect_list(F.transform("positions", lambda at: F.struct(at.alias("place"), F.col("term").alias("word")))))
+    by_chunk = met.repartition("chunk_id").groupBy("chunk_id", "doc_id", "chunk_len").agg(F.sort_array(F.array_distinct(places)).alias("places"))
+    # A term is never blank, so a blank word marks the gap before a word whose neighbour is not wanted.
+    neighbour = F.zip_with(
+        "places", F.concat(F.array(F.lit(None).cast("int")), F.transform("places", lambda at: at["place"])),
+        lambda at, before: F.when(at["place"] == before + 1, at["word"]).otherwise(F.concat(F.lit(" "), at["word"])))
+    words = F.split(F.array_join(neighbour, " "), " ")
+    pairs = F.zip_with(words, F.slice(words, F.lit(2), F.size(words)), lambda a, b: F.concat(a, F.lit(" "), b))
+    leads = by_chunk.select("doc_id", F.array_join(neighbour, " ").alias("run"), F.explode(
+        F.array_distinct(F.concat(words, F.array_compact(pairs)))).alias("lead"))
+    adjacent = (F.col("phrase") == F.col("lead")) | F.concat(F.lit(" "), "run", F.lit(" ")).contains(
+        F.concat(F.lit(" "), "phrase", F.lit(" ")))
+    return leads.join(wanted, "lead").where(adjacent).select("phrase", "doc_id").distinct()

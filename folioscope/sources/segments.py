@@ -11,13 +11,14 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..operators.inverted import Index, positional_postings
+from ..operators.inverted import BUCKETS, Index, positional_postings
 
 POSTINGS = "term string, chunk_id string, doc_id string, chunk_len int, tf int, positions array<int>, bucket int"
 TERMS = "term string, df long, bucket int"
 DOCUMENTS = "doc_id string, n_chunks long, total_len long"
-# Files of a bucket, so that a term of most chunks is not one task's.
+# Files of a bucket, so that a term of most chunks is not one task's; more where a file would hold more tokens than this.
 SPREAD = 4
+FILE_TOKENS = 2_000_000
 
 
 def _numbers(spark: SparkSession, root: str, whole: bool = True) -> list[int]:
@@ -37,9 +38,11 @@ def write_segment(chunks: DataFrame, root: str, replaced: DataFrame | None = Non
     """Adds the chunks (chunk_id, doc_id, tokens, chunk_len) as one segment; `replaced` (doc_id) leave earlier segments."""
     spark = chunks.sparkSession
     folder = f"{root}/segment-{max(_numbers(spark, root, whole=False), default=-1) + 1}"
-    spread = F.pmod(F.xxhash64("chunk_id"), F.lit(SPREAD))
-    positional_postings(chunks).repartition("bucket", spread).sortWithinPartitions("bucket", "term", "chunk_id").write.partitionBy("bucket").parquet(
-        f"{folder}/postings")
+    tokens = chunks.agg(F.coalesce(F.sum("chunk_len"), F.lit(0)).alias("tokens")).first().tokens
+    files = max(SPREAD, -(-tokens // (BUCKETS * FILE_TOKENS)))
+    place = F.col("bucket") * files + F.pmod(F.xxhash64("chunk_id"), F.lit(files)).cast("int")
+    positional_postings(chunks).repartitionById(BUCKETS * files, place).sortWithinPartitions("bucket", "term", "chunk_id").write.partitionBy(
+        "bucket").parquet(f"{folder}/postings")
     stored = spark.read.schema(POSTINGS).parquet(f"{folder}/postings")
     counts = stored.groupBy("bucket", "term").agg(F.count("*").alias("df")).select("term", "df", "bucket")
     counts.repartition("bucket").sortWithinPartitions("term").write.partitionBy("bucket").parquet(f"{folder}/terms")
