@@ -110,27 +110,18 @@ def score_floors(postings: DataFrame, weights: DataFrame, share: Column, limit:
 def ranked(index: Index, queries: DataFrame, limit: int = fixed.ROUTE_TOPK, eligible: DataFrame | None = None) -> DataFrame:
     """BM25 top rows (query_id, chunk_id, score, rank) for many queries; `eligible` (doc_id) narrows what is ranked.
 
-    A term adds at most its idf times k1 + 1. The terms of least weight whose bounds together stay below the floor
-    cannot bring a chunk into the top rows, so a query meets their postings, which are the long ones, only at
-    chunks that other terms have brought up and that can still reach the floor. Exact.
+    The postings of all wanted terms are read once, however many queries share a term, and move once, to their chunk. A chunk's
+    scores for all queries are then summed where it lies, and only what reaches the query's floor is ranked. Exact.
     """
     slim = queries.select(F.col("query_id").cast("string").alias("query_id"), "text")
     weights, share = _shared(weighted_terms(index, slim)), _share(index)
     postings = index.postings if eligible is None else index.postings.join(eligible.select(F.col("doc_id").cast("string").alias("doc_id")), "doc_id", "left_semi")
-    by_bound = Window.partitionBy("query_id").orderBy("idf", "term").rowsBetween(Window.unboundedPreceding, 0)
-    bounded = weights.join(score_floors(postings, weights, share, limit), "query_id", "left").withColumn(
-        "reach", F.sum(F.col("idf") * (fixed.BM25_K1 + 1)).over(by_bound))
-    light = F.coalesce(F.col("reach") < F.col("floor") - SLACK, F.lit(False))
-    by_query = Window.partitionBy("query_id")
-    terms = _shared(bounded.withColumn("light", light).withColumn("rest", F.coalesce(F.max(F.when(F.col("light"), F.col("reach"))).over(by_query), F.lit(0.0))))
-    slim_postings = postings.select(*_TERM, "chunk_id", "chunk_len", "tf")
-    heavy = slim_postings.join(terms.where(~F.col("light")), _TERM).groupBy("query_id", "chunk_id").agg(
-        F.sum(share).alias("score"), F.first("rest").alias("rest"), F.first("floor").alias("floor"))
-    near = heavy.where("floor IS NULL OR score + rest >= floor - 0.000001").select("query_id", "chunk_id", "score")
-    probes = near.select("query_id", "chunk_id").join(terms.where("light").select("query_id", *_TERM, "idf"), "query_id")
-    more = slim_postings.join(probes, [*_TERM, "chunk_id"]).select("query_id", "chunk_id", share.alias("score"))
-    scored = near.unionByName(more).groupBy("query_id", "chunk_id").agg(F.round(F.sum("score"), 6).alias("score"))
-    return top_ranked(scored, [F.desc("score")], limit)
+    terms = _shared(weights.join(score_floors(postings, weights, share, limit), "query_id", "left"))
+    wanted = _shared(weights.select(*_TERM).distinct())
+    met = postings.select(*_TERM, "chunk_id", "chunk_len", "tf").join(wanted, _TERM, "left_semi").repartition("chunk_id")
+    summed = met.join(terms, _TERM).groupBy("query_id", "chunk_id").agg(F.sum(share).alias("score"), F.first("floor").alias("floor"))
+    near = summed.where(F.col("floor").isNull() | (F.col("score") >= F.col("floor") - SLACK))
+    return top_ranked(near.select("query_id", "chunk_id", F.round("score", 6).alias("score")), [F.desc("score")], limit)
 
 
 def phrase_documents(index: Index, phrases: DataFrame) -> DataFrame:

@@ -1,5 +1,7 @@
 """Plans whose cost grew faster than their input before."""
 
+import re
+
 from pyspark.sql import functions as F
 
 from folioscope.functions.dates import as_of_reason
@@ -85,7 +87,12 @@ def test_files_of_a_bucket_grow_with_the_tokens(spark, monkeypatch, tmp_path):
 def test_postings_meet_shared_terms_where_they_are(spark, tmp_path):
     index = index_of(spark, str(tmp_path / "index"), [(str(doc), f"the w{doc % 7} end") for doc in range(90)])
     asked = spark.createDataFrame([("q", "the w1")], "query_id string, text string")
-    assert "strategy=broadcast" in plan(inverted.ranked(index, asked, 5))
+    ranked = inverted.ranked(index, asked, 5)
+    assert "strategy=broadcast" in plan(ranked)
+    # One move of the postings, to their chunk; the sums of all queries are made there.
+    assert plan(ranked).count("RepartitionByExpression [chunk_id") == 1
+    executed = ranked._jdf.queryExecution().executedPlan().toString()
+    assert not re.search(r"hashpartitioning\(query_id#\d+, chunk_id", executed)
 
 
 def test_phrases_meet_by_chunk_with_gaps_and_repeats(spark, tmp_path):
