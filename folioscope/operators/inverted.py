@@ -1,8 +1,9 @@
 """Ranked and phrase search through a stored positional index.
 
-Postings are rows (term, chunk_id, doc_id, chunk_len, tf, positions) in folders by a hash of the term, sorted by term in
-each file. A search joins them on folder and term, so that only the folders of its terms are read. The terms of a search
-are counted first and shared where they fit one block, so that postings meet them where they are stored.
+Postings are rows (term, chunk_id, doc_id, chunk_len, tf, positions, following) in folders by a hash of the term, sorted by
+term in each file; `following` holds the word after each position, blank at the end. A search joins them on folder and term,
+so that only the folders of its terms are read. The terms of a search are counted first and shared where they fit one
+block, so that postings meet them where they are stored.
 """
 
 from __future__ import annotations
@@ -44,15 +45,22 @@ def positional_postings(chunks: DataFrame) -> DataFrame:
         "chunk_id", F.col("doc_id").cast("string").alias("doc_id"), F.col("chunk_len").cast("int").alias("chunk_len"),
         F.explode(_term_positions(F.split("tokens", " "))).alias("held"),
     )
-    held = terms.select("held.term", *key, "held.positions")
+    held = terms.select("held.term", *key, "held.positions", "held.following")
     if not chunks.groupBy(*key).count().where("count > 1").isEmpty():
-        held = held.groupBy("term", *key).agg(F.array_sort(F.flatten(F.collect_list("positions"))).alias("positions"))
-    return held.select("term", "chunk_id", "doc_id", "chunk_len", F.size("positions").alias("tf"), "positions", bucket_of("term"))
+        placed = F.array_sort(F.flatten(F.collect_list(F.arrays_zip("positions", "following"))))
+        held = held.groupBy("term", *key).agg(placed.alias("placed")).select(
+            "term", *key, F.col("placed.positions").alias("positions"), F.col("placed.following").alias("following"))
+    return held.select("term", "chunk_id", "doc_id", "chunk_len", F.size("positions").alias("tf"), "positions", "following", bucket_of("term"))
 
 
 def _term_positions(words: Column) -> Column:
-    """ARRAY of STRUCT(term, positions) of a word list: the words are sorted with their places and cut into runs."""
-    placed = F.sort_array(F.transform(words, lambda word, place: F.struct(word.alias("term"), place.alias("place"))))
+    """ARRAY of STRUCT(term, positions, following) of a word list: the words are sorted with their places and cut into runs."""
+
+    def placed(words: Column) -> Column:
+        return F.sort_array(F.zip_with(
+            F.transform(words, lambda word, place: F.struct(word.alias("term"), place.alias("place"))),
+            F.concat(F.slice(words, F.lit(2), F.size(words)), F.array(F.lit(""))),
+            lambda at, after: F.struct(at["term"].alias("term"), at["place"].alias("place"), after.alias("after"))))
 
     def runs(sorted_words: Column) -> Column:
         def opens(at: Column) -> Column:
@@ -61,14 +69,14 @@ def _term_positions(words: Column) -> Column:
         def cut(starts: Column) -> Column:
             def run(start: Column, number: Column) -> Column:
                 following = F.coalesce(F.get(starts, number + 1), F.size(sorted_words) + 1)
-                places = F.transform(F.slice(sorted_words, start, following - start), lambda entry: entry["place"])
-                return F.struct(F.get(sorted_words, start - 1)["term"].alias("term"), places.alias("positions"))
+                return let(F.slice(sorted_words, start, following - start), lambda held: F.struct(
+                    F.get(held, F.lit(0))["term"].alias("term"), held["place"].alias("positions"), held["after"].alias("following")))
 
             return F.transform(starts, run)
 
         return let(F.filter(F.sequence(F.lit(1), F.size(sorted_words)), opens), cut)
 
-    return let(placed, runs)
+    return let(let(words, placed), runs)
 
 
 def _bucketed(terms: DataFrame) -> DataFrame:
@@ -127,26 +135,30 @@ def ranked(index: Index, queries: DataFrame, limit: int = fixed.ROUTE_TOPK, elig
 def phrase_documents(index: Index, phrases: DataFrame) -> DataFrame:
     """Distinct (phrase, doc_id) where a chunk holds the phrase's tokens side by side.
 
-    The postings of all wanted terms are read once, however many phrases share a term, and meet by chunk. A chunk's
-    wanted words in order of place, with a mark where others stand between, then hold a phrase or not.
+    A posting holds the words after its own, so two words meet a phrase where the posting lies and postings do not move.
+    A longer phrase is met pair by pair; only where a pair was found, its start in the chunk moves to those of the others.
     """
     parts = phrases.select("phrase").distinct().select("phrase", F.explode(F.split("phrase", " ")).alias("term"))
     known = _bucketed(parts.distinct()).join(index.terms, _TERM, "left_semi")
-    whole = known.groupBy("phrase").agg(F.count("*").alias("held")).where(
-        F.col("held") == F.size(F.array_distinct(F.split("phrase", " ")))).select("phrase")
-    wanted = _shared(whole.withColumn("lead", F.substring_index("phrase", " ", 2)))
-    terms = _shared(_bucketed(wanted.select(F.explode(F.split("phrase", " ")).alias("term")).distinct()))
-    met = index.postings.select(*_TERM, "chunk_id", "doc_id", "chunk_len", "positions").join(terms, _TERM, "left_semi")
-    places = F.flatten(F.collect_list(F.transform("positions", lambda at: F.struct(at.alias("place"), F.col("term").alias("word")))))
-    by_chunk = met.repartition("chunk_id").groupBy("chunk_id", "doc_id", "chunk_len").agg(F.sort_array(F.array_distinct(places)).alias("places"))
-    # A term is never blank, so a blank word marks the gap before a word whose neighbour is not wanted.
-    neighbour = F.zip_with(
-        "places", F.concat(F.array(F.lit(None).cast("int")), F.transform("places", lambda at: at["place"])),
-        lambda at, before: F.when(at["place"] == before + 1, at["word"]).otherwise(F.concat(F.lit(" "), at["word"])))
-    words = F.split(F.array_join(neighbour, " "), " ")
-    pairs = F.zip_with(words, F.slice(words, F.lit(2), F.size(words)), lambda a, b: F.concat(a, F.lit(" "), b))
-    leads = by_chunk.select("doc_id", F.array_join(neighbour, " ").alias("run"), F.explode(
-        F.array_distinct(F.concat(words, F.array_compact(pairs)))).alias("lead"))
-    adjacent = (F.col("phrase") == F.col("lead")) | F.concat(F.lit(" "), "run", F.lit(" ")).contains(
-        F.concat(F.lit(" "), "phrase", F.lit(" ")))
-    return leads.join(wanted, "lead").where(adjacent).select("phrase", "doc_id").distinct()
+    words = F.split("phrase", " ")
+    whole = known.groupBy("phrase").agg(F.count("*").alias("held")).where(F.col("held") == F.size(F.array_distinct(words)))
+    placed = whole.select("phrase", F.greatest(F.size(words) - 1, F.lit(1)).alias("pairs"), words.alias("words")).select(
+        "*", F.posexplode(F.slice("words", F.lit(1), F.col("pairs"))).alias("at", "term"))
+    # A single word is followed by the blank that every posting is given.
+    pairs = checkpointed(_bucketed(placed.select("phrase", "pairs", "at", "term", F.coalesce(F.get("words", F.col("at") + 1), F.lit("")).alias("after"))))
+    terms = _shared(pairs.select(*_TERM).distinct())
+
+    def met(wanted: DataFrame) -> DataFrame:
+        held = index.postings.select(*_TERM, "chunk_id", "doc_id", "chunk_len", "positions", "following").join(terms, _TERM, "left_semi")
+        after = F.explode(F.array_distinct(F.concat(F.array(F.lit("")), "following"))).alias("after")
+        return held.select("*", after).join(_shared(wanted), [*_TERM, "after"])
+
+    short = met(pairs.where("pairs = 1")).select("phrase", "doc_id").distinct()
+    long = pairs.where("pairs > 1")
+    if long.isEmpty():
+        return short
+    here = F.filter(F.arrays_zip("positions", "following"), lambda entry: entry["following"] == F.col("after"))
+    starts = met(long).select("phrase", "pairs", "at", "chunk_id", "doc_id", "chunk_len", F.explode(here["positions"]).alias("place"))
+    run = starts.groupBy("phrase", "pairs", "chunk_id", "doc_id", "chunk_len", (F.col("place") - F.col("at")).alias("start"))
+    found = run.agg(F.count_distinct("at").alias("held")).where(F.col("held") == F.col("pairs"))
+    return short.unionByName(found.select("phrase", "doc_id")).distinct()

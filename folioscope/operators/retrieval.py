@@ -14,13 +14,13 @@ MODES = ("hybrid", "bm25", "vector")
 
 
 def retrieve(
-    index: Index, vectors: DataFrame, documents: DataFrame, queries: DataFrame, query_vectors: DataFrame,
+    index: Index | None, vectors: DataFrame, documents: DataFrame, queries: DataFrame, query_vectors: DataFrame,
     filters: Filters | None = None, mode: str = "hybrid", route_limit: int = fixed.ROUTE_TOPK, limit: int = fixed.FUSED_LIMIT,
 ) -> DataFrame:
     """Ranked chunks of the documents that pass `filters`, by one route or by both fused.
 
     The filters narrow postings and vectors (chunk_id, doc_id, embedding) before anything is ranked, so a narrow filter
-    still fills its lists. One route alone returns its own list and score or distance.
+    still fills its lists. One route alone returns its own list and score or distance; the vector route needs no index.
     """
     if mode not in MODES:
         raise ValueError(f"mode must be one of {', '.join(MODES)}")

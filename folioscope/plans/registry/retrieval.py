@@ -129,8 +129,10 @@ DENSE_WITHIN = DENSE.replace(
 
 def _retrieved(spark, sf, mode):
     vectors_of = t.chunk_vectors(spark, sf).withColumn("doc_id", F.substring_index("chunk_id", "#", 1))
+    # The vector route reads no postings, so none are built for it.
+    index = None if mode == "vector" else t.text_postings(spark, sf)
     return retrieval.retrieve(
-        t.text_postings(spark, sf), vectors_of, t.text_documents(spark, sf), t.text_queries(spark, sf), t.query_vectors(spark, sf),
+        index, vectors_of, t.text_documents(spark, sf), t.text_queries(spark, sf), t.query_vectors(spark, sf),
         Filters(date_from="2024-03-01", institution="SRC1", lang="en"), mode)
 
 

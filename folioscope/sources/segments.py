@@ -13,12 +13,15 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators.inverted import BUCKETS, Index, positional_postings
 
-POSTINGS = "term string, chunk_id string, doc_id string, chunk_len int, tf int, positions array<int>, bucket int"
+POSTINGS = "term string, chunk_id string, doc_id string, chunk_len int, tf int, positions array<int>, following array<string>, bucket int"
 TERMS = "term string, df long, bucket int"
 DOCUMENTS = "doc_id string, n_chunks long, total_len long"
-# Files of a bucket, so that a term of most chunks is not one task's; more where a file would hold more tokens than this.
+# Files of a bucket at least, so that a term of most chunks is not one task's; more where a file would hold more tokens than
+# this: a part of the chunks then has 3.2 million tokens at most, whose postings are sorted in memory.
 SPREAD = 4
-FILE_TOKENS = 2_000_000
+FILE_TOKENS = 100_000
+# A part that a core of its own would be worth.
+CORE_TOKENS = 250_000
 
 
 def _numbers(spark: SparkSession, root: str, whole: bool = True) -> list[int]:
@@ -39,10 +42,11 @@ def write_segment(chunks: DataFrame, root: str, replaced: DataFrame | None = Non
     spark = chunks.sparkSession
     folder = f"{root}/segment-{max(_numbers(spark, root, whole=False), default=-1) + 1}"
     tokens = chunks.agg(F.coalesce(F.sum("chunk_len"), F.lit(0)).alias("tokens")).first().tokens
-    files = max(SPREAD, -(-tokens // (BUCKETS * FILE_TOKENS)))
-    place = F.col("bucket") * files + F.pmod(F.xxhash64("chunk_id"), F.lit(files)).cast("int")
-    positional_postings(chunks).repartitionById(BUCKETS * files, place).sortWithinPartitions("bucket", "term", "chunk_id").write.partitionBy(
-        "bucket").parquet(f"{folder}/postings")
+    cores = min(spark.sparkContext.defaultParallelism, -(-tokens // CORE_TOKENS))
+    files = max(SPREAD, cores, -(-tokens // (BUCKETS * FILE_TOKENS)))
+    # Chunks are dealt out before postings are made of them, as tokens are far smaller; each part then sorts its own.
+    dealt = chunks.select("chunk_id", "doc_id", "tokens", "chunk_len").repartition(files, "chunk_id")
+    positional_postings(dealt).sortWithinPartitions("bucket", "term", "chunk_id").write.partitionBy("bucket").parquet(f"{folder}/postings")
     stored = spark.read.schema(POSTINGS).parquet(f"{folder}/postings")
     counts = stored.groupBy("bucket", "term").agg(F.count("*").alias("df")).select("term", "df", "bucket")
     counts.repartition("bucket").sortWithinPartitions("term").write.partitionBy("bucket").parquet(f"{folder}/terms")
