@@ -85,8 +85,13 @@ def raw_tokens(text: Column) -> Column:
 
 
 def index_token_string(text: Column) -> Column:
-    """Folded index tokens joined by one blank; empty string when there are none."""
-    return F.array_join(all_matches(folded(text), INDEX_TOKEN), " ")
+    """Folded index tokens joined by one blank; empty string when there are none.
+
+    Without CJK characters the tokens are what stands between runs of other characters, so these give way to a blank and
+    no list of tokens is made.
+    """
+    spaced = F.trim(F.regexp_replace(folded(text), "[^\\p{L}\\p{N}]+", " "))
+    return F.when(text.rlike(f"[{CJK}]"), F.array_join(all_matches(folded(text), INDEX_TOKEN), " ")).otherwise(spaced)
 
 
 def index_tokens(text: Column) -> Column:
