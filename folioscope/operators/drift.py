@@ -10,25 +10,32 @@ from ..functions import fixed
 from ..functions.like import substring_join
 from ..functions.segments import canonical_name, name_atoms
 from ..session import checkpointed
+from .layout import dealt
 from .themes import percentage
 
+# Matching names that are shared with every task; more are joined by shuffle.
+MATCH_BLOCK = 200_000
+
 
 def matching_themes(chain_themes: DataFrame, doc_themes: DataFrame) -> DataFrame:
     """(chain, theme) where the theme's name contains the chain's name."""
     names = doc_themes.select("theme").distinct()
-    return substring_join(names, "theme", chain_themes.select(F.col("theme").alias("chain")), "chain")
+    found = checkpointed(substring_join(names, "theme", chain_themes.select(F.col("theme").alias("chain")), "chain"))
+    return F.broadcast(found) if found.count() <= MATCH_BLOCK else found
 
 
 def co_occurrence(matches: DataFrame, doc_themes: DataFrame) -> DataFrame:
     """(chain, theme, doc_id): a theme next to another theme that matches the chain.
 
     A theme qualifies when its document holds a matching theme other than itself. Counting
-    the matching themes per document decides that, so no pairs of themes are formed.
+    the matching themes per document decides that, so no pairs of themes are formed. Tags are
+    dealt out by document once, for the counts and for the join with them.
     """
-    tagged = doc_themes.join(matches, "theme")
+    tags = dealt(doc_themes, "doc_id")
+    tagged = tags.join(matches, "theme")
     matched = tagged.groupBy("chain", "doc_id").agg(F.count("*").alias("matching"))
     own = matches.withColumn("itself", F.lit(1))
-    beside = doc_themes.join(matched, "doc_id").join(own, ["chain", "theme"], "left")
+    beside = tags.join(matched, "doc_id").join(own, ["chain", "theme"], "left")
     return beside.where(F.col("matching") - F.coalesce("itself", F.lit(0)) >= 1).select("chain", "theme", "doc_id")
 
 
@@ -56,7 +63,7 @@ def theme_lift(
     """Adds lift: the theme's share inside the chain over its share in the whole collection."""
     n_all = F.greatest(documents.agg(F.count("*").alias("n")).scalar(), F.lit(1))
     per_theme = doc_themes.groupBy("theme").agg(F.count("*").alias("global_docs"))
-    tagged = doc_themes.join(matches, "theme").select("chain", "doc_id").distinct()
+    tagged = dealt(doc_themes, "doc_id").join(matches, "theme").select("chain", "doc_id").distinct()
     per_chain = tagged.groupBy("chain").agg(F.count("*").alias("chain_docs"))
     joined = statistics.join(per_theme, "theme").join(per_chain, "chain")
     inside = F.col("docs") / F.greatest("chain_docs", F.lit(1))

@@ -8,6 +8,9 @@ from pyspark.sql import DataFrame
 SMALL_BYTES_PER_CORE = 64 * 1024 * 1024
 # What one task of a spread input gets at most; the estimate counts the chosen columns of compressed files.
 SPREAD_BYTES = 4 * 1024 * 1024
+# Catalyst takes this size or more for frames it knows nothing about.
+NO_ESTIMATE = 2**62
+MOST_PIECES = 10_000
 
 
 def estimated_bytes(frame: DataFrame) -> int:
@@ -26,3 +29,15 @@ def spread(frame: DataFrame, *keys: str) -> DataFrame:
     if size >= cores * SMALL_BYTES_PER_CORE:
         return frame
     return frame.repartition(max(cores, -(-size // SPREAD_BYTES)), *keys)
+
+
+def dealt(frame: DataFrame, *keys: str) -> DataFrame:
+    """Rows of a key together, in as many tasks as the input has pieces of SPREAD_BYTES: a task's rows do not grow with it.
+
+    A frame without an estimate is left as it is.
+    """
+    size = estimated_bytes(frame)
+    if size >= NO_ESTIMATE:
+        return frame
+    cores = frame.sparkSession.sparkContext.defaultParallelism
+    return frame.repartition(min(MOST_PIECES, max(cores, -(-size // SPREAD_BYTES))), *keys)

@@ -1,11 +1,12 @@
 """Shuffles, work and memory that grew faster than the input."""
 
 import random
+import re
 
 from pyspark.sql import functions as F
 
 from folioscope.functions.text import INDEX_TOKEN, all_matches, folded, index_token_string
-from folioscope.operators import inverted, search
+from folioscope.operators import drift, inverted, layout, search
 from folioscope.plans.registry import retrieval
 from folioscope.sources import segments
 
@@ -58,3 +59,23 @@ def test_tokens_without_cjk_are_not_listed_one_by_one(spark):
     for row in frame.select(index_token_string(F.col("text")).alias("got"), listed.alias("wanted")).collect():
         assert row.got == row.wanted
     assert "regexp_replace" in plan(frame.select(index_token_string(F.col("text"))))
+
+
+def test_tags_are_dealt_out_by_document_once(spark, monkeypatch, tmp_path):
+    draw = random.Random(4)
+    rows = [(doc, theme) for doc in range(300) for theme in draw.sample(["chip", "chip set", "ship", "set", "port"], draw.randrange(1, 5))]
+    spark.createDataFrame(rows, "doc_id long, theme string").write.parquet(str(tmp_path / "tags"))
+    tags = spark.read.parquet(str(tmp_path / "tags"))
+    monkeypatch.setattr(layout, "SPREAD_BYTES", layout.estimated_bytes(tags) // 20)
+    chains = spark.createDataFrame([("chip",), ("set",)], "theme string")
+    pairs = drift.co_occurrence(drift.matching_themes(chains, tags), tags)
+    executed = pairs._jdf.queryExecution().executedPlan().toString()
+    assert executed.count("REPARTITION_BY_NUM") == 2 and "ENSURE_REQUIREMENTS" not in executed
+    assert int(re.search(r"hashpartitioning\(doc_id#\d+L?, (\d+)\), REPARTITION_BY_NUM", executed).group(1)) >= 20
+    held = {}
+    for doc, theme in rows:
+        held.setdefault(doc, []).append(theme)
+    wanted = {(chain, theme, doc) for doc, themes in held.items() for chain in ("chip", "set") for theme in themes
+              if any(chain in other for other in themes if other != theme)}
+    found = [tuple(row) for row in pairs.collect()]
+    assert len(found) == len(wanted) and set(found) == wanted
