@@ -17,7 +17,7 @@ POSTINGS = "term string, chunk_id string, doc_id string, chunk_len int, tf int,
 TERMS = "term string, df long, bucket int"
 DOCUMENTS = "doc_id string, n_chunks long, total_len long"
 # Files of a bucket at least, so that a term of most chunks is not one task's; more where a file would hold more tokens than
-# this: a part of the chunks then has 3.2 million tokens at most, whose postings are sorted in memory.
+# this: a part of the chunks then has about 3.2 million tokens at most, whose postings are sorted in memory.
 SPREAD = 4
 FILE_TOKENS = 100_000
 # A part that a core of its own would be worth.
