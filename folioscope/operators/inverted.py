@@ -1,25 +1,36 @@
 """Ranked and phrase search through a stored positional index.
 
 Postings are rows (term, chunk_id, doc_id, chunk_len, tf, positions, following) in folders by a hash of the term, sorted by
-term in each file; `following` holds the word after each position, blank at the end. A search joins them on folder and term,
-so that only the folders of its terms are read. The terms of a search are counted first and shared where they fit one
-block, so that postings meet them where they are stored.
+term in runs of about a million words; `following` holds the word after each position, blank at the end. A search joins them on
+folder and term, so that only the folders of its terms are read. The terms of a search are counted first and shared where they
+fit one block, so that postings meet them where they are stored.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
 from typing import NamedTuple
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import fixed
-from ..functions.text import let
 from ..session import checkpointed
-from .search import inverse_document_frequency, query_terms, top_ranked
+from .search import SCORE_CELLS, WEIGHT_BLOCK, BestRows, blocks_of, inverse_document_frequency, query_terms, top_ranked
 
 BUCKETS = 32
-# Scores are rounded to six places, so bounds give way by one.
-SLACK = 1e-6
+# Words that a task turns into postings at a time, and rows that it hands over at a time.
+BLOCK_TOKENS = 1_000_000
+ROWS_AT_ONCE = 50_000
+_MADE = "term string, chunk_id string, doc_id string, chunk_len int, tf int, positions array<int>, following array<string>"
+_SCORED = "query_id string, chunk_id string, score double"
+# Chunks whose postings one task of a ranked search gathers, and queries that it scores at a time.
+TASK_CHUNKS = 20_000
+QUERY_BLOCK = 256
 _TERM = ["bucket", "term"]
 # Rows of query terms or phrases that are shared with every task; more are joined by shuffle.
 TERM_BLOCK = 200_000
@@ -37,46 +48,81 @@ def bucket_of(term: str) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int").alias("bucket")
 
 
-def positional_postings(chunks: DataFrame) -> DataFrame:
-    """Postings of a chunk table with tokens, made inside the chunk's row: nothing but ids is shuffled. Only where chunks
-    repeat, their rows of a term are merged."""
+def positional_postings(chunks: DataFrame, parts: int | None = None) -> DataFrame:
+    """Postings of a chunk table with tokens, made by each task of its own chunks, block by block: no posting is shuffled.
+    `parts` deals the chunks out first. Where chunks repeat, their words of a term are merged."""
     key = ["chunk_id", "doc_id", "chunk_len"]
-    terms = chunks.where(F.col("chunk_len") > 0).select(
-        "chunk_id", F.col("doc_id").cast("string").alias("doc_id"), F.col("chunk_len").cast("int").alias("chunk_len"),
-        F.explode(_term_positions(F.split("tokens", " "))).alias("held"),
-    )
-    held = terms.select("held.term", *key, "held.positions", "held.following")
-    if not chunks.groupBy(*key).count().where("count > 1").isEmpty():
-        placed = F.array_sort(F.flatten(F.collect_list(F.arrays_zip("positions", "following"))))
-        held = held.groupBy("term", *key).agg(placed.alias("placed")).select(
-            "term", *key, F.col("placed.positions").alias("positions"), F.col("placed.following").alias("following"))
-    return held.select("term", "chunk_id", "doc_id", "chunk_len", F.size("positions").alias("tf"), "positions", "following", bucket_of("term"))
-
-
-def _term_positions(words: Column) -> Column:
-    """ARRAY of STRUCT(term, positions, following) of a word list: the words are sorted with their places and cut into runs."""
-
-    def placed(words: Column) -> Column:
-        return F.sort_array(F.zip_with(
-            F.transform(words, lambda word, place: F.struct(word.alias("term"), place.alias("place"))),
-            F.concat(F.slice(words, F.lit(2), F.size(words)), F.array(F.lit(""))),
-            lambda at, after: F.struct(at["term"].alias("term"), at["place"].alias("place"), after.alias("after"))))
-
-    def runs(sorted_words: Column) -> Column:
-        def opens(at: Column) -> Column:
-            return (at == 1) | (F.get(sorted_words, at - 1)["term"] != F.get(sorted_words, at - 2)["term"])
-
-        def cut(starts: Column) -> Column:
-            def run(start: Column, number: Column) -> Column:
-                following = F.coalesce(F.get(starts, number + 1), F.size(sorted_words) + 1)
-                return let(F.slice(sorted_words, start, following - start), lambda held: F.struct(
-                    F.get(held, F.lit(0))["term"].alias("term"), held["place"].alias("positions"), held["after"].alias("following")))
-
-            return F.transform(starts, run)
-
-        return let(F.filter(F.sequence(F.lit(1), F.size(sorted_words)), opens), cut)
-
-    return let(let(words, placed), runs)
+    held = chunks.where(F.col("chunk_len") > 0).select(
+        "chunk_id", F.col("doc_id").cast("string").alias("doc_id"), F.col("chunk_len").cast("int").alias("chunk_len"), "tokens")
+    repeats = not chunks.groupBy(*key).count().where("count > 1").isEmpty()
+    if parts is not None or repeats:
+        held = held.repartition(*([] if parts is None else [parts]), "chunk_id")
+    if repeats:
+        held = held.sortWithinPartitions(*key)
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, words = [], 0
+        for batch in batches:
+            block.append(batch)
+            words += pc.sum(batch.column("chunk_len")).as_py() or 0
+            if words < BLOCK_TOKENS:
+                continue
+            whole = pa.Table.from_batches(block).combine_chunks()
+            # Repeats of the last chunk may follow in the next batch.
+            cut = int(np.flatnonzero(_opens(whole, key))[-1]) if repeats else len(whole)
+            if cut:
+                yield from _block_postings(whole.slice(0, cut), key)
+                block, words = whole.slice(cut).to_batches(), 0
+        if block:
+            yield from _block_postings(pa.Table.from_batches(block), key)
+
+    return held.mapInArrow(made, _MADE).select("*", bucket_of("term"))
+
+
+def _opens(rows: pa.Table, key: list[str]) -> np.ndarray:
+    """Whether a row's key differs from that of the row before it; nulls are alike."""
+    opens = np.zeros(len(rows), dtype=bool)
+    opens[:1] = True
+    for name in key:
+        codes = rows.column(name).combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy()
+        opens[1:] |= codes[1:] != codes[:-1]
+    return opens
+
+
+def _block_postings(block: pa.Table, key: list[str]) -> Iterator[pa.RecordBatch]:
+    """Postings of a block of chunks, by term and chunk: words become numbers, which are sorted with their places."""
+    block = block.sort_by([(name, "ascending") for name in key]).combine_chunks()
+    opens = _opens(block, key)
+    listed = pc.split_pattern(block.column("tokens").combine_chunks(), " ")
+    sizes = pc.list_value_length(listed).to_numpy().astype(np.int64)
+    coded = listed.flatten().dictionary_encode()
+    by_name = pc.sort_indices(coded.dictionary)
+    # Number 0 is the blank behind a chunk's last word.
+    number = np.empty(len(coded.dictionary), dtype=np.int64)
+    number[by_name.to_numpy()] = np.arange(1, len(number) + 1)
+    names = pa.concat_arrays([pa.array([""], pa.string()), coded.dictionary.take(by_name).cast(pa.string())])
+    word = number[coded.indices.to_numpy()]
+    ends = np.cumsum(sizes)
+    place = np.arange(len(word)) - np.repeat(ends - sizes, sizes)
+    after = np.append(word[1:], 0)
+    after[ends - 1] = 0
+    chunk = np.repeat(np.cumsum(opens) - 1, sizes)
+    posting = word * len(block) + chunk
+    order = np.argsort(posting, kind="stable") if opens.all() else np.lexsort((after, place, posting))
+    posting = posting[order]
+    starts = np.flatnonzero(np.append(True, posting[1:] != posting[:-1]))
+    offsets = np.append(starts, len(posting)).astype(np.int32)
+    entries, place, after = order[starts], place[order].astype(np.int32), after[order]
+    kept = block.select(key).filter(pa.array(opens)).combine_chunks()
+    for first in range(0, len(starts), ROWS_AT_ONCE):
+        rows = slice(first, first + ROWS_AT_ONCE)
+        bounds = offsets[first : first + ROWS_AT_ONCE + 1]
+        of_chunk, inner = kept.take(pa.array(chunk[entries[rows]])), slice(bounds[0], bounds[-1])
+        lists = pa.array(bounds - bounds[0])
+        yield pa.RecordBatch.from_arrays([
+            names.take(pa.array(word[entries[rows]])), *[column.combine_chunks() for column in of_chunk.columns], pa.array(np.diff(bounds)),
+            pa.ListArray.from_arrays(lists, pa.array(place[inner])), pa.ListArray.from_arrays(lists, names.take(pa.array(after[inner]))),
+        ], names=["term", *key, "tf", "positions", "following"])
 
 
 def _bucketed(terms: DataFrame) -> DataFrame:
@@ -106,7 +152,7 @@ def _share(index: Index) -> Column:
 
 def score_floors(postings: DataFrame, weights: DataFrame, share: Column, limit: int) -> DataFrame:
     """(query_id, floor): what `limit` chunks reach by the query's rarest term that stands in as many chunks. Queries
-    without such a term have none."""
+    without such a term have none. A ranked search needs none, as its tasks keep their own top rows."""
     rarest = Window.partitionBy("query_id").orderBy("df", "term")
     first = weights.where(F.col("df") >= limit).withColumn("turn", F.row_number().over(rarest)).where("turn = 1")
     seeds = postings.select(*_TERM, "chunk_id", "chunk_len", "tf").join(first, _TERM).select("query_id", "chunk_id", share.alias("score"))
@@ -118,18 +164,75 @@ def score_floors(postings: DataFrame, weights: DataFrame, share: Column, limit:
 def ranked(index: Index, queries: DataFrame, limit: int = fixed.ROUTE_TOPK, eligible: DataFrame | None = None) -> DataFrame:
     """BM25 top rows (query_id, chunk_id, score, rank) for many queries; `eligible` (doc_id) narrows what is ranked.
 
-    The postings of all wanted terms are read once, however many queries share a term, and move once, to their chunk. A chunk's
-    scores for all queries are then summed where it lies, and only what reaches the query's floor is ranked. Exact.
+    The postings of all wanted terms are read once, however many queries share a term, and move once, to their chunk, as
+    numbers. Each task then scores its own chunks for all queries and returns only its own top rows. Exact.
     """
     slim = queries.select(F.col("query_id").cast("string").alias("query_id"), "text")
-    weights, share = _shared(weighted_terms(index, slim)), _share(index)
-    postings = index.postings if eligible is None else index.postings.join(eligible.select(F.col("doc_id").cast("string").alias("doc_id")), "doc_id", "left_semi")
-    terms = _shared(weights.join(score_floors(postings, weights, share, limit), "query_id", "left"))
-    wanted = _shared(weights.select(*_TERM).distinct())
-    met = postings.select(*_TERM, "chunk_id", "chunk_len", "tf").join(wanted, _TERM, "left_semi").repartition("chunk_id")
-    summed = met.join(terms, _TERM).groupBy("query_id", "chunk_id").agg(F.sum(share).alias("score"), F.first("floor").alias("floor"))
-    near = summed.where(F.col("floor").isNull() | (F.col("score") >= F.col("floor") - SLACK))
-    return top_ranked(near.select("query_id", "chunk_id", F.round("score", 6).alias("score")), [F.desc("score")], limit)
+    weights = checkpointed(weighted_terms(index, slim))
+    corpus = index.documents.agg(F.sum("n_chunks").alias("n_chunks"), F.sum("total_len").alias("total_len")).first()
+    if eligible is not None:
+        eligible = eligible.select(F.col("doc_id").cast("string").alias("doc_id"))
+    scans = []
+    for block in blocks_of(weights, "query_id", weights.count(), WEIGHT_BLOCK):
+        held = block.toPandas()
+        if len(held):
+            scans.append(_scan_postings(index.postings, held, corpus.n_chunks, corpus.total_len / corpus.n_chunks, limit, eligible))
+    merged = reduce(DataFrame.unionByName, scans) if scans else queries.sparkSession.createDataFrame([], _SCORED)
+    return top_ranked(merged, [F.desc("score")], limit)
+
+
+def _scan_postings(postings: DataFrame, held: pd.DataFrame, n_chunks: int, average: float, limit: int, eligible: DataFrame | None) -> DataFrame:
+    """Top rows of each task's chunks for the queries of one block of weights."""
+    spark = postings.sparkSession
+    vocabulary = held[_TERM].drop_duplicates()
+    numbers = {term: number for number, term in enumerate(vocabulary["term"])}
+    query_codes, query_ids = pd.factorize(held["query_id"], use_na_sentinel=False)
+    shared = spark.sparkContext.broadcast((list(query_ids), query_codes, held["term"].map(numbers).to_numpy(), held["idf"].to_numpy(dtype="float64")))
+    coded = spark.createDataFrame(pa.table({
+        "bucket": pa.array(vocabulary["bucket"], pa.int32()), "term": pa.array(vocabulary["term"], pa.string()), "number": pa.array(range(len(vocabulary)), pa.int32())}))
+    coded = F.broadcast(coded) if len(vocabulary) <= TERM_BLOCK else coded
+    folders = sorted(map(int, vocabulary["bucket"].unique()))
+    met = postings.where(F.col("bucket").isin(folders)).select(*_TERM, "chunk_id", "doc_id", "chunk_len", "tf").join(coded, _TERM)
+    if eligible is not None:
+        met = met.select("chunk_id", "doc_id", "number", "chunk_len", "tf").join(eligible, "doc_id", "left_semi")
+    tasks = max(spark.sparkContext.defaultParallelism, -(-n_chunks // TASK_CHUNKS))
+    k1, b = fixed.BM25_K1, fixed.BM25_B
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [batch for batch in batches if len(batch)]
+        if not rows:
+            return
+        rows = pa.Table.from_batches(rows)
+        ids, of_query, of_term, idf = shared.value
+        coded = rows.column("chunk_id").combine_chunks().dictionary_encode(null_encoding="encode")
+        chunk = coded.indices.to_numpy()
+        order = np.argsort(chunk, kind="stable")
+        chunk, term = chunk[order], rows.column("number").to_numpy()[order]
+        tf, length = (rows.column(name).to_numpy()[order].astype("float64") for name in ("tf", "chunk_len"))
+        share = tf * (k1 + 1) / (tf + k1 * (1 - b + b * length / average))
+        chunk_ids = np.array(coded.dictionary.to_pylist(), dtype=object)
+        firsts = np.searchsorted(chunk, np.arange(len(chunk_ids) + 1))
+        for first_query in range(0, len(ids), QUERY_BLOCK):
+            mine = (of_query >= first_query) & (of_query < first_query + QUERY_BLOCK)
+            used, column = np.unique(of_term[mine], return_inverse=True)
+            weights = np.zeros((len(used), min(QUERY_BLOCK, len(ids) - first_query)))
+            weights[column, of_query[mine] - first_query] = idf[mine]
+            best = BestRows(weights.shape[1], limit)
+            where = np.searchsorted(used, term).clip(max=len(used) - 1)
+            asked = used[where] == term
+            at_once = max(64, SCORE_CELLS // len(used))
+            for first in range(0, len(chunk_ids), at_once):
+                part, count = slice(firsts[first], firsts[min(first + at_once, len(chunk_ids))]), min(at_once, len(chunk_ids) - first)
+                cells = ((chunk[part] - first) * len(used) + where[part])[asked[part]]
+                dense = np.bincount(cells, share[part][asked[part]], count * len(used)).reshape(count, len(used))
+                best.add(chunk_ids[first : first + count], dense @ weights)
+            if best.rows is not None:
+                yield pa.RecordBatch.from_arrays([
+                    pa.array([ids[first_query + code] for code in best.rows["query"]], pa.string(), from_pandas=True),
+                    pa.array(best.rows["chunk_id"], pa.string()), pa.array(best.rows["value"], pa.float64()),
+                ], names=["query_id", "chunk_id", "score"])
+
+    return met.select("chunk_id", "number", "chunk_len", "tf").repartition(tasks, "chunk_id").mapInArrow(score, _SCORED)
 
 
 def phrase_documents(index: Index, phrases: DataFrame) -> DataFrame:

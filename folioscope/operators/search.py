@@ -102,6 +102,29 @@ def keep_best(best: pd.DataFrame, limit: int, descending: bool) -> pd.DataFrame:
     return ordered.groupby("query", sort=False).head(limit)
 
 
+class BestRows:
+    """Top rows per query (query, chunk_id, value) of score blocks that come one after another, ties by chunk_id."""
+
+    def __init__(self, queries: int, limit: int) -> None:
+        self.floor, self.limit, self.rows = np.full(queries, -np.inf), limit, None
+
+    def add(self, chunk_ids: np.ndarray, exact: np.ndarray) -> None:
+        """Takes in a block of chunks x queries."""
+        rounded, limit = np.round(exact, 6), self.limit
+        # Rows that tie with the last place stay, so that ids can settle it.
+        edge = self.floor
+        if len(rounded) > limit:
+            edge = np.maximum(edge, np.partition(rounded, len(rounded) - limit, axis=0)[len(rounded) - limit])
+        hit_row, hit_query = np.nonzero((exact > 0) & (rounded >= edge[None, :]))
+        if not len(hit_row):
+            return
+        found = pd.DataFrame({"query": hit_query, "chunk_id": chunk_ids[hit_row], "value": rounded[hit_row, hit_query]})
+        self.rows = keep_best(found if self.rows is None else pd.concat([self.rows, found]), limit, descending=True)
+        full = self.rows.groupby("query")["value"].agg(["size", "min"])
+        full = full[full["size"] >= limit]
+        self.floor[full.index.to_numpy()] = full["min"].to_numpy()
+
+
 def _scan_block(index: DataFrame, block: pd.DataFrame, avg_len: float, limit: int) -> DataFrame:
     """Scores every chunk in its own task against one block of queries."""
     query_codes, query_ids = pd.factorize(block["query_id"])
@@ -117,8 +140,7 @@ def _scan_block(index: DataFrame, block: pd.DataFrame, avg_len: float, limit: in
         weights = np.zeros((len(vocabulary), len(ids)))
         weights[of_term, of_query] = idf
         rows_at_once = max(64, SCORE_CELLS // max(1, len(vocabulary)))
-        floor = np.full(len(ids), -np.inf)
-        best = None
+        best = BestRows(len(ids), limit)
         for batch in batches:
             for first in range(0, len(batch), rows_at_once):
                 part = batch.iloc[first : first + rows_at_once]
@@ -136,25 +158,11 @@ def _scan_block(index: DataFrame, block: pd.DataFrame, avg_len: float, limit: in
                 dense = np.zeros((len(split), len(used)))
                 dense[row, column] = tf * (k1 + 1) / (tf + k1 * (1 - b + b * length / avg_len))
                 exact = dense @ weights[used]
-                rounded = np.round(exact, 6)
-                # Rows that tie with the last place stay, so that ids can settle it.
-                edge = floor
-                if len(rounded) > limit:
-                    edge = np.maximum(floor, np.partition(rounded, len(rounded) - limit, axis=0)[len(rounded) - limit])
-                hit_row, hit_query = np.nonzero((exact > 0) & (rounded >= edge[None, :]))
-                if not len(hit_row):
-                    continue
-                found = pd.DataFrame(
-                    {"query": hit_query, "chunk_id": part["chunk_id"].to_numpy()[hit_row], "value": rounded[hit_row, hit_query]}
-                )
-                best = keep_best(found if best is None else pd.concat([best, found]), limit, descending=True)
-                full = best.groupby("query")["value"].agg(["size", "min"])
-                full = full[full["size"] >= limit]
-                floor[full.index.to_numpy()] = full["min"].to_numpy()
-        if best is not None:
+                best.add(part["chunk_id"].to_numpy(), exact)
+        if best.rows is not None:
             yield pd.DataFrame(
-                {"query_id": [ids[code] for code in best["query"]], "chunk_id": best["chunk_id"].to_numpy(),
-                 "score": best["value"].to_numpy()}
+                {"query_id": [ids[code] for code in best.rows["query"]], "chunk_id": best.rows["chunk_id"].to_numpy(),
+                 "score": best.rows["value"].to_numpy()}
             )
 
     return index.select("chunk_id", "chunk_len", "tokens").mapInPandas(score, _SCORED)

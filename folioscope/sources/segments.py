@@ -44,9 +44,10 @@ def write_segment(chunks: DataFrame, root: str, replaced: DataFrame | None = Non
     tokens = chunks.agg(F.coalesce(F.sum("chunk_len"), F.lit(0)).alias("tokens")).first().tokens
     cores = min(spark.sparkContext.defaultParallelism, -(-tokens // CORE_TOKENS))
     files = max(SPREAD, cores, -(-tokens // (BUCKETS * FILE_TOKENS)))
-    # Chunks are dealt out before postings are made of them, as tokens are far smaller; each part then sorts its own.
-    dealt = chunks.select("chunk_id", "doc_id", "tokens", "chunk_len").repartition(files, "chunk_id")
-    positional_postings(dealt).sortWithinPartitions("bucket", "term", "chunk_id").write.partitionBy("bucket").parquet(f"{folder}/postings")
+    # Chunks are dealt out before postings are made of them, as tokens are far smaller. Postings come sorted by term, block by
+    # block, so that parts sort them by folder alone.
+    positional_postings(chunks.select("chunk_id", "doc_id", "tokens", "chunk_len"), files).sortWithinPartitions("bucket").write.option(
+        "compression", "zstd").partitionBy("bucket").parquet(f"{folder}/postings")
     stored = spark.read.schema(POSTINGS).parquet(f"{folder}/postings")
     counts = stored.groupBy("bucket", "term").agg(F.count("*").alias("df")).select("term", "df", "bucket")
     counts.repartition("bucket").sortWithinPartitions("term").write.partitionBy("bucket").parquet(f"{folder}/terms")
