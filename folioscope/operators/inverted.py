@@ -31,6 +31,8 @@ _SCORED = "query_id string, chunk_id string, score double"
 # Chunks whose postings one task of a ranked search gathers, and queries that it scores at a time.
 TASK_CHUNKS = 20_000
 QUERY_BLOCK = 256
+# Documents of a filter that are shared with every task; more meet the postings by shuffle.
+DOCUMENT_BLOCK = 500_000
 _TERM = ["bucket", "term"]
 # Rows of query terms or phrases that are shared with every task; more are joined by shuffle.
 TERM_BLOCK = 200_000
@@ -171,7 +173,8 @@ def ranked(index: Index, queries: DataFrame, limit: int = fixed.ROUTE_TOPK, elig
     weights = checkpointed(weighted_terms(index, slim))
     corpus = index.documents.agg(F.sum("n_chunks").alias("n_chunks"), F.sum("total_len").alias("total_len")).first()
     if eligible is not None:
-        eligible = eligible.select(F.col("doc_id").cast("string").alias("doc_id"))
+        eligible = checkpointed(eligible.select(F.col("doc_id").cast("string").alias("doc_id")).distinct())
+        eligible = F.broadcast(eligible) if eligible.count() <= DOCUMENT_BLOCK else eligible
     scans = []
     for block in blocks_of(weights, "query_id", weights.count(), WEIGHT_BLOCK):
         held = block.toPandas()

@@ -44,7 +44,7 @@ def write_snapshot(frame: DataFrame, root: str) -> DataFrame:
     spark = frame.sparkSession
     versions = _versions(spark, root)
     target = f"{root}/version={versions[-1] + 1 if versions else 0}"
-    frame.write.mode("overwrite").parquet(target)
+    frame.write.mode("overwrite").option("compression", "zstd").parquet(target)
     return spark.read.parquet(target)
 
 

@@ -1,4 +1,4 @@
-"""Postings made and met without a row of work for each query."""
+"""Postings made and met without a row of work for each query, and evidence that moves once."""
 
 import random
 
@@ -102,3 +102,16 @@ def test_chunks_of_one_id_are_scored_together(spark, tmp_path):
     share = inverted._share(index)
     summed = index.postings.where("term = 'a'").withColumn("idf", F.lit(1e-6)).groupBy("chunk_id").agg(F.round(F.sum(share), 6).alias("score"))
     assert {(r.chunk_id, r.score) for r in found} == {tuple(r) for r in summed.collect()} and len(found) == 2
+
+
+def test_a_filter_meets_postings_where_they_lie(spark, monkeypatch, stored, asked):
+    index, table = stored
+    some = spark.createDataFrame([(str(doc),) for doc in range(0, 100, 3)] * 2 + [(None,), ("none",)], "doc_id string")
+    narrowed = search.lexical_search(table, asked, 7, table.join(some, "doc_id", "left_semi"))
+    ranked = inverted.ranked(index, asked, 7, some)
+    assert plan(ranked).count("RepartitionByExpression") == 1 and plan(ranked).count("strategy=broadcast") == 2
+    assert "positions" not in plan(ranked).split("LeftSemi")[1].split("Relation")[0]
+    assert hits(ranked) == hits(narrowed)
+    monkeypatch.setattr(inverted, "DOCUMENT_BLOCK", 0)
+    beyond = inverted.ranked(index, asked, 7, some)
+    assert plan(beyond).count("strategy=broadcast") == 1 and hits(beyond) == hits(narrowed)
