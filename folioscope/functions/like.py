@@ -6,7 +6,7 @@ import re
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .text import ascii_lower, let
+from .text import all_matches, ascii_lower
 
 
 def _regex(pattern: str) -> str:
@@ -45,19 +45,9 @@ def _match_key(pattern: Column, literal: bool) -> Column:
 
 
 def _text_keys(text: Column) -> Column:
-    """Every key a pattern contained in the text can have."""
-
-    def pieces(chars: Column) -> Column:
-        parts = [F.array(F.lit(""))]
-        for length in KEY_LENGTHS:
-            joined = chars
-            for shift in range(1, length):
-                tail = F.slice(chars, F.lit(shift + 1), F.size(chars))
-                joined = F.zip_with(joined, tail, lambda left, right: F.concat(left, right))
-            parts.append(F.array_compact(joined))
-        return F.array_distinct(F.concat(*parts))
-
-    return let(F.split(text, ""), pieces)
+    """Every key a pattern contained in the text can have: one search over the text for each length."""
+    pieces = [all_matches(text, f"(?s)(?=(.{{{length}}}))", 1) for length in KEY_LENGTHS]
+    return F.array_distinct(F.concat(F.array(F.lit("")), *pieces))
 
 
 def substring_join(texts: DataFrame, text: str, patterns: DataFrame, pattern: str, literal: bool = False) -> DataFrame:

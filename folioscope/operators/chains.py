@@ -103,8 +103,9 @@ def segment_documents(
         doc_themes.select(F.col("theme").alias("tag")).distinct(), "tag", distinct_words, "keyword"
     )
     by_theme = doc_themes.withColumnRenamed("theme", "tag").join(names, "tag").select("keyword", "doc_id")
-    hits = by_text.unionByName(by_title).unionByName(by_theme).distinct()
-    return keywords.join(hits, "keyword").select("theme", "node_id", "doc_id").distinct()
+    hits = by_text.unionByName(by_title).unionByName(by_theme)
+    # Evidence moves once, to its document, where repeats go and where later counts and joins by document find it.
+    return keywords.join(hits, "keyword").select("theme", "node_id", "doc_id").repartition("doc_id").distinct()
 
 
 def segment_split(nodes: DataFrame, evidence: DataFrame, documents: DataFrame) -> DataFrame:

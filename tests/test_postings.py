@@ -6,7 +6,8 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from folioscope.operators import inverted, search
+from folioscope.functions.like import substring_join
+from folioscope.operators import chains, inverted, search
 from folioscope.sources import segments
 
 
@@ -115,3 +116,38 @@ def test_a_filter_meets_postings_where_they_lie(spark, monkeypatch, stored, aske
     monkeypatch.setattr(inverted, "DOCUMENT_BLOCK", 0)
     beyond = inverted.ranked(index, asked, 7, some)
     assert plan(beyond).count("strategy=broadcast") == 1 and hits(beyond) == hits(narrowed)
+
+
+def test_evidence_moves_once_to_its_document(spark, stored):
+    index, _ = stored
+    nodes = spark.createDataFrame(
+        [("t", "g", "group", None, None), ("t", "n1", "segment", "g", ["w1 w2", "w2", "Title"]), ("t", "n2", "segment", "g", ["w2", "tag"])],
+        "theme string, node_id string, node_type string, parent_id string, keywords array<string>")
+    documents = spark.createDataFrame([(str(doc), f"title {doc}" if doc < 3 else None, "en") for doc in range(100)], "doc_id string, title string, lang string")
+    tags = spark.createDataFrame([("5", "a tag"), (None, "tag"), (None, "tag")], "doc_id string, theme string")
+    evidence = chains.segment_documents(nodes, index, documents, tags)
+    assert plan(evidence).count("RepartitionByExpression [doc_id") == 1
+    split = chains.segment_split(nodes.withColumn("seq", F.lit(1)).withColumn("name", F.col("node_id")), evidence, documents)
+    executed = split._jdf.queryExecution().executedPlan().toString()
+    # Neither the distinct rows nor the join with the documents move them again.
+    assert "REPARTITION_BY_COL" in executed and executed.count("hashpartitioning(theme") == 0
+    words = {}
+    for chunk, doc, text in invented(4, 200):
+        for phrase in ("w1 w2", "w2"):
+            if f" {phrase} " in f" {text} ":
+                words.setdefault(phrase, set()).add(doc)
+    first = words.get("w1 w2", set()) | words["w2"] | {"0", "1", "2"}
+    second = words["w2"] | {"5", None}
+    rows = evidence.collect()
+    assert len(rows) == len(first) + len(second) and {tuple(r) for r in rows} == {("t", "n1", d) for d in first} | {("t", "n2", d) for d in second}
+
+
+def test_keys_of_a_text_are_found_by_search(spark):
+    texts = spark.createDataFrame([(t,) for t in ["", "a", "alpha\nbeta 光刻机", "é😀x😀y", None, "aaaaaa", "50% off_x"]], "t string")
+    patterns = spark.createDataFrame([(p,) for p in ["", "a", "aaaa", "a\nbeta", "光刻", "😀x😀", "😀", "50%x", "_x", "ALPHA", "?x"]], "p string")
+    met = substring_join(texts, "t", patterns, "p")
+    assert "zip_with" not in plan(met)
+    rows, asked = [r.t for r in texts.collect()], [r.p for r in patterns.collect()]
+    special = {("50%x", "50% off_x")} | {("_x", t) for t in rows if t and "x" in t[1:]}
+    wanted = {(p, t) for p in asked if p not in ("50%x", "_x") for t in rows if t is not None and p.lower() in t.lower()} | special
+    assert {(r.p, r.t) for r in met.collect()} == wanted
