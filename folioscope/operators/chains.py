@@ -9,7 +9,7 @@ from ..functions.like import substring_join
 from ..functions.segments import canonical_name
 from ..functions.text import is_foreign, slug, strip
 from .layout import spread
-from .inverted import Index, phrase_documents
+from .inverted import Index, phrase_documents, shared
 from .search import keyword_phrases
 from .themes import percentage
 
@@ -103,9 +103,9 @@ def segment_documents(
         doc_themes.select(F.col("theme").alias("tag")).distinct(), "tag", distinct_words, "keyword"
     )
     by_theme = doc_themes.withColumnRenamed("theme", "tag").join(names, "tag").select("keyword", "doc_id")
-    hits = by_text.unionByName(by_title).unionByName(by_theme)
-    # Evidence moves once, to its document, where repeats go and where later counts and joins by document find it.
-    return keywords.join(hits, "keyword").select("theme", "node_id", "doc_id").repartition("doc_id").distinct()
+    # Hits move once, to their document, where repeats go and where later counts and joins by document find the evidence.
+    hits = by_text.unionByName(by_title).unionByName(by_theme).repartition("doc_id").distinct()
+    return hits.join(shared(keywords), "keyword").select("theme", "node_id", "doc_id").distinct()
 
 
 def segment_split(nodes: DataFrame, evidence: DataFrame, documents: DataFrame) -> DataFrame:
