@@ -22,12 +22,15 @@ from ..functions import fixed
 from ..session import checkpointed
 from .search import SCORE_CELLS, WEIGHT_BLOCK, BestRows, blocks_of, inverse_document_frequency, query_terms, top_ranked
 
-BUCKETS = 32
+BUCKETS = 8
 # Words that a task turns into postings at a time, and rows that it hands over at a time.
 BLOCK_TOKENS = 1_000_000
 ROWS_AT_ONCE = 50_000
 _MADE = "term string, chunk_id string, doc_id string, chunk_len int, tf int, positions array<int>, following array<string>"
 _SCORED = "query_id string, chunk_id string, score double"
+_GATHERED = "chunk_id string, chunk_len int, numbers binary, tfs binary"
+# Postings that a task of a ranked search gathers by chunk at a time.
+GATHERED_ROWS = 500_000
 # Chunks whose postings one task of a ranked search gathers, and queries that it scores at a time.
 TASK_CHUNKS = 20_000
 QUERY_BLOCK = 256
@@ -132,7 +135,7 @@ def _bucketed(terms: DataFrame) -> DataFrame:
     return terms.where(F.length("term") > 0).withColumn("bucket", bucket_of("term"))
 
 
-def _shared(terms: DataFrame) -> DataFrame:
+def shared(terms: DataFrame) -> DataFrame:
     """The query side written out and counted, and shared if it fits one block."""
     held = checkpointed(terms)
     return F.broadcast(held) if held.count() <= TERM_BLOCK else held
@@ -167,7 +170,7 @@ def ranked(index: Index, queries: DataFrame, limit: int = fixed.ROUTE_TOPK, elig
     """BM25 top rows (query_id, chunk_id, score, rank) for many queries; `eligible` (doc_id) narrows what is ranked.
 
     The postings of all wanted terms are read once, however many queries share a term, and move once, to their chunk, as
-    numbers. Each task then scores its own chunks for all queries and returns only its own top rows. Exact.
+    lists of numbers. Each task then scores its own chunks for all queries and returns only its own top rows. Exact.
     """
     slim = queries.select(F.col("query_id").cast("string").alias("query_id"), "text")
     weights = checkpointed(weighted_terms(index, slim))
@@ -190,7 +193,7 @@ def _scan_postings(postings: DataFrame, held: pd.DataFrame, n_chunks: int, avera
     vocabulary = held[_TERM].drop_duplicates()
     numbers = {term: number for number, term in enumerate(vocabulary["term"])}
     query_codes, query_ids = pd.factorize(held["query_id"], use_na_sentinel=False)
-    shared = spark.sparkContext.broadcast((list(query_ids), query_codes, held["term"].map(numbers).to_numpy(), held["idf"].to_numpy(dtype="float64")))
+    held_weights = spark.sparkContext.broadcast((list(query_ids), query_codes, held["term"].map(numbers).to_numpy(), held["idf"].to_numpy(dtype="float64")))
     coded = spark.createDataFrame(pa.table({
         "bucket": pa.array(vocabulary["bucket"], pa.int32()), "term": pa.array(vocabulary["term"], pa.string()), "number": pa.array(range(len(vocabulary)), pa.int32())}))
     coded = F.broadcast(coded) if len(vocabulary) <= TERM_BLOCK else coded
@@ -206,12 +209,15 @@ def _scan_postings(postings: DataFrame, held: pd.DataFrame, n_chunks: int, avera
         if not rows:
             return
         rows = pa.Table.from_batches(rows)
-        ids, of_query, of_term, idf = shared.value
+        ids, of_query, of_term, idf = held_weights.value
         coded = rows.column("chunk_id").combine_chunks().dictionary_encode(null_encoding="encode")
-        chunk = coded.indices.to_numpy()
+        # Numbers and counts of a row are as many, so that both are cut out of one run of bytes for all rows.
+        term, tf = (np.frombuffer(b"".join(rows.column(name).to_pylist()), dtype="<i4") for name in ("numbers", "tfs"))
+        of_row = np.repeat(np.arange(len(rows)), pc.binary_length(rows.column("tfs")).to_numpy() // 4)
+        chunk = coded.indices.to_numpy()[of_row]
         order = np.argsort(chunk, kind="stable")
-        chunk, term = chunk[order], rows.column("number").to_numpy()[order]
-        tf, length = (rows.column(name).to_numpy()[order].astype("float64") for name in ("tf", "chunk_len"))
+        chunk, term, tf = chunk[order], term[order], tf[order].astype("float64")
+        length = rows.column("chunk_len").to_numpy()[of_row][order].astype("float64")
         share = tf * (k1 + 1) / (tf + k1 * (1 - b + b * length / average))
         chunk_ids = np.array(coded.dictionary.to_pylist(), dtype=object)
         firsts = np.searchsorted(chunk, np.arange(len(chunk_ids) + 1))
@@ -235,7 +241,38 @@ def _scan_postings(postings: DataFrame, held: pd.DataFrame, n_chunks: int, avera
                     pa.array(best.rows["chunk_id"], pa.string()), pa.array(best.rows["value"], pa.float64()),
                 ], names=["query_id", "chunk_id", "score"])
 
-    return met.select("chunk_id", "number", "chunk_len", "tf").repartition(tasks, "chunk_id").mapInArrow(score, _SCORED)
+    gathered = met.select("chunk_id", "chunk_len", "number", "tf").mapInArrow(_by_chunk, _GATHERED)
+    return gathered.repartition(tasks, "chunk_id").mapInArrow(score, _SCORED)
+
+
+def _by_chunk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What a task holds of a chunk, as one row: the numbers of its terms and how often each stands in it."""
+    held, rows = [], 0
+    for batch in batches:
+        held.append(batch)
+        rows += len(batch)
+        if rows >= GATHERED_ROWS:
+            yield _gathered(pa.Table.from_batches(held))
+            held, rows = [], 0
+    if rows:
+        yield _gathered(pa.Table.from_batches(held))
+
+
+def _gathered(rows: pa.Table) -> pa.RecordBatch:
+    chunk = rows.column("chunk_id").combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy()
+    length = rows.column("chunk_len").to_numpy()
+    order = np.lexsort((length, chunk))
+    chunk, length = chunk[order], length[order]
+    starts = np.flatnonzero(np.append(True, (chunk[1:] != chunk[:-1]) | (length[1:] != length[:-1])))
+    bounds = pa.py_buffer((np.append(starts, len(order)) * 4).astype("<i4"))
+
+    def packed(name: str) -> pa.Array:
+        data = pa.py_buffer(rows.column(name).to_numpy()[order].astype("<i4"))
+        return pa.Array.from_buffers(pa.binary(), len(starts), [None, bounds, data])
+
+    return pa.RecordBatch.from_arrays([
+        rows.column("chunk_id").combine_chunks().take(pa.array(order[starts])), pa.array(length[starts]), packed("number"), packed("tf"),
+    ], names=["chunk_id", "chunk_len", "numbers", "tfs"])
 
 
 def phrase_documents(index: Index, phrases: DataFrame) -> DataFrame:
@@ -252,12 +289,12 @@ def phrase_documents(index: Index, phrases: DataFrame) -> DataFrame:
         "*", F.posexplode(F.slice("words", F.lit(1), F.col("pairs"))).alias("at", "term"))
     # A single word is followed by the blank that every posting is given.
     pairs = checkpointed(_bucketed(placed.select("phrase", "pairs", "at", "term", F.coalesce(F.get("words", F.col("at") + 1), F.lit("")).alias("after"))))
-    terms = _shared(pairs.select(*_TERM).distinct())
+    terms = shared(pairs.select(*_TERM).distinct())
 
     def met(wanted: DataFrame) -> DataFrame:
         held = index.postings.select(*_TERM, "chunk_id", "doc_id", "chunk_len", "positions", "following").join(terms, _TERM, "left_semi")
         after = F.explode(F.array_distinct(F.concat(F.array(F.lit("")), "following"))).alias("after")
-        return held.select("*", after).join(_shared(wanted), [*_TERM, "after"])
+        return held.select("*", after).join(shared(wanted), [*_TERM, "after"])
 
     short = met(pairs.where("pairs = 1")).select("phrase", "doc_id").distinct()
     long = pairs.where("pairs > 1")

@@ -6,6 +6,8 @@ import hashlib
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import shuffles_dropped
+
 
 def _versions(spark: SparkSession, root: str) -> list[int]:
     """Complete versions below a root, oldest first."""
@@ -44,7 +46,8 @@ def write_snapshot(frame: DataFrame, root: str) -> DataFrame:
     spark = frame.sparkSession
     versions = _versions(spark, root)
     target = f"{root}/version={versions[-1] + 1 if versions else 0}"
-    frame.write.mode("overwrite").option("compression", "zstd").parquet(target)
+    with shuffles_dropped(spark):
+        frame.write.mode("overwrite").option("compression", "zstd").parquet(target)
     return spark.read.parquet(target)
 
 
